@@ -126,7 +126,8 @@ def _compare(threshold: float, width: int):
             yield table(pairs(waiting))
 
     def table(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def pairs(rows: list[tuple]) -> list[tuple]:
         # task: component, i, j; side: the block a row belongs to; copies: rows of its class

@@ -60,6 +60,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .search import quantized, top_k
+
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), quantized(F.col("embedding"), 256).alias("vector"))
+    return top_k(rows, rows.filter("id % 50 = 0"), 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op4_lm_scoring,
         op5_secret_scans,
+        op6_exact_top_k,
         op8_toxicity,
         op9_suffix_dedup,
         op10_fingerprints,

@@ -70,6 +70,12 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter("id % 50 = 0"), 5)
 
 
+def op7_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import segment
+
+    return segment(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_lm_scoring,
         op5_secret_scans,
         op6_exact_top_k,
+        op7_piece_segmentation,
         op8_toxicity,
         op9_suffix_dedup,
         op10_fingerprints,

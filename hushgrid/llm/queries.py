@@ -76,11 +76,18 @@ def op7_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge, labelled_urls, train
+
+    return judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
         op2_best_fit_packing,
+        op3_url_filters,
         op4_lm_scoring,
         op5_secret_scans,
         op6_exact_top_k,

@@ -30,9 +30,9 @@ from .common import partitions
 from .shingles import mixed, prefix_sums, span_hashes
 
 LENGTH = 100  # bytes of a string that counts
-ANCHOR = 20  # bytes of its parts
+ANCHOR = 32  # bytes of its parts
 BLOCK = 400_000  # bytes that are hashed at a time
-MEETING = 6_000_000  # bytes of segments that are ordered at a time, or all of an anchor's
+MEETING = 1_500_000  # bytes of segments that are ordered at a time, or all of an anchor's
 
 
 def depth_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -166,6 +166,7 @@ def _cut_out(length: int):
             texts_of[key] = ((1 << 63) - 1 if doc is None else doc, text or "")
         seen: set[tuple[int, bytes]] = set()
         for key, (doc, text) in sorted(texts_of.items(), key=lambda x: x[1]):
+            known: list[list[int]] = []  # ranges of which the block has an earlier copy
             data = text.encode("utf-8", "surrogatepass")
             own = np.sort(anchors[slice(*np.searchsorted(keys, [key, key + 1]))] if key < (1 << 63) - 1 else anchors[keys == key])
             for anchor, _, first, last in segments([data], length):
@@ -175,10 +176,14 @@ def _cut_out(length: int):
                     piece = data[low : high + length]
                     mark = (a, piece)
                     if mark in seen:
-                        rows.append((key ^ low, False, None, key, None, low, high + length, None))
+                        if known and known[-1][1] >= low:
+                            known[-1][1] = high + length
+                        else:
+                            known.append([low, high + length])
                     else:
                         seen.add(mark)
                         rows.append((a, True, a, key, doc, low, high + length, piece))
+            rows += [(key ^ low, False, None, key, None, low, high, None) for low, high in known]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
         kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 5, pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -189,6 +194,18 @@ def _cut_out(length: int):
 def _ranges(length: int):
     def meet(rows: list[tuple]) -> list[tuple[int, int, int]]:
         rows.sort(key=lambda r: (r[2], r[1], r[3]))  # doc_id, key, start
+        seen: dict[int, set[bytes]] = {}
+        fresh, found = [], []
+        for row in rows:  # of equal segments all but the first repeat
+            own = seen.setdefault(row[0], set())
+            if row[4] in own:
+                found.append((row[1], row[3], row[3] + len(row[4])))
+            else:
+                own.add(row[4])
+                fresh.append(row)
+        rows = [row for row in fresh if len(seen[row[0]]) > 1]
+        if not rows:
+            return found
         data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
         sizes = np.array([len(r[4]) for r in rows])
         begins = np.cumsum(sizes) - sizes
@@ -198,10 +215,10 @@ def _ranges(length: int):
         repeats = previous_factor(data, length, begins[of] + inside) >= 0
         of, inside = of[repeats], inside[repeats]
         if not len(of):
-            return []
+            return found
         new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (inside[1:] != inside[:-1] + 1))))
         last = np.concatenate((new[1:] - 1, [len(of) - 1]))
-        return [(rows[i][1], rows[i][3] + low, rows[i][3] + high + length) for i, low, high in zip(of[new].tolist(), inside[new].tolist(), inside[last].tolist(), strict=True)]
+        return found + [(rows[i][1], rows[i][3] + low, rows[i][3] + high + length) for i, low, high in zip(of[new].tolist(), inside[new].tolist(), inside[last].tolist(), strict=True)]
 
     def table(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
         columns = list(zip(*found, strict=True)) if found else [[]] * 3

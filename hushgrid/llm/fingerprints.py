@@ -101,7 +101,7 @@ def with_successor(docs: DataFrame, run, schema: str, parts: int | None = None)
     the runs' bounds and first ids, one for each run, pass through the driver, and each text is shuffled once.
     """
     spark = docs.sparkSession
-    parts = parts or 2 * partitions(spark)
+    parts = parts or 8 * partitions(spark)  # runs far more than tasks, which get about as many each
     rows = texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))))
     if parts > 1:
         found = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 # The characters that count as white space, the letters that names keep, and the list in an answer.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_LETTERS = "[^a-zA-ZÀ-ÿ ]"
@@ -61,27 +63,27 @@ def preview(text: Column, n: int) -> Column:
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two arrays: a row of the table at a time, as an array."""
-    start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
 
-    def row(before: Column, x: Column) -> Column:
-        begin = F.array(F.lit(0))
+    def table(b: Column) -> Column:
+        start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
+
+        def row(before: Column, x: Column) -> Column:
+            def cell(done: Column, j: Column) -> Column:
+                here = F.when(F.get(b, j - 1) == x, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.get(done, j - 1)))
+                return F.concat(done, F.array(here))
 
-        def cell(done: Column, j: Column) -> Column:
-            up, diagonal = F.get(before, j), F.get(before, j - 1)
-            here = F.when(F.get(b, j - 1) == x, diagonal + 1).otherwise(F.greatest(up, F.get(done, j - 1)))
-            return F.concat(done, F.array(here))
+            return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), begin, cell)
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, row), -1))
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, row), -1))
+    return let(b, table)
 
 
 def rouge_l(hypothesis: Column, reference: Column) -> Column:
     """F1 of ROUGE-L over words; 0 if either is empty or nothing is common."""
-    h, r = words(hypothesis), words(reference)
-    return rouge_l_of(lcs_length(h, r), F.size(h), F.size(r))
+    both = F.struct(words(hypothesis).alias("h"), words(reference).alias("r"))
+    return let(both, lambda s: rouge_l_of(lcs_length(s["h"], s["r"]), F.size(s["h"]), F.size(s["r"])))
 
 
 def rouge_l_of(common: Column, n_hypothesis: Column, n_reference: Column) -> Column:
-    some = common > 0
-    return F.when(some, 2.0 * common / F.when(some, n_hypothesis + n_reference).otherwise(1)).otherwise(0.0)
+    return let(common, lambda n: F.when(n > 0, 2.0 * n / F.when(n > 0, n_hypothesis + n_reference).otherwise(1)).otherwise(0.0))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once. What a lambda uses from outside is computed anew for each element, and
+    the optimizer moves columns that are used once into it; a lambda's own variable is a value."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(vector: Column | str) -> Column:
     return (F.col(vector) if isinstance(vector, str) else vector).cast("array<double>")
 
@@ -21,8 +29,8 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalized(v: Column) -> Column:
     """v over its norm; a zero vector stays zero."""
-    n = l2_norm(v)
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    one = F.struct(doubles(v).alias("v"), l2_norm(v).alias("n"))
+    return let(one, lambda s: F.transform(s["v"], lambda x: x / F.when(s["n"] == 0, 1.0).otherwise(s["n"])))
 
 
 def argmax(v: Column) -> Column:
@@ -45,7 +53,6 @@ def set_jaccard(a: Column, b: Column) -> Column:
 
 
 def softmax(v: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(v)
-    weights = F.transform(v, lambda x: F.exp((x - top) / temperature))
-    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(weights, lambda w: w / total)
+    weights = let(F.struct(v.alias("v"), F.array_max(v).alias("top")), lambda s: F.transform(s["v"], lambda x: F.exp((x - s["top"]) / temperature)))
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
+    return let(weights, lambda w: let(total(w), lambda t: F.transform(w, lambda x: x / t)))

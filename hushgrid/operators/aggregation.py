@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.accounting import clip_bound
-from ..functions.vectors import doubles
+from ..functions.vectors import doubles, let
 
 KEYS = ("query_id", "step")
 
@@ -36,11 +36,14 @@ class AggregationConfig:
 
 def centred(logits: Column, alpha: float) -> Column:
     """(exp(alpha * (x - max)) - 1) / alpha of each component, less the middle of its range."""
-    v = doubles(logits)
-    top = F.array_max(v)
-    x = F.transform(v, lambda a: (F.exp(F.lit(alpha) * (a - top)) - 1) / alpha)
-    middle = (F.array_max(x) + F.array_min(x)) / 2
-    return F.transform(x, lambda a: a - middle)
+
+    def shaped(v: Column) -> Column:
+        return let(F.array_max(v), lambda top: F.transform(v, lambda a: (F.exp(F.lit(alpha) * (a - top)) - 1) / alpha))
+
+    def moved(x: Column) -> Column:
+        return let((F.array_max(x) + F.array_min(x)) / 2, lambda middle: F.transform(x, lambda a: a - middle))
+
+    return let(let(doubles(logits), shaped), moved)
 
 
 def largest(v: Column) -> Column:
@@ -55,14 +58,21 @@ def clip_scale(norm: Column, bound: float) -> Column:
 def with_parts(streams: DataFrame, c: AggregationConfig) -> DataFrame:
     """streams with ``norm`` and ``scale`` (null for the public stream) and ``part``, what each adds to the sum."""
     private = F.col("stream_id") != 0
-    v = doubles("logits")
+    public_part = F.transform(doubles("logits"), lambda a: F.lit(c.omega) * a)
     if not c.differential_privacy:
-        top = F.array_max(v)
-        part = F.when(private, F.transform(v, lambda a: a - top)).otherwise(F.transform(v, lambda a: F.lit(c.omega) * a))
-        return streams.withColumn("part", part)
-    staged = streams.withColumn("_c", F.when(private, centred(v, c.alpha))).withColumn("norm", largest(F.col("_c"))).withColumn("scale", F.when(private, clip_scale(F.col("norm"), c.bound)))
-    part = F.when(private, F.transform("_c", lambda a: a * F.col("scale"))).otherwise(F.transform(v, lambda a: F.lit(c.omega) * a))
-    return staged.withColumn("part", part).drop("_c")
+        shifted = let(doubles("logits"), lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda a: a - top)))
+        return streams.withColumn("part", F.when(private, shifted).otherwise(public_part))
+
+    def clipped(x: Column) -> Column:
+        def scaled(norm: Column) -> Column:
+            return let(clip_scale(norm, c.bound), lambda scale: F.struct(norm.alias("norm"), scale.alias("scale"), F.transform(x, lambda a: a * scale).alias("part")))
+
+        return let(largest(x), scaled)
+
+    nothing = F.struct(F.lit(None).cast("double").alias("norm"), F.lit(None).cast("double").alias("scale"), public_part.alias("part"))
+    made = F.when(private, let(centred(F.col("logits"), c.alpha), clipped)).otherwise(nothing)
+    # an array of one struct is taken apart as rows are, so that its fields are computed together, once
+    return streams.select("*", F.inline(F.array(made)))
 
 
 def aggregated(streams: DataFrame, c: AggregationConfig) -> DataFrame:

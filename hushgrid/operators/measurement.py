@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
 from .prefilter import Strategy
 
 
@@ -28,9 +29,13 @@ def without_last(tokens: Column, end: int | str) -> Column:
 
 def consistency(a: Column, b: Column) -> Column:
     """Share of places, up to the shorter one's end, at which two arrays agree; 0 if there are none."""
-    n = F.least(F.size(a), F.size(b))
-    same = F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.when(x.eqNullSafe(y), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return F.when(n > 0, same / F.when(n > 0, n).otherwise(1)).otherwise(0.0)
+
+    def rate(s: Column) -> Column:
+        n = F.least(F.size(s["a"]), F.size(s["b"]))
+        same = F.aggregate(F.zip_with(F.slice(s["a"], 1, n), F.slice(s["b"], 1, n), lambda x, y: F.when(x.eqNullSafe(y), 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
+        return F.when(n > 0, same / F.when(n > 0, n).otherwise(1)).otherwise(0.0)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), rate)
 
 
 def mean_and_median(values: DataFrame, *columns: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import non_empty
+from ..functions.vectors import let
 
 
 def distinct_texts(rows: DataFrame, order: str, text: str) -> DataFrame:
@@ -70,19 +71,22 @@ def dirichlet(items: DataFrame, key: str, seed: int) -> DataFrame:
     return drawn.join(F.broadcast(total)).withColumn("probability", F.col("_e") / F.col("_total")).drop("_e", "_total")
 
 
-def categorical(rows: DataFrame, weights: DataFrame, key: str, u: Column) -> DataFrame:
+def categorical(rows: DataFrame, weights: DataFrame, u: Column) -> DataFrame:
     """rows with ``item``: the first of weights (item, probability; few, as a list of categories is) whose cumulated
     probability is above u. Cumulated in the order of items; the table is one array, searched in each row."""
     table = weights.agg(F.sort_array(F.collect_list(F.struct("item", "probability"))).alias("_w"))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast(weights.schema["item"].dataType).alias("item"))
-    total = F.aggregate("_w", F.lit(0.0), lambda s, w: s + w["probability"])
 
-    def take(done: Column, w: Column) -> Column:
-        after = done["sum"] + w["probability"]
-        return F.struct(after.alias("sum"), F.coalesce(done["item"], F.when(after / F.col("_total") > F.col("_u"), w["item"])).alias("item"))
+    def pick(given: Column) -> Column:
+        def take(done: Column, w: Column) -> Column:
+            after = done["sum"] + w["probability"]
+            return F.struct(after.alias("sum"), F.coalesce(done["item"], F.when(after / given["total"] > given["u"], w["item"])).alias("item"))
+
+        return F.aggregate("_w", start, take)["item"]
 
-    joined = rows.withColumn("_u", u).join(F.broadcast(table)).withColumn("_total", total)
-    return joined.withColumn("item", F.aggregate("_w", start, take)["item"]).drop("_w", "_u", "_total")
+    total = F.aggregate("_w", F.lit(0.0), lambda s, w: s + w["probability"])
+    joined = rows.withColumn("_u", u).join(F.broadcast(table))
+    return joined.withColumn("item", let(F.struct(F.col("_u").alias("u"), total.alias("total")), pick)).drop("_w", "_u")
 
 
 def question(symptoms: Column) -> Column:

@@ -469,7 +469,7 @@ def star_rows(spark, sf_dir):
 def categorical_assign_u(spark, sf_dir):
     w = table(spark, sf_dir, "nation").select(F.col("n_name").alias("item"), (F.col("n_nationkey") + 1).cast("double").alias("probability"))
     u = F.pmod(F.col("c_custkey") * 7919, F.lit(10007)) / F.lit(10007.0)
-    return preparation.categorical(table(spark, sf_dir, "customer").select("c_custkey"), w, "c_custkey", u)
+    return preparation.categorical(table(spark, sf_dir, "customer").select("c_custkey"), w, u)
 
 
 @query()

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
+
 SCOPE = 400  # code points within which parts belong together
 MARK = "[secret]"  # stands for what redact() takes out
 
@@ -52,10 +54,10 @@ def _parts(text: Column, kind: int) -> Column:
         if KINDS[kind] == "key":
             fine = lambda x: (F.length(x) == 40) & x.rlike("[a-z]") & x.rlike("[A-Z]") & x.rlike("[0-9]")
 
-    def one(x: Column, i: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(between, i)).cast("long").alias("lead"), F.length(whole(x)).cast("long").alias("size"), fine(x).alias("fine"))
+    def one(x: Column, i: Column, lead: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(lead, i)).cast("long").alias("lead"), F.length(whole(x)).cast("long").alias("size"), fine(x).alias("fine"))
 
-    found = F.transform(matches, one)
+    found = let(between, lambda lead: F.transform(matches, lambda x, i: one(x, i, lead)))  # split once for all matches
     return F.when(quick, found).otherwise(F.array().cast("array<struct<kind:int,i:int,lead:bigint,size:bigint,fine:boolean>>"))
 
 

@@ -338,9 +338,9 @@ def rouge_l(spark, sf_dir):
     return t.select("conv_id", "turn", r6(text.rouge_l(F.col("hypothesis"), F.col("reference"))).alias("rouge_l"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN len(w) > 0 AND w[-1] = 'the' THEN w[:-2] ELSE w END AS tokens FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN len(w) > 0 AND w[-1] = 'the' THEN array_to_string(w[:-2], '|') ELSE array_to_string(w, '|') END AS tokens FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)")
 def end_dropped(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", measurement.without_last(F.split("text", " "), "the").alias("tokens"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(measurement.without_last(F.split("text", " "), "the"), "|").alias("tokens"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,11 +444,11 @@ def name_valid(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.is_full_name(F.col("text")).alias("full_name"), text.is_serious(F.col("text")).alias("serious"))
 
 
-@query("""SELECT conv_id, turn, [role, 'x ' || turn] AS symptoms FROM conversations""")
+@query("""SELECT conv_id, turn, role || '|x ' || turn AS symptoms FROM conversations""")
 def symptom_extract(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     said = F.concat(F.lit('Sure: ["'), F.col("role"), F.lit('", "x '), F.col("turn").cast("string"), F.lit('"] and so on'))
-    return c.select("conv_id", "turn", text.json_list(said).alias("symptoms"))
+    return c.select("conv_id", "turn", F.array_join(text.json_list(said), "|").alias("symptoms"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -488,14 +488,19 @@ def _lit(s: str) -> str:
 
 
 def _chat_sql(system: str, user: str) -> str:
-    return f"[{{'role': 'system', 'content': {system}}}, {{'role': 'user', 'content': {user}}}]"
+    return f"'system: ' || {system} || chr(10) || 'user: ' || {user}"
+
+
+def _written(prompt: Column) -> Column:
+    """A prompt as one text, for the comparison."""
+    return F.array_join(F.transform(prompt, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
 
 
 @query(f"SELECT item_id AS query_id, 0::BIGINT AS stream_id, {_chat_sql(_lit(prompts.PUBLIC), 'text')} AS prompt FROM benchmark UNION ALL SELECT b.item_id, d.doc_id + 1, {_chat_sql(_lit(prompts.PER_DOCUMENT) + chr(32) + '|| d.text || ' + _lit(chr(34)), 'b.text')} FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id")
 def prompt_public_private(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     found = table(spark, sf_dir, "documents").select(F.pmod("doc_id", F.lit(40)).alias("query_id"), (F.col("doc_id") + 1).alias("place"), "text")
-    return prompts.fan_out(asked, found)
+    return prompts.fan_out(asked, found).withColumn("prompt", _written(F.col("prompt")))
 
 
 @query(f"""WITH l AS (SELECT c.conv_id, string_agg('Document ' || n || ':' || chr(10) || '"' || text || '"', chr(10) || chr(10) ORDER BY n) AS d FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant') c GROUP BY c.conv_id)
@@ -504,7 +509,7 @@ def prompt_joined_docs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     found = c.filter("role = 'assistant'").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("documents"))
     asked = c.filter("turn = 0").join(found, "conv_id", "left")
-    return asked.select("conv_id", prompts.joined_documents(F.col("text"), F.coalesce("documents", F.array().cast("array<string>"))).alias("prompt"))
+    return asked.select("conv_id", _written(prompts.joined_documents(F.col("text"), F.coalesce("documents", F.array().cast("array<string>")))).alias("prompt"))
 
 
 _WRITER = _lit(prompts.WRITER)
@@ -512,7 +517,7 @@ _WRITER = _lit(prompts.WRITER)
 
 @query(f"""SELECT doc_id, {_chat_sql(_WRITER, "'Can you write a short text about the following topics:' || chr(10) || chr(34) || source || chr(34) || '?'")} AS public, {_chat_sql(_WRITER, "'Can you rephrase this document:' || chr(10) || chr(34) || text || chr(34) || '?' || chr(10) || 'Just output the text.'")} AS private FROM documents""")
 def prompt_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", prompts.summary(F.col("source")).alias("public"), prompts.summary(F.col("source"), F.col("text")).alias("private"))
+    return table(spark, sf_dir, "documents").select("doc_id", _written(prompts.summary(F.col("source"))).alias("public"), _written(prompts.summary(F.col("source"), F.col("text"))).alias("private"))
 
 
 def _filled_sql(template: str) -> str:
@@ -522,7 +527,7 @@ def _filled_sql(template: str) -> str:
 @query(" UNION ALL ".join(f"SELECT doc_id, {i}::INT AS variant, {_chat_sql(_filled_sql(s), _filled_sql(u))} AS prompt FROM documents d" for i, (s, u) in enumerate(prompts.VARIANTS)))
 def prompt_variants(spark, sf_dir):
     p = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("context"), F.lit("What is it?").alias("question"))
-    return prompts.variants(p).drop("context", "question")
+    return prompts.variants(p).select("doc_id", "variant", _written(F.col("prompt")).alias("prompt"))
 
 
 @query("SELECT conv_id, 'I am experiencing the following symptoms: ' || string_agg(role || turn, ', ' ORDER BY turn, role) || '. What is my disease?' AS question FROM conversations GROUP BY conv_id")

@@ -39,4 +39,5 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 def crc_remainder(column: Column | str, modulus: int) -> Column:
     """crc32 of a column as text, modulo modulus; null counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string").cast("binary")) % modulus
+    value = F.col(column) if isinstance(column, str) else column
+    return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -108,7 +108,11 @@ def secrets(docs: DataFrame) -> DataFrame:
     spans = F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))))
     grouped = parts(docs).groupBy("row").agg(F.first("doc_id").alias("doc_id"), spans.alias("found"))
     base = F.filter("found", lambda s: s["kind"] < KINDS.index("key_id"))
-    counts = {f"n_{k}": F.size(F.filter("found", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS[:3])}
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": count(i) for i, k in enumerate(KINDS[:3])}
     return grouped.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"))
 
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import partitions
 from .shingles import mixed, prefix_sums, span_hashes
@@ -316,8 +317,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         changed = pa.array([key in found for key in left["key"].to_pylist()], pa.bool_())
         return pa.table({"clean": pa.array(out, pa.string()), "changed": changed, "whole": left["whole"].combine_chunks()})
 
-    kind = whole.schema["whole"].dataType.simpleString()
-    clean = whole.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(run, f"clean string, changed boolean, whole {kind}")
+    kind = StructType([StructField("clean", StringType()), StructField("changed", BooleanType()), StructField("whole", whole.schema["whole"].dataType)])
+    clean = whole.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(run, kind)
     out = []
     for n in names:
         if n == "text":

@@ -52,11 +52,12 @@ def path_of(url: Column) -> Column:
 def features(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """The different buckets of the n-grams of host and path, each with its bounds marked."""
 
-    def grams(text: Column, mark: str) -> list[Column]:
+    def grams(text: Column, mark: str, n: int) -> Column:
         whole = F.concat(F.lit("^"), text, F.lit("$"))
-        return [F.transform(F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.pmod(F.xxhash64(F.lit(mark), F.substring(whole, i, n)), F.lit(buckets)).cast("int")) for n in GRAMS]
+        starts = F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(whole, i, n)), F.lit(buckets)).cast("int"))
 
-    return F.array_distinct(F.concat(*grams(host, "h"), *grams(path, "p")))
+    return F.array_distinct(F.concat(*[grams(text, mark, n) for text, mark in ((host, "h"), (path, "p")) for n in GRAMS]))
 
 
 def train(labelled: DataFrame, buckets: int = BUCKETS) -> list[float]:

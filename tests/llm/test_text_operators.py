@@ -49,23 +49,21 @@ def test_packing(spark):
 
 def test_best_fit_is_best_and_bounded():
     rng = random.Random(4)
-    fit, free, most = packing.BestFit(50, 6), {}, 0
+    fit = packing.BestFit(50, 6)
+    open_bins = lambda: {n: free for free, stack in enumerate(fit.by_free) for n in stack}
     for _ in range(3000):
         size = rng.randrange(1, 51)
+        before = open_bins()
         number, offset = fit.place(size)
-        if number in free:
-            assert offset == 50 - free[number]
-            assert free[number] == min(x for x in free.values() if x >= size)
+        fitting = [free for free in before.values() if free >= size]
+        if fitting:
+            assert before[number] == min(fitting) and offset == 50 - min(fitting)
         else:
-            assert offset == 0 and not any(x >= size for x in free.values())
-            if len(free) == 6:
-                del free[min(free, key=lambda n: (free[n], n in free and 0))] if sum(x == min(free.values()) for x in free.values()) == 1 else free[max(n for n, x in free.items() if x == min(free.values()) and not any(n in s for s in fit.by_free))]
-            free[number] = 50
-        free[number] -= size
-        if not free[number]:
-            del free[number]
-        most = max(most, fit.open)
-    assert most <= 6
+            assert number not in before and offset == 0
+            closed = set(before) - set(open_bins())
+            assert [before[n] for n in closed] == ([min(before.values())] if len(before) == 6 else [])
+        assert len(open_bins()) == fit.open <= 6
+        assert fit.bits == sum(1 << free for free in set(open_bins().values()))
 
 
 def secret_texts():

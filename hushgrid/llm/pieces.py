@@ -16,7 +16,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ class Pieces:
         for size, (hashes, _) in self.tables.items():
             self.maybe[size][hashes & np.uint64(0xFFFF)] = True
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(self.bytes_of[i] for i in ids)
 
     def arcs(self, word: bytes) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -131,18 +132,19 @@ class Pieces:
         return ids, best, second
 
     def _step(self, words: list[bytes], part: np.ndarray, lengths: np.ndarray, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        # arrays are by place, then word, so that a step of all words is one run of memory
         n = len(part)
         grid = np.zeros((n, width + 1), np.uint8)
-        grid.ravel()[np.concatenate([np.arange(k) + i * (width + 1) for i, k in enumerate(lengths)])] = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
+        within = np.arange(width + 1)
+        grid[within < lengths[:, None]] = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
         head = (grid & 0xC0) != 0x80  # of characters; what follows a word counts, too
         sums = prefix_sums(grid.ravel())
-        place = np.arange(n * (width + 1)).reshape(n, width + 1)
         sizes = [s for s in self.tables if s <= width]
-        scores = np.full((len(sizes), n, width + 1), -np.inf)  # of the piece of this size that ends here
-        pieces = np.full((len(sizes), n, width + 1), -1, np.int32)
+        scores = np.full((len(sizes), width + 1, n), -np.inf)  # of the piece of this size that ends here
+        pieces = np.full((len(sizes), width + 1, n), -1, np.int32)
         for k, size in enumerate(sizes):
-            row, end = np.nonzero((np.arange(width + 1) >= size) & (np.arange(width + 1) <= lengths[:, None]))
-            start = place[row, end] - size
+            row, end = np.nonzero((within >= size) & (within <= lengths[:, None]))
+            start = row * (width + 1) + end - size
             hashes = span_hashes(sums, start, start + size)
             some = self.maybe[size][hashes & np.uint64(0xFFFF)]
             row, end, hashes = row[some], end[some], hashes[some]
@@ -150,53 +152,54 @@ class Pieces:
             index = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
             hit = table[index] == hashes
             found = ids[index[hit]]
-            scores[k, row[hit], end[hit]] = self.score_of[found]
-            pieces[k, row[hit], end[hit]] = found
+            scores[k, end[hit], row[hit]] = self.score_of[found]
+            pieces[k, end[hit], row[hit]] = found
         for size in (1, 2, 3, 4):  # a character that is no piece
-            if size > width:
-                break
-            row, end = np.nonzero((np.arange(width + 1) >= size) & (np.arange(width + 1) <= lengths[:, None]))
+            if size not in sizes:
+                continue
+            row, end = np.nonzero((within >= size) & (within <= lengths[:, None]))
             inner = np.zeros(len(row), bool)
             for back in range(1, size):
                 inner |= head[row, end - back]
             whole = head[row, end - size] & ~inner & (head[row, end] | (end == lengths[row]))
             row, end = row[whole], end[whole]
-            if size not in sizes:
-                continue
             k = sizes.index(size)
-            alone = pieces[k, row, end] < 0
-            scores[k, row[alone], end[alone]] = self.unknown
-            pieces[k, row[alone], end[alone]] = -2
-        forward = np.full((n, width + 1), -np.inf)
-        forward[:, 0] = 0
-        by = np.zeros((n, width + 1), np.int16)
+            alone = pieces[k, end, row] < 0
+            scores[k, end[alone], row[alone]] = self.unknown
+            pieces[k, end[alone], row[alone]] = -2
+        forward = np.full((width + 1, n), -np.inf)
+        forward[0] = 0
+        by = np.zeros((width + 1, n), np.int16)
         for to in range(1, width + 1):
-            through = np.stack([forward[:, to - s] + scores[k, :, to] if s <= to else np.full(n, -np.inf) for k, s in enumerate(sizes)])
-            by[:, to] = through.argmax(axis=0)
-            forward[:, to] = through.max(axis=0)
-        backward = np.full((n, width + 1), -np.inf)
-        backward[np.arange(n), lengths] = 0
+            for k, s in enumerate(sizes):
+                if s <= to:
+                    through = forward[to - s] + scores[k, to]
+                    better = through > forward[to]
+                    forward[to][better] = through[better]
+                    by[to][better] = k
+        backward = np.full((width + 1, n), -np.inf)
+        backward[lengths, np.arange(n)] = 0
         for start in range(width - 1, -1, -1):
             for k, s in enumerate(sizes):
                 if start + s <= width:
-                    np.maximum(backward[:, start], scores[k, :, start + s] + backward[:, start + s], out=backward[:, start])
-        best = forward[np.arange(n), lengths]
-        on_path = np.zeros(scores.shape, bool)
+                    np.maximum(backward[start], scores[k, start + s] + backward[start + s], out=backward[start])
+        best = forward[lengths, np.arange(n)]
         at, rows = lengths.copy(), np.arange(n)
-        steps = []
+        steps, on_path = [], []
         size_of = np.array(sizes)
         while len(rows):
-            k = by[rows, at[rows]]
-            on_path[k, rows, at[rows]] = True
-            steps.append((rows, pieces[k, rows, at[rows]], at[rows]))
+            ends = at[rows]
+            k = by[ends, rows]
+            on_path.append((k, ends, rows))
+            steps.append((rows, pieces[k, ends, rows], ends))
             at[rows] -= size_of[k]
             rows = rows[at[rows] > 0]
-        second = np.full(n, -np.inf)
-        for k, s in enumerate(sizes):
-            through = np.full((n, width + 1), -np.inf)
-            through[:, s:] = forward[:, : width + 1 - s] + scores[k, :, s:] + backward[:, s:]
-            through[on_path[k]] = -np.inf
-            np.maximum(second, through.max(axis=1), out=second)
+        for k, s in enumerate(sizes):  # the best score through each piece
+            scores[k, s:] += forward[: width + 1 - s]
+            scores[k, s:] += backward[s:]
+        for k, ends, rows in on_path:
+            scores[k, ends, rows] = -np.inf
+        second = scores.max(axis=(0, 1))
         reverse: list[list[int]] = [[] for _ in range(n)]
         for rows, found, ends in steps:
             for i, piece, end in zip(rows.tolist(), found.tolist(), ends.tolist(), strict=True):
@@ -207,7 +210,7 @@ class Pieces:
                     while not head[i, start]:
                         start -= 1
                     reverse[i] += [int(self.byte_ids[b]) for b in grid[i, start:end][::-1]]
-        return [np.array(r[::-1], "<u4").tobytes() for r in reverse], best, second
+        return [array("I", r[::-1]).tobytes() for r in reverse], best, second
 
 
 def normalized(text: str) -> str:
@@ -250,7 +253,7 @@ class Segmenter:
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.ids += ids
         self.best, self.lost = np.concatenate([self.best, best]), np.concatenate([self.lost, best - second])
-        self.same += [self.pieces.decode(np.frombuffer(i, "<u4").tolist()) == w for i, w in zip(ids, data, strict=True)]
+        self.same += [self.pieces.decode(array("I", i)) == w for i, w in zip(ids, data, strict=True)]
 
     def paths(self, word: str, n: int) -> list[tuple[float, bytes]]:
         if word not in self.kept:

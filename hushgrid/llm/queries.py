@@ -98,4 +98,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _secrets_sql() -> str:
+    from .secrets import KINDS, PATTERNS, SCOPE
+
+    weak, selects = KINDS.index("key_id"), []
+    for kind, pattern in enumerate(PATTERNS):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        value = f"regexp_extract_all(text, {quoted}, 2)" if kind == 0 else "NULL::VARCHAR[]"
+        selects.append(f"SELECT row, {kind} AS kind, string_split_regex(text, {quoted}) AS p, regexp_extract_all(text, {quoted}) AS m, {value} AS v FROM d WHERE regexp_matches(text, {quoted})")
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
+    roles = {"id": (1, 3), "secret": (0, 2, 4)}
+    beside = ", ".join(f"sum(CASE WHEN fine AND kind IN {kinds} THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING) > 0 AS {role}" for role, kinds in roles.items())
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+a AS ({" UNION ALL ".join(selects)}),
+u AS (SELECT row, kind, unnest(range(1, len(m) + 1)) AS i, p, m, v FROM a),
+s AS (SELECT row, kind, m[i] AS x, sum(length(p[i]) + length(m[i])) OVER (PARTITION BY row, kind ORDER BY i) AS stop, CASE kind WHEN 0 THEN length(v[i]) >= 6 WHEN 4 THEN length(m[i]) = 40 AND regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[0-9]') ELSE TRUE END AS fine FROM u),
+b AS (SELECT row, kind, stop - length(x) AS start, stop, fine FROM s),
+c AS (SELECT row, kind, start, stop, fine AND (kind < {weak} OR coalesce(max(CASE WHEN fine AND kind < {weak} THEN stop END) OVER (PARTITION BY row ORDER BY start, kind ROWS UNBOUNDED PRECEDING) <= start, TRUE)) AS fine FROM b),
+e AS (SELECT row, kind, start, stop, fine, {beside} FROM c),
+f AS (SELECT row, kind, start, {name} || ':' || start || ':' || stop AS t FROM e WHERE fine AND CASE kind WHEN 3 THEN secret WHEN 4 THEN id WHEN 5 THEN id AND secret ELSE TRUE END),
+g AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(t, ',' ORDER BY start, kind) FILTER (WHERE kind < {weak}) AS base, string_agg(t, ',' ORDER BY start, kind) AS spans FROM f GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.row = d.row"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_secret_scans": _secrets_sql(),
+    "op1_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, [x for x in string_split_regex(lower(coalesce(text, '')), '[\x01-\x20]+') if x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM e WHERE e.a = doc_id) AS n_links FROM documents""",
+    "op6_exact_top_k": """WITH v AS (SELECT vec_id AS id, [floor(x::DOUBLE * 256) for x in embedding] AS v FROM embeddings),
+p AS (SELECT a.id AS query_id, b.id AS vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p) WHERE rank <= 5""",
+}

@@ -5,10 +5,12 @@ less the oldest token, which costs the state's backoff weight. A text is read on
 carried, each token takes an arc or falls back until one fits, and the log-probabilities add up. As the state after a
 token is the longest kept history that ends there, all tokens of a block of texts take their steps together, in arrays.
 
-- Token counts are exact over all training rows, and each block of documents gets the totals of its own tokens by a
-  shuffle, so they are never held whole anywhere.
-- N-grams of two and more tokens are kept if they occur twice and make up FREQUENT_GRAM of all tokens, of tokens that make up FREQUENT.
-  So there are at most 1 / FREQUENT_GRAM of them of each length, at any size of the corpus: only these are sent to all.
+- Counts are exact over all training rows. All n-grams of two and more tokens that occur LEAST_GRAM times are kept, of
+  any words, at any size of the corpus: the automaton grows with it and is never held whole anywhere.
+- Documents are dealt into blocks, and keys into as many ranges. A block asks each range for its own tokens and n-grams
+  and tells what it counted; the range answers with the totals, in the order asked. The first round is for tokens and
+  pairs; each further one for the next longer n-grams, where all shorter ones inside occur LEAST_GRAM times (others can't
+  themselves), and for backoffs: one of the blocks that have a kept n-gram adds it to its history.
 - The root's weights are counts less a discount that follows from the counts of counts (one for tokens seen once,
   twice, and more often); what is taken off is the probability of a token that wasn't seen, one kind as in the base.
 """
@@ -27,10 +29,8 @@ from .common import crc_remainder, partitions, settled, texts
 from .shingles import prefix_sums, runs, span_hashes
 
 ORDER = 3
-FREQUENT = 2e-5  # least share of all tokens for a token to stand in longer n-grams
-FREQUENT_GRAM = 1e-6  # least share of all tokens for a longer n-gram
-LEAST_GRAM = 2  # times that a longer n-gram must occur in any case
-DISCOUNT = 0.7
+LEAST_GRAM = 2  # times that a longer n-gram must occur
+DISCOUNT = 7  # tenths: sums of discounted counts are whole numbers of tenths
 BLOCK = 1_000_000  # bytes that are hashed at a time
 END = np.uint64(0xE0D)  # stands for the end's hash
 _TOKEN = np.array([b not in (0x20, *range(9, 14)) for b in range(256)])
@@ -46,13 +46,13 @@ class Block:
     text: np.ndarray
 
 
-def blocks(batch: list[str]) -> Iterator[tuple[int, int, Block]]:
+def blocks(batch: list[str] | list[bytes]) -> Iterator[tuple[int, int, Block]]:
     """(from, to, block) of consecutive texts with about BLOCK bytes each."""
     at = 0
     while at < len(batch):
         parts, size, to = [], 0, at
         while to < len(batch) and (size < BLOCK or to == at):
-            parts.append(batch[to].encode("utf-8", "surrogatepass"))
+            parts.append(batch[to] if isinstance(batch[to], bytes) else batch[to].encode("utf-8", "surrogatepass"))
             size += len(parts[-1]) + 1
             to += 1
         data = _LOWER[np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)]
@@ -106,75 +106,185 @@ def discounts(of_counts: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.05) for k in (1, 2, 3))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shifted(values: np.ndarray, first) -> np.ndarray:
+    out = np.empty_like(values)
+    out[1:], out[:1] = values[:-1], first
+    return out
+
+
+def gram_keys(tokens: np.ndarray, text: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size from 2 on, the key of the n-gram that ends at each token, and whether it is one: a text begins in
+    the state of an end, and no n-gram goes further back."""
+    begins = text != _shifted(text, -1)
+    history, whole, out = np.where(begins, _mixed(np.array([END])), _shifted(tokens, 0)), np.ones(len(tokens), bool), []
+    for _ in range(2, order + 1):
+        own = _mixed(history * np.uint64(0x9E3779B97F4A7C15) + tokens)
+        out.append((own, whole))
+        history, whole = _shifted(own, 0), _shifted(whole, False) & ~begins
+    return out
+
+
+@dataclass
+class Level:
+    """The n-grams of one size in texts. keys: sorted, without repeats; places: where in keys the one is that ends at each
+    token; histories: the same for the shorter one before the token; the place after the last is none. n, sums: by place, of
+    all rows, how often, and the discounted counts of the kept n-grams that it is the history of; own: to be added up here."""
+
+    keys: np.ndarray
+    places: np.ndarray
+    histories: np.ndarray | None = None
+    n: np.ndarray | None = None
+    own: np.ndarray | None = None
+    sums: np.ndarray | None = None
+
+
+class Grams:
+    """The tokens and n-grams of texts, and rounds 1 to order of questions about them."""
+
+    def __init__(self, block: Block, counted: np.ndarray, order: int):
+        self.counted, self.order = counted, order
+        self.tokens = self.longest = _mixed(block.hashes)
+        self.begins = block.text != _shifted(block.text, -1)
+        keys, places = np.unique(self.tokens, return_inverse=True)
+        self.levels = [Level(keys, places.astype(np.int32))]
+
+    def _grow(self) -> None:
+        """Adds the next longer n-grams, but not those that can't occur often enough as a shorter one doesn't."""
+        last, size = self.levels[-1], len(self.levels) + 1
+        if size == 2:
+            whole, first = np.ones(len(self.tokens), bool), np.searchsorted(last.keys, _mixed(np.array([END])))[0]
+            before = np.where(self.begins, _mixed(np.array([END])), _shifted(self.tokens, 0))
+        else:
+            often, first, before = last.n[last.places] >= LEAST_GRAM, len(last.keys), _shifted(self.longest, 0)
+            whole = often & _shifted(often, False) & ~self.begins
+        self.longest = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + self.tokens)
+        del before
+        keys, index = np.unique(self.longest[whole], return_inverse=True)
+        places = np.full(len(whole), len(keys), np.int32)
+        places[whole] = index
+        self.levels.append(Level(keys, places, np.where(self.begins, np.int32(first), _shifted(last.places, 0))))
+        if size == self.order:
+            self.tokens = self.longest = None
+
+    def question(self, number: int) -> np.ndarray:
+        """Sorted keys of a round, after the answers of those before it."""
+        self.wanted: list[tuple[int, np.ndarray | None]] = []  # levels, and the places there for sums, or None for counts
+        for size in (1, 2) if number == 1 else (number + 1,):
+            if size <= self.order:
+                if size > 1:
+                    self._grow()
+                self.wanted.append((size - 1, None))
+        if number > 1:
+            level, above = self.levels[number - 2], self.levels[number - 1]
+            some = np.zeros(len(level.keys) + 1, bool)
+            some[above.histories] = True
+            self.wanted.append((number - 2, np.flatnonzero(some & (level.n >= LEAST_GRAM))))
+        keys = np.concatenate([self.levels[k].keys if at is None else self.levels[k].keys[at] for k, at in self.wanted])
+        self.sorted = np.argsort(keys)
+        return keys[self.sorted]
+
+    def values(self) -> np.ndarray:
+        """What is known here about the keys of the question: counts, and sums in tenths of n-grams that are own."""
+        out = []
+        for k, at in self.wanted:
+            level = self.levels[k]
+            if at is None:
+                out.append(np.bincount(level.places[self.counted], minlength=len(level.keys) + 1)[:-1])
+            else:
+                above, sums = self.levels[k + 1], np.zeros(len(level.keys) + 1, np.int64)
+                history = np.empty(len(above.keys) + 1, np.int64)
+                history[above.places] = above.histories
+                some = np.flatnonzero((above.n >= LEAST_GRAM) & above.own)
+                np.add.at(sums, history[some], 10 * above.n[some] - DISCOUNT)
+                out.append(sums[at])
+        return np.concatenate(out)[self.sorted]
+
+    def answer(self, totals: np.ndarray, own: np.ndarray) -> None:
+        said, mine, start = np.empty_like(totals), np.empty_like(own), 0
+        said[self.sorted], mine[self.sorted] = totals, own
+        for k, at in self.wanted:
+            level = self.levels[k]
+            to = start + (len(level.keys) if at is None else len(at))
+            if at is None:
+                level.n, level.own = np.append(said[start:to], 0), np.append(mine[start:to], False)
+            else:
+                level.sums = np.zeros(len(level.keys) + 1, np.int64)
+                level.sums[at] = said[start:to]
+            start = to
+
+    def known(self) -> list[int]:
+        """Tokens counted here; of the different tokens that are own, all that were seen, and those seen 1, 2, 3 and 4 times."""
+        seen = self.levels[0].n[self.levels[0].own]
+        return [int(self.counted.sum()), len(seen), *[int((seen == k).sum()) for k in (1, 2, 3, 4)]]
+
+    def probabilities(self, root: np.ndarray) -> np.ndarray:
+        p = root
+        for level, above in zip(self.levels, self.levels[1:], strict=False):
+            p = step(p, above.n[above.places], level.n[above.histories], level.sums[above.histories])
+        return p
+
+
+def step(p: np.ndarray, n: np.ndarray, of: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Probabilities with a history, from those with the next shorter one, the n-grams' and the histories' counts, and the
+    histories' sums."""
+    of = np.maximum(of, 1)
+    arc = np.where(n >= LEAST_GRAM, (10 * n - DISCOUNT) / (10 * of), 0.0)
+    return arc + np.maximum(1e-9, 1 - sums / (10 * of)) * p  # the failure arc's weight
+
+
 class Automaton:
-    """frequent: sorted hashes of the tokens of longer n-grams, with their counts; grams: for each length from 2 on, sorted
-    keys and counts. A key has a digit for each token, its place in frequent plus 1, in base len(frequent) + 1.
+    """keys: sorted, of tokens and n-grams; n: their counts; sums: of the kept n-grams that they are the history of.
     of_counts: how many tokens were seen 1, 2, 3 and 4 times."""
 
-    def __init__(self, tokens: int, kinds: int, of_counts: list[int], frequent: np.ndarray, counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.n, self.kinds, self.frequent = tokens, kinds, frequent
+    def __init__(self, tokens: int, kinds: int, of_counts: list[int], keys: np.ndarray, n: np.ndarray, sums: np.ndarray, order: int = ORDER):
+        self.n, self.kinds, self.order, self.keys = tokens, kinds, order, keys
         self.discounts = np.array([0.0, *discounts(of_counts)])
         taken = self.discounts[1] * of_counts[0] + self.discounts[2] * of_counts[1] + self.discounts[3] * (kinds - of_counts[0] - of_counts[1])
         self.unseen = taken / tokens if tokens else 1.0
-        self.base = len(frequent) + 1
-        self.levels = []
-        before_keys, before_counts = np.arange(1, self.base, dtype=np.int64), counts.astype(np.float64)
-        for keys, values in grams:
-            history = keys // self.base
-            total = _looked_up(history, before_keys, before_counts, 0.0)
-            fine = total > 0
-            keys, history, total, values = keys[fine], history[fine], total[fine], values[fine].astype(np.float64)
-            weight = np.maximum(values - DISCOUNT, 0) / total
-            states, index = np.unique(history, return_inverse=True)
-            backoff = np.maximum(1e-9, 1 - np.bincount(index, weights=weight, minlength=len(states)))
-            self.levels.append((keys, weight, states, backoff))
-            before_keys, before_counts = keys, values
+        self.counts, self.sums = np.append(n, 0), np.append(sums, 0)
 
     def digits(self, hashes: np.ndarray) -> np.ndarray:
-        """1 and more: place in frequent; 0: not there."""
-        return _looked_up(hashes, self.frequent, np.arange(1, self.base, dtype=np.int64), 0)
+        return _mixed(hashes)
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         """Probabilities without a history, from tokens' counts."""
         left = counts - self.discounts[np.minimum(counts, 3).astype(np.int64)]
         return np.where(counts > 0, left / max(1, self.n), self.unseen)
 
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return _looked_up(keys, self.keys, np.arange(len(self.keys)), len(self.keys))
+
     def log10(self, digits: np.ndarray, text: np.ndarray, root: np.ndarray) -> np.ndarray:
         """Of each token. A text begins in the state of an end."""
+        none, begins = len(self.keys), text != _shifted(text, -1)
+        longer = [np.where(whole, self.places(keys), none) for keys, whole in gram_keys(digits, text, self.order)]
+        first = np.where(begins, self.places(_mixed(np.array([END]))), _shifted(self.places(digits), none))
+        histories = [first, *[np.where(begins, none, _shifted(p, none)) for p in longer[:-1]]][: self.order - 1]
         p = root
-        begins = np.concatenate(([True], text[1:] != text[:-1])) if len(text) else np.empty(0, bool)
-        end = self.digits(np.array([END]))[0] if self.base > 1 else 0
-        first = np.where(begins, np.arange(len(text)), 0)
-        since = np.arange(len(text)) - np.maximum.accumulate(first) if len(text) else np.empty(0, np.int64)
-        history, whole = np.zeros(len(text), np.int64), np.ones(len(text), bool)
-        for back, (keys, weight, states, backoff) in enumerate(self.levels, 1):
-            there = np.zeros(len(text), np.int64)
-            there[back:] = digits[:-back] if back < len(text) else there[back:]
-            there = np.where(since >= back, there, np.where(since == back - 1, end, 0))
-            whole &= there > 0
-            history = history + there * self.base ** (back - 1)
-            known = np.where(whole, history, -1)
-            left = _looked_up(known, states, backoff, 1.0)  # the failure arc's weight
-            arc = np.where(whole & (digits > 0), _looked_up(history * self.base + digits, keys, weight, 0.0), 0.0)
-            p = arc + left * p
+        for place, history in zip(longer, histories, strict=True):
+            p = step(p, self.counts[place], self.counts[history], self.sums[history])
         return np.log10(p)
 
     def walk(self, digits: list[int], root: list[float]) -> float:
         """The same for one text, token by token: the state is the longest kept history."""
-        end = int(self.digits(np.array([END]))[0]) if self.base > 1 else 0
-        carried, total = [end], 0.0
-        tables = [(dict(zip(k.tolist(), w.tolist(), strict=True)), dict(zip(s.tolist(), b.tolist(), strict=True))) for k, w, s, b in self.levels]
+        table = {k: (n, s) for k, n, s in zip(self.keys.tolist(), self.counts.tolist(), self.sums.tolist(), strict=False)}
+        one = lambda x: int(_mixed(np.array([x % 2**64], np.uint64))[0])
+        carried, total = [one(int(END))], 0.0
         for digit, p in zip(digits, root, strict=True):
-            chain = []
-            for back in range(1, len(self.levels) + 1):
-                last = carried[-back:]
-                if len(last) < back or not all(last):
-                    break
-                chain.append(sum(d * self.base**i for i, d in enumerate(reversed(last))))
-            for (arcs, backoffs), history in zip(tables, chain, strict=False):
-                p = (arcs.get(history * self.base + digit, 0.0) if digit else 0.0) + backoffs.get(history, 1.0) * p
+            now = [digit]
+            for history in carried:
+                n, kept = table.get(history, (0, 0))
+                now.append(one(history * 0x9E3779B97F4A7C15 + digit))
+                arc = table.get(now[-1], (0, 0))[0]
+                p = ((10 * arc - DISCOUNT) / (10 * n) if arc >= LEAST_GRAM else 0.0) + max(1e-9, 1 - kept / (10 * max(n, 1))) * p
             total += float(np.log10(p))
-            carried = [*carried, digit][-len(self.levels) :] if self.levels else [0]
+            carried = now[: self.order - 1]
         return total
 
 
@@ -196,52 +306,111 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return settled(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
 
 
-def gram_counts(docs: DataFrame, frequent: np.ndarray, order: int) -> DataFrame:
-    """size, key, n: of n-grams of frequent tokens, of size 2 and more."""
-    base = len(frequent) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {size: Counter64() for size in range(2, order + 1)}
-        places = np.arange(1, base, dtype=np.int64)
-        end = _looked_up(np.array([END]), frequent, places, 0)[0]
-        for batch in batches:
-            for _, _, block in blocks(batch.column(0).to_pylist()):
-                digits = _looked_up(block.hashes, frequent, places, 0)
-                begins = np.flatnonzero(np.concatenate(([True], block.text[1:] != block.text[:-1])))
-                padded = np.insert(digits, begins, end)  # a text begins in the state of an end
-                counted = np.insert(np.ones(len(digits), bool), begins, False)
-                history, whole = padded.copy(), (padded > 0) & counted
-                for size in range(2, order + 1):
-                    back = np.zeros(len(padded), np.int64)
-                    back[size - 1 :] = padded[: -(size - 1)]
-                    same = np.ones(len(padded), bool)
-                    for k in range(size - 1):  # no n-gram goes over the beginning of a text
-                        same[k:] &= counted[: len(padded) - k]
-                    whole = whole & (back > 0) & same
-                    history = history + back * base ** (size - 1)
-                    counts[size].add(history[whole])
-        for size, counter in counts.items():
-            keys, n = counter.total()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size), pa.int32()), _signed(keys), pa.array(n, pa.int64())], ["size", "key", "n"])
-
-    return docs.select("text").mapInArrow(run, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
+def gathered(batch: list[str] | list[bytes]) -> Block:
+    """All texts as one block."""
+    hashes, text = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+    for at, _, block in blocks(batch):
+        hashes.append(block.hashes)
+        text.append((block.text + at).astype(np.int32))
+    return Block(np.concatenate(hashes), np.concatenate(text))
 
 
 def train(docs: DataFrame, order: int = ORDER) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the counts of all tokens, learned from all rows of (text)."""
-    totals = token_counts(docs)
-    kinds, tokens, *of_counts = totals.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), *[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
-    common = totals.filter(F.col("n") >= FREQUENT * tokens).toPandas()  # at most 1 / FREQUENT rows
-    frequent = common["token"].to_numpy(np.int64).view(np.uint64)
-    by_hash = np.argsort(frequent)
-    frequent, counts = frequent[by_hash], common["n"].to_numpy(np.int64)[by_hash]
-    found = gram_counts(docs, frequent, order)
-    kept = found.filter(F.col("n") >= max(LEAST_GRAM, FREQUENT_GRAM * tokens)).toPandas()  # at most 1 / FREQUENT_GRAM rows of each size
-    grams = []
-    for size in range(2, order + 1):
-        own = kept[kept["size"] == size].sort_values("key")
-        grams.append((own["key"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
-    return Automaton(int(tokens), int(kinds), of_counts, frequent, counts, grams), totals
+    """The automaton in one place, and the counts of all tokens, learned from all rows of (text): for small tables, as
+    score() deals it out."""
+    block = gathered([text for (text,) in docs.select("text").collect()])
+    grams = Grams(block, np.ones(len(block.hashes), bool), order)
+    for number in range(1, order + 1):
+        grams.question(number)
+        grams.answer(values := grams.values(), values > 0)
+    tokens, kinds, *of_counts = grams.known()
+    keys, n = np.concatenate([x.keys for x in grams.levels]), np.concatenate([x.n[:-1] for x in grams.levels])
+    sums = np.concatenate([np.zeros(len(x.keys), np.int64) if x.sums is None else x.sums[:-1] for x in grams.levels])
+    by_key = np.argsort(keys)
+    return Automaton(tokens, kinds, of_counts, keys[by_key], n[by_key], sums[by_key], order), token_counts(docs)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte: the high bytes are mostly 0."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], 8 * size, "zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, size).T).view("<u8").ravel()
+
+
+PACK = "block int, doc_ids array<long>, held_out array<boolean>, sizes array<long>, data binary"
+
+
+def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, held_out, block) with the texts of a batch that go to the same block, lower-cased, in one row."""
+    zstd = pa.Codec("zstd", 6)
+    for batch in batches:
+        ids, held, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+        null, words = batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        out: list[list] = [[], [], [], [], []]
+        for which in np.unique(block).tolist():
+            own = np.flatnonzero(block == which)
+            parts = [words[i].encode("utf-8", "surrogatepass").lower() for i in own]
+            row = (which, [None if null[i] else int(ids[i]) for i in own], held[own].tolist(), [len(x) for x in parts], zstd.compress(b"".join(parts), asbytes=True))
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], [x.split()[0] for x in PACK.split(", ")])
+
+
+def opened(table: pa.Table) -> tuple[list[int | None], np.ndarray, list[bytes]]:
+    """doc_id, held_out and text of what was packed."""
+    ids, held, found = [], [], []
+    for row in table.to_pylist():
+        ids += row["doc_ids"]
+        held += row["held_out"]
+        data, at = pa.decompress(row["data"], sum(row["sizes"]), "zstd", asbytes=True) if any(row["sizes"]) else b"", 0
+        for size in row["sizes"]:
+            found.append(data[at : at + size])
+            at += size
+    return ids, np.array(held, bool), found
+
+
+QUESTION = "block int, range int, keys binary, counts binary, known array<long>"
+ANSWER = "block int, range int, totals binary, known array<long>"
+
+
+def questions(block: int, keys: np.ndarray, counts: np.ndarray, known: list[int], ranges: int) -> pa.Table:
+    """A row for each range of keys, also for those without any."""
+    cuts = [0, *np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)).tolist(), len(keys)]
+    parts = list(zip(cuts, cuts[1:], strict=False))
+    return pa.table({
+        "block": pa.array([block] * ranges, pa.int32()), "range": pa.array(range(ranges), pa.int32()),
+        "keys": pa.array([packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()),
+        "counts": pa.array([packed(counts[a:b]) for a, b in parts], pa.binary()), "known": pa.array([known] * ranges, pa.list_(pa.int64())),
+    })
+
+
+def answers(asked: pa.Table) -> pa.Table:
+    """For the questions of all blocks to one range: each key's total, twice, and 1 more for the first block that counted it."""
+    asked = asked.sort_by("block")  # the first one is the same if a task runs again
+    keys = [np.cumsum(unpacked(x), dtype=np.uint64) for x in asked["keys"].to_pylist()]
+    counts = np.concatenate([unpacked(x) for x in asked["counts"].to_pylist()]).astype(np.int64)
+    different, index = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.zeros(len(different), np.int64)
+    np.add.at(totals, index, counts)
+    some = np.flatnonzero(counts > 0)
+    _, first = np.unique(index[some], return_index=True)
+    out = 2 * totals[index]
+    out[some[first]] += 1
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    known = np.sum(asked["known"].to_pylist(), axis=0).tolist()
+    return pa.table({"block": asked["block"], "range": asked["range"], "totals": pa.array([packed(x) for x in np.split(out, cuts)], pa.binary()), "known": pa.array([known] * len(asked), pa.list_(pa.int64()))})
+
+
+def answered(asked: DataFrame, n: int, name: str) -> DataFrame:
+    """block, and all answers to it."""
+    found = asked.repartition(n, "range").groupBy("range").applyInArrow(answers, ANSWER).repartition(n, "block")
+    return found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "totals", "known"))).alias(name))
 
 
 def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = ORDER) -> DataFrame:
@@ -249,50 +418,57 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = OR
 
     Null texts are empty and have their end as the only token; repeated rows and null doc_ids stay; if no rows are
     there to learn from, all tokens are unseen, and base and score are 0; an empty
-    table gives no rows; other columns are left out. Tokens are told apart by 64-bit hashes.
+    table gives no rows; other columns are left out. Tokens and n-grams are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
+    n = partitions(docs.sparkSession)
     rows = texts(docs, (crc_remainder("doc_id", modulus) == held_out).alias("held_out"))
-    automaton, totals = train(rows.filter(~F.col("held_out")), order)
-    n = partitions(spark)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
-    shared = spark.sparkContext.broadcast(automaton)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    dealt = rows.select("doc_id", "text", "held_out", "block").mapInArrow(packs, PACK).repartition(n, "block")
     names = [x.split()[0] for x in SCORES.split(", ")]
 
-    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, Counter64] = {}
-        for batch in batches:
-            column, block_of = batch.column(2 - 1).to_pylist(), batch.column(3).to_numpy()
-            for which in np.unique(block_of).tolist():
-                counter = found.setdefault(which, Counter64())
-                for _, _, block in blocks([column[i] for i in np.flatnonzero(block_of == which)]):
-                    counter.add(block.hashes)
-        for which, counter in found.items():
-            keys, _ = counter.total()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), which), pa.int32()), _signed(keys)], ["block", "token"])
-
-    wanted = dealt.select("doc_id", "text", "held_out", "block").mapInArrow(tokens_of, "block int, token long")
-    known = wanted.join(totals, "token").select("block", "token", "n")
+    def asked(held: np.ndarray, found: list[bytes], right: pa.Table | None, rounds: int) -> tuple[Block, Grams, list[int]]:
+        """The block's n-grams after the answers of so many rounds, and what they say about the whole."""
+        block, known = gathered(found), [0] * 6
+        grams = Grams(block, ~held[block.text], order)
+        for number in range(1, rounds + 1):
+            grams.question(number)
+            said = right[f"answer{number}"].to_pylist()[0]
+            totals = np.concatenate([unpacked(x["totals"]) for x in said]).astype(np.int64)
+            grams.answer(totals >> 1, (totals & 1).astype(bool))
+            known = said[0]["known"]
+        return block, grams, known
+
+    def first(left: pa.Table) -> pa.Table:
+        _, grams, known = asked(*opened(left)[1:], None, 0)
+        return questions(left["block"][0].as_py(), grams.question(1), grams.values(), known, n)
+
+    def further(number: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            _, grams, _ = asked(*opened(left)[1:], right, number - 1)
+            return questions(left["block"][0].as_py(), grams.question(number), grams.values(), grams.known(), n)
+
+        return run
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = shared.value
-        tokens = right["token"].to_numpy().view(np.uint64)
-        by_hash = np.argsort(tokens)
-        tokens, counts = tokens[by_hash], right["n"].to_numpy()[by_hash]
-        lists: dict[str, list] = {k: [] for k in names}
-        for at, to, block in blocks(left["text"].to_pylist()):
-            size = to - at
-            own, index = np.unique(block.hashes, return_inverse=True)
-            c = _looked_up(own, tokens, counts, 0)
-            log10 = model.log10(model.digits(block.hashes), block.text, model.root(c)[index])
-            base = np.log10((c + 0.1) / (model.n + 0.1 * (model.kinds + 1)))[index]
-            lists["n_tokens"] += np.bincount(block.text, minlength=size).tolist()
-            lists["n_known"] += np.bincount(block.text, weights=c[index] > 0, minlength=size).astype(int).tolist()
-            lists["base_score"] += np.bincount(block.text, weights=base, minlength=size).tolist()
-            lists["score"] += np.bincount(block.text, weights=log10, minlength=size).tolist()
-        lists["train_tokens"] = [model.n] * len(left)
-        lists["doc_id"], lists["held_out"] = left["doc_id"].to_pylist(), left["held_out"].to_pylist()
-        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
-        return pa.table([pa.array(lists[k], t) for k, t in zip(names, kinds, strict=True)], names=names)
-
-    return dealt.select("doc_id", "text", "held_out", "block").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, SCORES)
+        ids, held, found = opened(left)
+        block, grams, (tokens, kinds, *of_counts) = asked(held, found, right, order)
+        none = np.empty(0, np.int64)
+        model, c = Automaton(tokens, kinds, of_counts, none, none, none, order), grams.levels[0].n[grams.levels[0].places]
+        log10 = np.log10(grams.probabilities(model.root(c)))
+        base = np.log10((c + 0.1) / (model.n + 0.1 * (model.kinds + 1)))
+        size = len(ids)
+        lists = {
+            "doc_id": pa.array(ids, pa.int64()), "held_out": held, "n_tokens": np.bincount(block.text, minlength=size),
+            "n_known": np.bincount(block.text, weights=c > 0, minlength=size).astype(np.int64), "train_tokens": np.full(size, model.n),
+            "base_score": np.bincount(block.text, weights=base, minlength=size), "score": np.bincount(block.text, weights=log10, minlength=size),
+        }
+        return pa.table({k: lists[k] for k in names})
+
+    def blocked():
+        return dealt.groupBy("block")
+
+    known = answered(blocked().applyInArrow(first, QUESTION), n, "answer1")
+    for number in range(2, order + 1):
+        asking = blocked().cogroup(known.groupBy("block")).applyInArrow(further(number), QUESTION)
+        known = known.join(answered(asking, n, f"answer{number}"), "block")
+    return blocked().cogroup(known.groupBy("block")).applyInArrow(scored, SCORES)

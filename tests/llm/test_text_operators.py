@@ -185,6 +185,49 @@ def test_automaton_carries_its_state_and_sums_to_one(spark):
         assert total == pytest.approx(1)
 
 
+def test_language_model_keeps_rare_words(spark):
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(20)]
+    rows = [(i, " ".join(rng.choices(common, k=5000))) for i in range(40)] + [(i, "Rare words meet c1 here once") for i in range(40, 52)] + [(60, "two times only"), (62, "two times only c3"), (63, "")]
+    out = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    assert not out(60) and not out(62)
+    tokens = lambda t: [*t.lower().split(), "<end>"]
+    c = [Counter(), Counter(), Counter()]
+    for d, t in rows:
+        if not out(d):
+            own = tokens(t)
+            padded = ["<end>", *own]
+            c[0].update((w,) for w in own)
+            c[1].update(zip(padded, own, strict=False))
+            c[2].update(zip(padded, own, own[1:], strict=False))
+    n = sum(c[0].values())
+    assert c[0][("two",)] == 2 < 1e-5 * n * 2
+    d = np.array([0, *language_model.discounts([sum(x == k for x in c[0].values()) for k in (1, 2, 3, 4)])])
+    unseen = sum(d[min(x, 3)] for x in c[0].values()) / n
+    kept = [{g: x for g, x in level.items() if x >= 2} for level in c]
+    mass = defaultdict(float)
+    for level in kept[1:]:
+        for g, x in level.items():
+            mass[g[:-1]] += x - 0.7
+
+    def brute(t):
+        total, padded = 0.0, ["<end>", *tokens(t)]
+        for i in range(1, len(padded)):
+            x = c[0][(padded[i],)]
+            p = (x - d[min(x, 3)]) / n if x else unseen
+            for size in (2, 3):
+                if i - size + 1 >= 0:
+                    g = tuple(padded[i - size + 1 : i + 1])
+                    of = c[size - 2][g[:-1]]
+                    if of:
+                        p = (kept[size - 1].get(g, 0.7) - 0.7) / of + (1 - mass[g[:-1]] / of) * p
+            total += math.log10(p)
+        return total
+
+    got = {r.doc_id: r.score for r in language_model.score(documents(spark, rows)).collect()}
+    assert got == pytest.approx({d: brute(t) for d, t in rows})
+
+
 def test_segmentation_against_enumeration(spark):
     own = pieces.Segmenter(tokenizer_path("piece_bpe_32k.model"))
     p = own.pieces

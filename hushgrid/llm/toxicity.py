@@ -24,7 +24,7 @@ from .common import crc_remainder, texts
 from .shingles import WORD, prefix_sums, runs, shingle_hashes, span_hashes
 
 SAMPLE = 1200  # labelled documents of either class that the model is fitted to, at most
-SAMPLE_MB = 8  # of text of either class in the sample
+SAMPLE_MB = 8  # million characters of text of either class in the sample, at most
 FEATURES = 50_000  # most weights
 ODDS = 10.0  # how many times the share of documents with a feature must be among toxic ones
 LEAST_DOCS = 3  # toxic documents that have the feature
@@ -256,7 +256,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> Chain:
     """Fits a chain to at most SAMPLE documents of either class, drawn by a hash of doc_id from all labelled rows that
-    aren't held out. Rows without doc_id or label don't count; a doc_id with both labels is toxic."""
+    aren't held out. Of these, a document that would take its class over SAMPLE_MB million characters is passed over, and
+    the next ones that fit are taken. Rows without doc_id or label don't count; a doc_id with both labels is toxic."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     named = named.filter(crc_remainder("doc_id", modulus) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample: list[tuple[str, int]] = []
@@ -264,10 +265,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
         ids = named.filter((F.col("toxic") > 0) == bool(y)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(SAMPLE)
         size = 0
         for (text,) in texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").select("text").limit(SAMPLE).toLocalIterator():
-            size += len(text)
-            if size > SAMPLE_MB * 1_000_000:
-                break
-            sample.append((text, y))
+            if size + len(text) <= SAMPLE_MB * 1_000_000:
+                size += len(text)
+                sample.append((text, y))
     return fit(sample)
 
 

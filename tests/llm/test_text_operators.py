@@ -312,3 +312,15 @@ def test_toxicity_on_held_out_documents(spark):
     empty = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.toxicity(docs, empty).collect()} == {0.0}
     assert toxicity.toxicity(documents(spark, []), chain).count() == 0
+
+
+def test_toxicity_passes_over_a_document_that_is_too_long(spark):
+    rows = [(i, f"some plain words {i} of text" + (" with vile grotty talk" if i % 2 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    order = labels.filter("toxic = 1 and crc32(cast(cast(doc_id as string) as binary)) % 3 != 1").orderBy(F.xxhash64("doc_id", F.lit(11))).first().doc_id
+    long = "vile " * (toxicity.SAMPLE_MB * 200_000 + 1)
+    docs = documents(spark, [(d, long if d == order else t) for d, t in rows])
+    chain = toxicity.train(docs, labels)
+    assert chain.aggregate is not None and len(chain.known)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(documents(spark, rows), chain).collect()}
+    assert got == {i: i % 2 for i in range(60)}

@@ -324,3 +324,9 @@ def test_toxicity_passes_over_a_document_that_is_too_long(spark):
     assert chain.aggregate is not None and len(chain.known)
     got = {r.doc_id: r.predicted for r in toxicity.toxicity(documents(spark, rows), chain).collect()}
     assert got == {i: i % 2 for i in range(60)}
+
+
+def test_labelled_urls_have_no_hosts_of_the_given_tables(spark):
+    given = {"casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"}
+    rows = urls.labelled_urls(spark).select(urls.host_of(F.col("url")).alias("host")).collect()
+    assert rows and not [r.host for r in rows if given & set(r.host.split("."))]

@@ -11,6 +11,7 @@ Each task packs the documents of its own partition in one pass over them. No row
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,13 +20,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import frugal, parts_of, texts
 
 LENGTH = 1024  # tokens of a sequence
 OPEN_BINS = 4096  # sequences that a task keeps open
 END_ID = 2  # follows each document
-# Fixed value: how the byte-level vocabulary's pre-tokenizer splits texts.
-SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -78,18 +77,21 @@ class Encoder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.tokenizer = path, None
         letters = byte_letters()
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
-        self.fast = tiktoken.Encoding("same", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            told = json.load(file)
+        self.special = [t["content"] for t in told["added_tokens"]]
+        ranks = {bytes(letters[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in self.special}
+        self.fast = tiktoken.Encoding("same", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.special):
+            if self.tokenizer is None:  # only where a text needs it, as it takes memory
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
@@ -103,17 +105,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-_encoders: dict[str, Encoder] = {}
-
+def pattern() -> str:
+    """How the byte-level vocabulary's pre-tokenizer splits texts, as its package says."""
+    import public_tokenizers
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    if path not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return public_tokenizers.PATTERN
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -133,11 +129,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         high = (context.partitionId() if context else 0) << 40
-        encode, bins = encoder(path).encode, BestFit(length, open_bins)
-        for batch in batches:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encode, bins = Encoder(path).encode, BestFit(length, open_bins)
+        for batch in parts_of(batches):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = memoryview(encode(text) + end)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = memoryview(encode(text.as_py()) + end)
                 for piece, (start, size) in enumerate(cut(len(data) // 4, length)):
                     number, offset = bins.place(size)
                     rows.append((doc, piece, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), high | number, offset))
@@ -147,4 +144,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN
                 names = [x.split()[0] for x in PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return texts(docs).mapInArrow(run, PIECES)
+    return texts(docs).mapInArrow(frugal(run), PIECES)

@@ -7,7 +7,7 @@ if toxic tokens of the sample had them; any other token is neutral, and a run of
 matrix, so that forward-backward over a whole text takes a step for each token that isn't neutral. The marginals at
 these are aggregated: their sum, maximum and share go through a logistic function fitted to the sample's labels.
 
-The model is a few thousand numbers, bounded by FEATURES; documents are scored where they are, without a shuffle.
+The model is a few thousand numbers, bounded by the sample; documents are scored where they are, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, texts
+from .common import crc_remainder, frugal, texts
 from .shingles import WORD, prefix_sums, runs, shingle_hashes, span_hashes
 
-SAMPLE = 1200  # labelled documents of either class that the model is fitted to, at most
-SAMPLE_MB = 8  # million characters of text of either class in the sample, at most
-FEATURES = 50_000  # most weights
+SAMPLE = 1500  # labelled documents of either class that the model is fitted to, at most
+SAMPLE_MB = 12  # million characters of text of either class in the sample, at most
 ODDS = 10.0  # how many times the share of documents with a feature must be among toxic ones
 LEAST_DOCS = 3  # toxic documents that have the feature
 REJECTED = 0.7  # score of a document that counts as toxic
@@ -166,17 +165,14 @@ def _aggregates(sequences: Sequences, marginals: np.ndarray) -> np.ndarray:
 
 
 def _distinct(sample: list[str]) -> list[int]:
-    """Indices of texts without those whose shingles mostly stand in earlier ones: copies would make their words count."""
-    seen: set[int] = set()
-    kept = []
-    for i, text in enumerate(sample):
-        hashes = np.unique(shingle_hashes(text))
-        some = hashes[hashes % np.uint64(4) == 0]  # a quarter, chosen by content, tells copies as well
-        own = set((some if len(some) >= 16 else hashes).tolist())
-        if len(own & seen) <= 0.5 * len(own):
-            kept.append(i)
-        seen |= own
-    return kept
+    """Indices of texts without those most of whose shingles stand in earlier ones: copies would make their words count."""
+    if not sample:
+        return []
+    sets = [np.unique(shingle_hashes(text)) for text in sample]
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, first, index = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
+    earlier = np.bincount(of, weights=of[first][index] < of, minlength=len(sets))
+    return np.flatnonzero(earlier <= 0.5 * np.bincount(of, minlength=len(sets))).tolist()
 
 
 def fit(sample: list[tuple[str, int]]) -> Chain:
@@ -187,10 +183,13 @@ def fit(sample: list[tuple[str, int]]) -> Chain:
     labels = np.array([y for _, y in sample])
     if not labels.any():
         return chain
-    features = [token_features(t)[2] for t, _ in sample]
+
+    def features() -> Iterator[np.ndarray]:  # anew for each pass: those of all texts take far more memory than the texts
+        for text, _ in sample:
+            yield token_features(text)[2]
 
     def by_docs(of: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = [np.unique(f[f != 0]) for f, y in zip(features, labels, strict=True) if y == of]
+        rows = [np.unique(f[f != 0]) for f, y in zip(features(), labels, strict=True) if y == of]
         return np.unique(np.concatenate(rows), return_counts=True) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     (toxic, of_toxic), (clean, of_clean) = by_docs(1), by_docs(0)
@@ -198,13 +197,12 @@ def fit(sample: list[tuple[str, int]]) -> Chain:
     others = np.where(clean[at] == toxic, of_clean[at], 0) if len(clean) else np.zeros(len(toxic))
     odds = ((of_toxic + 0.5) / labels.sum()) / ((others + 0.5) / max(1, (1 - labels).sum()))
     marked = toxic[(odds >= ODDS) & (of_toxic >= LEAST_DOCS)]
-    gold = [np.isin(f, marked).any(axis=1) if y else np.zeros(len(f), bool) for f, y in zip(features, labels, strict=True)]
-    used, times = np.unique(np.concatenate([f[g].ravel() for f, g in zip(features, gold, strict=True)]), return_counts=True)
-    used, times = used[used != 0], times[used != 0]
-    chain.known = np.sort(used[np.lexsort((used, -times))][:FEATURES])
+    gold = [np.isin(f, marked).any(axis=1) if y else np.zeros(len(f), bool) for f, y in zip(features(), labels, strict=True)]
+    used = np.unique(np.concatenate([np.unique(f[g]) for f, g in zip(features(), gold, strict=True)]))
+    chain.known = used[used != 0]
     chain.weights = np.zeros(len(chain.known))
-    found = [chain.potentials(f) for f in features]
-    sequences = Sequences([len(f) for f in features], [p for p, _ in found])
+    found = [chain.potentials(f) for f in features()]
+    sequences = Sequences([len(g) for g in gold], [p for p, _ in found])
     index = np.concatenate([found[i][1] for i in sequences.order])
     truth = np.concatenate([gold[i][found[i][0]] for i in sequences.order]).astype(np.float64)
     pairs = [np.concatenate(([False], g)).astype(int) for g in gold]
@@ -254,18 +252,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> Chain:
-    """Fits a chain to at most SAMPLE documents of either class, drawn by a hash of doc_id from all labelled rows that
-    aren't held out. Of these, a document that would take its class over SAMPLE_MB million characters is passed over, and
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, sample_docs: int = SAMPLE, sample_mb: float = SAMPLE_MB) -> Chain:
+    """Fits a chain to at most sample_docs documents of either class, drawn by a hash of doc_id from all labelled rows that
+    aren't held out. Of these, a document that would take its class over sample_mb million characters is passed over, and
     the next ones that fit are taken. Rows without doc_id or label don't count; a doc_id with both labels is toxic."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     named = named.filter(crc_remainder("doc_id", modulus) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample: list[tuple[str, int]] = []
     for y in (0, 1):
-        ids = named.filter((F.col("toxic") > 0) == bool(y)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(SAMPLE)
+        ids = named.filter((F.col("toxic") > 0) == bool(y)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample_docs)
         size = 0
-        for (text,) in texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").select("text").limit(SAMPLE).toLocalIterator():
-            if size + len(text) <= SAMPLE_MB * 1_000_000:
+        for (text,) in texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").select("text").limit(sample_docs).toLocalIterator():
+            if size + len(text) <= sample_mb * 1_000_000:
                 size += len(text)
                 sample.append((text, y))
     return fit(sample)
@@ -324,7 +322,7 @@ def toxicity(docs: DataFrame, chain: Chain, modulus: int = 3, held_out: int = 1)
                 flags = pa.array([int(r[0] >= REJECTED) for r in rows], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), score, flags, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), spans], [x.split()[0] for x in SCORES.split(", ")])
 
-    return texts(docs, (crc_remainder("doc_id", modulus) == held_out).alias("held_out")).mapInArrow(run, SCORES)
+    return texts(docs, (crc_remainder("doc_id", modulus) == held_out).alias("held_out")).mapInArrow(frugal(run), SCORES)
 
 
 def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -340,4 +338,4 @@ def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
                 if kept.num_rows:
                     yield kept
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(frugal(run), docs.schema)

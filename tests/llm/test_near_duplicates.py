@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hushgrid.llm import fingerprints, jaccard, suffixes
 from hushgrid.llm.components import components
@@ -95,10 +96,12 @@ def test_components(spark):
     assert got == {k: v for k, v in least.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
-def repeats(rows, length):
-    """Brute force: (doc_id, n_bytes, n_removed, n_spans, sha) of distinct rows in order."""
+def repeats(spark, rows, length):
+    """Brute force: (doc_id, n_bytes, n_removed, n_spans, sha) of distinct rows in order: of equal ids by a hash."""
+    keyed = documents(spark, rows).select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("k")).collect()
+    order = {(r.doc_id, r.text): r.k for r in keyed}
     seen, out = set(), {}
-    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, order[r])):
         data = (t or "").encode()
         gone = bytearray(len(data))
         for s in range(len(data) - length + 1):
@@ -123,7 +126,7 @@ def passages():
 
 def test_suffix_dedup_against_brute_force(spark, monkeypatch):
     rows = passages()
-    want = repeats(rows, 100)
+    want = repeats(spark, rows, 100)
     expected = sorted(str(want[r][:5]) for r in rows)
     assert sorted(str(tuple(r)) for r in suffixes.removed(documents(spark, rows)).collect()) == expected
     clean = suffixes.without_repeats(documents(spark, rows))
@@ -147,15 +150,39 @@ def test_long_texts_in_pieces(monkeypatch):
     assert len(whole) == sum(max(0, len(d) - 99) for d in data)
 
 
-@pytest.mark.parametrize("depth", [1, 3, 7, 100])
-def test_previous_factor(depth):
-    data = np.random.default_rng(depth).integers(0, 3, 500, dtype=np.uint8)
-    got = suffixes.previous_factor(data, depth)
-    last = {}
-    for i in range(len(data)):
-        w = data[i : i + depth].tobytes()
-        assert got[i] == last.get(w, -1)
-        last[w] = i
+@pytest.mark.parametrize("sweeps", [0, 2, 40])
+@pytest.mark.parametrize("depth", [1, 3, 7, 25, 100])
+def test_longest_previous_factors(monkeypatch, depth, sweeps):
+    monkeypatch.setattr(suffixes, "SWEEPS", sweeps)
+    rng = np.random.default_rng(depth)
+    data = np.concatenate([rng.integers(0, 3, 150, dtype=np.uint8), np.arange(40, dtype=np.uint8), np.zeros(60, np.uint8), rng.integers(0, 2, 60, dtype=np.uint8), np.arange(40, dtype=np.uint8)])
+    text, common = data.tobytes(), np.zeros((len(data) + 1, len(data) + 1), int)
+    for i in range(len(text) - 1, -1, -1):
+        for j in range(i - 1, -1, -1):
+            common[i, j] = common[i + 1, j + 1] + 1 if text[i] == text[j] else 0
+    want = [min(depth, max(common[i, :i], default=0)) for i in range(len(text))]
+    length, source = suffixes.longest_previous(data, depth)
+    assert length.tolist() == want
+    for i, (n, j) in enumerate(zip(length.tolist(), source.tolist())):
+        assert (j == -1) if n == 0 else (j < i and text[j : j + n] == text[i : i + n])
+    some = np.flatnonzero(rng.random(len(data)) < 0.5)
+    length, _ = suffixes.longest_previous(data, depth, some)
+    assert length.tolist() == [min(depth, max((common[i, j] for j in some if j < i), default=0)) for i in some]
+
+
+def test_collided_keys_stay_apart():
+    import pyarrow as pa
+
+    left = pa.table({"key": [5, 5, 7, 5], "doc_id": [1, 2, None, 1], "text": ["a", "b", "c", "a"]})
+    assert suffixes.numbered(left) == [(5, 0), (5, 1), (7, 0), (5, 0)]
+
+
+def test_blocks_are_dealt_one_to_a_task(spark):
+    from hushgrid.llm.common import block_of
+
+    rows = spark.range(5000).withColumn("block", block_of(F.xxhash64("id"), 37)).repartition(37, "block").withColumn("at", F.spark_partition_id())
+    got = rows.groupBy("block").agg(F.count_distinct("at").alias("p"), F.min("at").alias("at")).collect()
+    assert len(got) == 37 and {r.p for r in got} == {1} and sorted(r.at for r in got) == list(range(37))
 
 
 def test_fingerprints(spark):

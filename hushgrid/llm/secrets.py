@@ -40,10 +40,31 @@ KINDS = ("assign", "access", "hex", "key_id", "key", "endpoint")
 PATTERNS = (ASSIGN, ACCESS, HEX, KEY_ID, KEY, ENDPOINT)
 
 
-def _parts(text: Column, kind: int) -> Column:
+def _has(text: Column, *words: str) -> Column:
+    out = F.lit(False)
+    for word in words:
+        out = out | F.contains(text, F.lit(word))
+    return out
+
+
+def _quick(text: Column, low: Column) -> dict[str, Column]:
+    """For each kind a test that all texts pass in which one of this kind is reported; low: the text in lower case. Only
+    where an identifier may stand, keys and endpoints can be."""
+    identifier = _has(text, "ASIA", "AROA", "AIDA") | _has(low, "key_id", "client_id", "account", "login")
+    some = _has(text, "AKIA") | identifier
+    return {
+        "assign": _has(low, "password", "passwd", "secret", "token", "api"),
+        "access": _has(text, "AKIA"),
+        "hex": text.rlike(HEX),
+        "key_id": identifier,
+        "key": some & text.rlike(KEY),
+        "endpoint": some & (_has(text, "http://", "https://") | _has(low, "endpoint", "host")),
+    }
+
+
+def _parts(text: Column, low: Column, kind: int) -> Column:
     """An array of a struct for each match of a kind: the lengths of what stands before it and of itself, and if it counts."""
-    pattern = PATTERNS[kind]
-    quick = {"access": F.contains(text, F.lit("AKIA"))}.get(KINDS[kind], text.rlike(pattern))
+    pattern, quick = PATTERNS[kind], _quick(text, low)[KINDS[kind]]
     between = F.split(text, pattern, -1)
     if KINDS[kind] == "assign":
         matches = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
@@ -68,8 +89,8 @@ def parts(docs: DataFrame, *kept: str) -> DataFrame:
     null in all but one of a row's.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
-    text = F.col("text")
-    found = rows.select("row", "doc_id", *kept, F.posexplode_outer(F.concat(*[_parts(text, k) for k in range(len(KINDS))])).alias("nth", "p"))
+    rows = rows.withColumn("low", F.lower("text"))
+    found = rows.select("row", "doc_id", *kept, F.posexplode_outer(F.concat(*[_parts(F.col("text"), F.col("low"), k) for k in range(len(KINDS))])).alias("nth", "p"))
     found = found.select("row", "doc_id", *[F.when(F.coalesce("nth", F.lit(0)) == 0, F.col(k)).alias(k) for k in kept], "p.*")
     dealt = found.repartition(F.col("row"))
     placed = dealt.withColumn("end", F.sum(F.col("lead") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("i"))).withColumn("start", F.col("end") - F.col("size"))

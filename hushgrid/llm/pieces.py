@@ -9,27 +9,33 @@ chain of the words' lattices, each led by its blanks, and words are looked at on
 - N-best segmentations of a text differ from the best in the N - 1 words that lose least by their second-best path, so
   only for these are N-best paths searched: a backward A* search from the word's end, whose forward Viterbi scores are
   exact heuristics, so that it pops paths in order of their scores and expands nothing that isn't on one of them.
+
+The model decides what scores mean. In a unigram model they are log-probabilities, and the best path is the library's own
+encoding. In a byte-pair model, as the public one is, they are merge ranks, and the library encodes by merges, not by
+scores: of 150 documents none had the same pieces. Best then means least sum of ranks; decoding is the same.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
-from .shingles import prefix_sums, span_hashes
+from .common import frugal, parts_of, texts
+from .shingles import prefix_sums, span_values
 
 BLANK = "▁"
 N_BEST = 3
 LONG = 48  # bytes of words that are run in step; longer ones go one by one
 BLOCK = 1_000_000  # characters of a block of texts
+STEP = 300_000  # bytes of words that are run together
+SLOTS = 18  # bits of a value that say if a piece may begin so
 KEPT = 600_000  # words that a worker remembers
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 SEGMENTED = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, nbest_crc32 array<long>, decoded boolean"
@@ -59,158 +65,173 @@ class Pieces:
                 self.ids[data] = i
             self.bytes_of.append(data)
         self.unknown = float(min(self.score_of[i] for i in self.ids.values())) - 10.0  # a character by its bytes
-        self.longest = max(map(len, self.ids))
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in sorted({len(p) for p in self.ids}):
-            data = np.frombuffer(b"".join(p for p in self.ids if len(p) == size), np.uint8)
-            starts = np.arange(0, len(data), size)
-            hashes = span_hashes(prefix_sums(data), starts, starts + size)
-            ids = np.array([i for p, i in self.ids.items() if len(p) == size], np.int64)
-            self.tables[size] = (np.sort(hashes), ids[np.argsort(hashes)])
-        self.maybe = {size: np.zeros(1 << 16, bool) for size in self.tables}
-        for size, (hashes, _) in self.tables.items():
-            self.maybe[size][hashes & np.uint64(0xFFFF)] = True
+        # for each size the values of all pieces' beginnings, sorted, with the piece that ends there, or -1
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in range(1, max(map(len, self.ids)) + 1):
+            heads = sorted({p[:size] for p in self.ids if len(p) >= size})
+            starts = np.arange(0, size * len(heads), size)
+            values = span_values(prefix_sums(np.frombuffer(b"".join(heads), np.uint8)), starts, starts + size)
+            order, maybe = np.argsort(values), np.zeros(1 << SLOTS, bool)
+            maybe[values >> np.uint64(64 - SLOTS)] = True
+            self.tables.append((maybe, values[order], np.array([self.ids.get(h, -1) for h in heads], np.int32)[order]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(self.bytes_of[i] for i in ids)
-
-    def arcs(self, word: bytes) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the arcs that end there: (start, score, ids)."""
-        n = len(word)
-        out: list[list] = [[] for _ in range(n + 1)]
-        starts = [i for i in range(n) if word[i] & 0xC0 != 0x80] or [0]
-        for i, start in enumerate(starts):
-            end = starts[i + 1] if i + 1 < len(starts) else n
-            for to in range(start + 1, min(n, start + self.longest) + 1):
-                found = self.ids.get(word[start:to])
-                if found is not None:
-                    out[to].append((start, float(self.score_of[found]), (found,)))
-            if word[start:end] not in self.ids:
-                out[end].append((start, self.unknown, tuple(self.byte_ids[b] for b in word[start:end])))
-        return out
+        return b"".join([self.bytes_of[i] for i in ids])
+
+    def arcs(self, data: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, piece) of each piece that matches in data before its place's limit, the end of its word; piece -2:
+        a character that is no piece, by its bytes. By sizes, and places in these."""
+        sums = prefix_sums(data)
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        sizes = np.minimum(np.append(heads[1:], len(data)), limit[heads]) - heads
+        alone, alive, found = np.ones(len(data), bool), heads, []
+        whole = np.zeros(len(data), np.int64)
+        whole[heads] = sizes
+        for size, (maybe, values, ids) in enumerate(self.tables, 1):
+            alive = alive[alive + size <= limit[alive]]
+            if not len(alive):
+                break
+            value = span_values(sums, alive, alive + size)
+            some = maybe[value >> np.uint64(64 - SLOTS)]
+            alive, value = alive[some], value[some]
+            index = np.minimum(np.searchsorted(values, value), len(values) - 1)
+            hit = values[index] == value
+            alive, piece = alive[hit], ids[index[hit]]
+            full = piece >= 0
+            start, piece = alive[full], piece[full]
+            alone[start[whole[start] == size]] = False
+            found.append((start, np.full(len(start), size), piece))
+        rest = alone[heads]
+        found.append((heads[rest], sizes[rest], np.full(int(rest.sum()), -2, np.int32)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def scores(self, piece: np.ndarray) -> np.ndarray:
+        return np.where(piece >= 0, self.score_of[piece], self.unknown)
 
     def n_best(self, word: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths with their scores, the best first; equal ones in the order of their pieces from the end."""
-        arcs = self.arcs(word)
-        forward = [0.0] + [-np.inf] * len(word)
-        for to in range(1, len(word) + 1):
-            for start, score, _ in arcs[to]:
-                forward[to] = max(forward[to], forward[start] + score)
-        heap: list[tuple] = [(-forward[-1], (), len(word), 0.0)]
-        out = []
+        """The n best paths with their scores, the best first; the order of equal ones is fixed by the word."""
+        return self.n_best_all([word], n)[0]
+
+    def n_best_all(self, words: list[bytes], n: int) -> list[list[tuple[float, tuple[int, ...]]]]:
+        data = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.array([len(w) for w in words], np.int64)
+        start, size, piece = self.arcs(data, np.repeat(np.cumsum(lengths), lengths))
+        order = np.argsort(start + size, kind="stable")
+        cuts = np.searchsorted((start + size)[order], np.arange(len(data) + 2)).tolist()
+        arcs = start[order].tolist(), piece[order].tolist(), self.scores(piece[order]).tolist()
+        ends = np.cumsum(lengths).tolist()
+        return [self._backward(data, cuts, *arcs, end - len(word), end, n) for word, end in zip(words, ends, strict=True)]
+
+    def _backward(self, data: np.ndarray, cuts: list[int], start: list[int], piece: list[int], score: list[float], begin: int, end: int, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The A* search in the word from begin to end; the arcs cuts[i] to cuts[i + 1] end at i."""
+        none = -math.inf
+        forward = [0.0]
+        for to in range(begin + 1, end + 1):
+            best = none
+            for k in range(cuts[to], cuts[to + 1]):
+                through = forward[start[k] - begin] + score[k]
+                if through > best:
+                    best = through
+            forward.append(best)
+        # (loss against the best path, number, place, score behind, the arc taken, its end and the entry it was taken from);
+        # the loss is that of the arcs taken, as what is ahead is the best; of equal entries the last one goes on
+        heap: list[tuple] = [(0.0, 0, end, 0.0, None)]
+        out, pushed = [], 0
         while heap and len(out) < n:
-            _, path, at, behind = heapq.heappop(heap)
-            if at == 0:
-                out.append((behind, tuple(i for part in reversed(path) for i in part)))
+            loss, _, at, behind, link = heapq.heappop(heap)
+            if at == begin:
+                ids: list[int] = []
+                before = begin
+                while link is not None:
+                    k, to, link = link
+                    ids += [piece[k]] if piece[k] >= 0 else self.byte_ids[data[before:to]].tolist()
+                    before = to
+                out.append((behind, tuple(ids)))
                 continue
-            for start, score, ids in arcs[at]:
-                if forward[start] > -np.inf:
-                    heapq.heappush(heap, (-(forward[start] + score + behind), (*path, ids), start, score + behind))
+            top = forward[at - begin]
+            for k in range(cuts[at], cuts[at + 1]):
+                ahead = forward[start[k] - begin] + score[k]
+                if ahead > none:
+                    pushed -= 1
+                    heapq.heappush(heap, (loss + top - ahead, pushed, start[k], score[k] + behind, (k, at, link)))
         return out
 
     def second_best(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Of each word the best path's ids (as little-endian unsigned 32-bit bytes), its score, and the second-best (-inf: none)."""
-        lengths = np.array([len(w) for w in words], np.int64)
         ids: list[bytes] = [b""] * len(words)
         best, second = np.full(len(words), -np.inf), np.full(len(words), -np.inf)
-        order = np.argsort(lengths, kind="stable")
-        at = 0
-        while at < len(order):
-            most = lengths[order[at]]
-            if most > LONG:
-                for i in order[at:]:
-                    paths = self.n_best(words[i], 2)
-                    best[i], ids[i] = paths[0][0], np.array(paths[0][1], "<u4").tobytes()
-                    second[i] = paths[1][0] if len(paths) > 1 else -np.inf
-                break
-            width = int(min(LONG, max(8, 8 * (-(-most // 8)))))
-            to = at + int(np.searchsorted(lengths[order[at : at + 8192]], width, side="right"))
-            part = order[at:to]
-            for i, got, b, s in zip(part, *self._step(words, part, lengths[part], width), strict=True):
-                ids[i], best[i], second[i] = got, b, s
-            at = to
+        part, size = [], 0
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                paths = self.n_best(word, 2)
+                best[i], ids[i] = paths[0][0], np.array(paths[0][1], "<u4").tobytes()
+                second[i] = paths[1][0] if len(paths) > 1 else -np.inf
+                continue
+            part.append(i)
+            size += len(word)
+            if size >= STEP:
+                self._together(words, part, ids, best, second)
+                part, size = [], 0
+        if part:
+            self._together(words, part, ids, best, second)
         return ids, best, second
 
-    def _step(self, words: list[bytes], part: np.ndarray, lengths: np.ndarray, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        # arrays are by place, then word, so that a step of all words is one run of memory
-        n = len(part)
-        grid = np.zeros((n, width + 1), np.uint8)
-        within = np.arange(width + 1)
-        grid[within < lengths[:, None]] = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
-        head = (grid & 0xC0) != 0x80  # of characters; what follows a word counts, too
-        sums = prefix_sums(grid.ravel())
-        sizes = [s for s in self.tables if s <= width]
-        scores = np.full((len(sizes), width + 1, n), -np.inf)  # of the piece of this size that ends here
-        pieces = np.full((len(sizes), width + 1, n), -1, np.int32)
-        for k, size in enumerate(sizes):
-            row, end = np.nonzero((within >= size) & (within <= lengths[:, None]))
-            start = row * (width + 1) + end - size
-            hashes = span_hashes(sums, start, start + size)
-            some = self.maybe[size][hashes & np.uint64(0xFFFF)]
-            row, end, hashes = row[some], end[some], hashes[some]
-            table, ids = self.tables[size]
-            index = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-            hit = table[index] == hashes
-            found = ids[index[hit]]
-            scores[k, end[hit], row[hit]] = self.score_of[found]
-            pieces[k, end[hit], row[hit]] = found
-        for size in (1, 2, 3, 4):  # a character that is no piece
-            if size not in sizes:
-                continue
-            row, end = np.nonzero((within >= size) & (within <= lengths[:, None]))
-            inner = np.zeros(len(row), bool)
-            for back in range(1, size):
-                inner |= head[row, end - back]
-            whole = head[row, end - size] & ~inner & (head[row, end] | (end == lengths[row]))
-            row, end = row[whole], end[whole]
-            k = sizes.index(size)
-            alone = pieces[k, end, row] < 0
-            scores[k, end[alone], row[alone]] = self.unknown
-            pieces[k, end[alone], row[alone]] = -2
-        forward = np.full((width + 1, n), -np.inf)
-        forward[0] = 0
-        by = np.zeros((width + 1, n), np.int16)
-        for to in range(1, width + 1):
-            for k, s in enumerate(sizes):
-                if s <= to:
-                    through = forward[to - s] + scores[k, to]
-                    better = through > forward[to]
-                    forward[to][better] = through[better]
-                    by[to][better] = k
-        backward = np.full((width + 1, n), -np.inf)
-        backward[lengths, np.arange(n)] = 0
-        for start in range(width - 1, -1, -1):
-            for k, s in enumerate(sizes):
-                if start + s <= width:
-                    np.maximum(backward[start], scores[k, start + s] + backward[start + s], out=backward[start])
-        best = forward[lengths, np.arange(n)]
-        at, rows = lengths.copy(), np.arange(n)
-        steps, on_path = [], []
-        size_of = np.array(sizes)
-        while len(rows):
-            ends = at[rows]
-            k = by[ends, rows]
-            on_path.append((k, ends, rows))
-            steps.append((rows, pieces[k, ends, rows], ends))
-            at[rows] -= size_of[k]
-            rows = rows[at[rows] > 0]
-        for k, s in enumerate(sizes):  # the best score through each piece
-            scores[k, s:] += forward[: width + 1 - s]
-            scores[k, s:] += backward[s:]
-        for k, ends, rows in on_path:
-            scores[k, ends, rows] = -np.inf
-        second = scores.max(axis=(0, 1))
-        reverse: list[list[int]] = [[] for _ in range(n)]
-        for rows, found, ends in steps:
-            for i, piece, end in zip(rows.tolist(), found.tolist(), ends.tolist(), strict=True):
-                if piece >= 0:
-                    reverse[i].append(piece)
-                else:
-                    start = end - 1
-                    while not head[i, start]:
-                        start -= 1
-                    reverse[i] += [int(self.byte_ids[b]) for b in grid[i, start:end][::-1]]
-        return [array("I", r[::-1]).tobytes() for r in reverse], best, second
+    def _together(self, words: list[bytes], part: list[int], ids: list[bytes], best: np.ndarray, second: np.ndarray) -> None:
+        """Fills in the results of the words in part. A node is a place in a word, its end included; arcs are run through by
+        their ends', and backwards by their starts', places in the words."""
+        data = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
+        lengths = np.array([len(words[i]) for i in part])
+        begins = np.cumsum(lengths) - lengths
+        row_of = np.repeat(np.arange(len(part)), lengths)
+        start, size, piece = self.arcs(data, np.repeat(begins + lengths, lengths))
+        row = row_of[start]
+        within = start - begins[row]
+        source, score = start + row, self.scores(piece)
+        target = source + size
+        first, last = begins + np.arange(len(part)), begins + lengths + np.arange(len(part))
+        nodes = len(data) + len(part)
+        forward, by = np.full(nodes, -np.inf), np.zeros(nodes, np.int64)
+        forward[first] = 0.0
+        order = np.argsort((within + size).astype(np.uint8), kind="stable")
+        cuts = np.searchsorted((within + size)[order], np.arange(1, lengths.max() + 2))
+        for at, to in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            own = order[at:to]
+            through = forward[source[own]] + score[own]
+            np.maximum.at(forward, target[own], through)
+            fits = own[through == forward[target[own]]][::-1]  # of equal ones the shortest piece is written last
+            by[target[fits]] = fits
+        backward = np.full(nodes, -np.inf)
+        backward[last] = 0.0
+        order = np.argsort(within.astype(np.uint8), kind="stable")
+        cuts = np.searchsorted(within[order], np.arange(lengths.max() + 1))
+        for at, to in zip(cuts[:-1][::-1].tolist(), cuts[1:][::-1].tolist(), strict=True):
+            own = order[at:to]
+            np.maximum.at(backward, source[own], score[own] + backward[target[own]])
+        steps, at = [], last
+        begun = np.zeros(nodes, bool)
+        begun[first] = True
+        while len(at):
+            steps.append(by[at])
+            at = source[steps[-1]]
+            at = at[~begun[at]]
+        path = np.concatenate(steps)
+        path = path[np.argsort(target[path])]
+        through = forward[source] + score + backward[target]
+        through[path] = -np.inf
+        runner_up = np.full(len(part), -np.inf)
+        np.maximum.at(runner_up, row, through)
+        best[part], second[part] = forward[last], runner_up
+        count = np.where(piece[path] >= 0, 1, size[path])
+        flat = np.repeat(piece[path], count).astype(np.int64)
+        inside = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+        spelt = flat < 0
+        flat[spelt] = self.byte_ids[data[(np.repeat(start[path], count) + inside)[spelt]]]
+        told = flat.astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(row[path], weights=count, minlength=len(part)))).astype(np.int64).tolist()
+        begin = 0
+        for i, end in zip(part, ends, strict=True):
+            ids[i] = told[begin:end]
+            begin = end
 
 
 def normalized(text: str) -> str:
@@ -253,14 +274,19 @@ class Segmenter:
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.ids += ids
         self.best, self.lost = np.concatenate([self.best, best]), np.concatenate([self.lost, best - second])
-        self.same += [self.pieces.decode(array("I", i)) == w for i, w in zip(ids, data, strict=True)]
-
-    def paths(self, word: str, n: int) -> list[tuple[float, bytes]]:
-        if word not in self.kept:
-            if len(self.kept) > 100_000:
-                self.kept.clear()
-            self.kept[word] = [(s, np.array(p, "<u4").tobytes()) for s, p in self.pieces.n_best(word.encode("utf-8", "surrogatepass"), n)]
-        return self.kept[word]
+        flat = np.frombuffer(b"".join(ids), "<u4").tolist()
+        if self.pieces.decode(flat) == b"".join(data):
+            self.same += [True] * len(new)
+        else:
+            self.same += [self.pieces.decode(np.frombuffer(i, "<u4").tolist()) == w for i, w in zip(ids, data, strict=True)]
+
+    def search(self, words: set[str], n: int) -> None:
+        """N-best paths of words that aren't kept yet."""
+        if len(self.kept) + len(words) > 100_000:
+            self.kept.clear()
+        new = sorted(w for w in words if w not in self.kept)
+        for word, found in zip(new, self.pieces.n_best_all([w.encode("utf-8", "surrogatepass") for w in new], n), strict=True):
+            self.kept[word] = [(s, np.array(p, "<u4").tobytes()) for s, p in found]
 
     def block(self, batch: list[str], n: int) -> Iterator[tuple[bytes, float, list[tuple[float, bytes]], bool]]:
         """Of each text the ids, the score, the n best (score, ids), and if decoding gives the text again."""
@@ -271,22 +297,21 @@ class Segmenter:
         ids, known = self.ids, self.index.__getitem__
         best, lost, same = self.best, self.lost, np.array(self.same, bool)
         numbers = [np.fromiter(map(known, words), np.int64, len(words)) for words in split]
-        for words, number in zip(split, numbers, strict=True):
+        closest = []
+        for number in numbers:
+            close = np.argsort(lost[number], kind="stable")[: n - 1]
+            closest.append(close[np.isfinite(lost[number[close]])].tolist())
+        self.search({words[c] for words, close in zip(split, closest, strict=True) for c in close}, n)
+        for words, number, close in zip(split, numbers, closest, strict=True):
             parts = [ids[i] for i in number.tolist()]
             score = float(best[number].sum())
-            loss = lost[number]
-            close = np.argsort(loss, kind="stable")[: n - 1] if len(loss) else np.empty(0, np.int64)
-            close = close[np.isfinite(loss[close])].tolist()
-            options = []
-            for c in close:
-                paths = self.paths(words[c], n)
-                options.append([(paths[0][0] - s, k) for k, (s, _) in enumerate(paths)])
+            paths = [self.kept[words[c]] for c in close]
             found = []
-            for loss_, chosen in combined(options, n):
+            for loss, chosen in combined([[(own[0][0] - s, k) for k, (s, _) in enumerate(own)] for own in paths], n):
                 changed = list(parts)
                 for place, k in chosen.items():
-                    changed[close[place]] = self.paths(words[close[place]], n)[k][1]
-                found.append((score - loss_, b"".join(changed)))
+                    changed[close[place]] = paths[place][k][1]
+                found.append((score - loss, b"".join(changed)))
             yield b"".join(parts), score, found, bool(same[number].all())
 
 
@@ -311,7 +336,7 @@ def segment(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = segmenter(path)
-        for batch in batches:
+        for batch in parts_of(batches, 2000):
             docs_, all_texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
             while at < len(all_texts):
@@ -325,4 +350,4 @@ def segment(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([docs_.slice(at, to - at), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
                 at = to
 
-    return texts(docs).mapInArrow(run, SEGMENTED)
+    return texts(docs).mapInArrow(frugal(run), SEGMENTED)

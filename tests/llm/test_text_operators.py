@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -240,7 +241,7 @@ def test_segmentation_against_enumeration(spark):
                 for s, rest in paths(word, to):
                     yield s + p.score_of[p.ids[word[at:to]]], (p.ids[word[at:to]], *rest)
 
-    for text in ("▁hello", "▁the", "▁a.b", "▁▁x", "▁ing"):
+    for text in ("▁hello", "▁the", "▁a.b", "▁▁x", "▁ing", "▁aaaaaaaa", "▁to"):
         every = sorted(paths(text.encode()), key=lambda x: -x[0])
         got = p.n_best(text.encode(), 4)
         assert [s for s, _ in got] == pytest.approx([s for s, _ in every[:4]])
@@ -260,6 +261,22 @@ def test_segmentation_against_enumeration(spark):
     assert pieces.segment(documents(spark, []), tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_segmentation_of_a_very_long_word(spark):
+    rng = random.Random(7)
+    own = pieces.Pieces(tokenizer_path("piece_bpe_32k.model"))
+    word = ("▁" + "".join(rng.choices("abcdefghé日\x01", k=800_000))).encode()
+    assert len(word) > 1_000_000
+    began = time.thread_time()
+    paths = own.n_best(word, 3)
+    assert time.thread_time() - began < 60  # in proportion to its length
+    assert [s for s, _ in paths] == sorted((s for s, _ in paths), reverse=True) and len({p for _, p in paths}) == 3
+    assert all(own.decode(p) == word for _, p in paths)
+    short = word[: word.index(b"a", 40)]
+    ids, best, second = own.second_best([short, b"\xe2\x96\x81x"])
+    (one, path), (two, _) = own.n_best(short, 2)
+    assert (best[0], second[0]) == pytest.approx((one, two)) and own.decode(np.frombuffer(ids[0], "<u4").tolist()) == short == own.decode(path)
+
+
 def test_chain_against_enumeration():
     rng = np.random.default_rng(5)
     chain = toxicity.Chain(enter=-1.2, stay=0.4, leave=-0.3)

@@ -34,7 +34,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 ROUND = 30  # MinHash values compared at a time
 TOLERANCE = 1e-6
-BLOCK = 1024  # classes of a block
+BLOCK = 512  # classes of a block
 FEW = 32  # classes of a lane that is looked at together with others
 PAIRS = 200_000  # pairs that are compared at a time
 SETS = 20_000  # classes whose bands are looked at together

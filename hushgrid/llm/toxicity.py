@@ -82,72 +82,77 @@ class Chain:
 
 
 class Sequences:
-    """Texts as chains of tokens that aren't neutral, padded to a common number and run in step, the longest first."""
+    """Texts as chains of tokens that aren't neutral, the longest first, so that all are run in step: what belongs to the
+    kth of these tokens of the texts that have so many lies together, in arrays as long as there are such tokens."""
 
     def __init__(self, lengths: list[int], hits: list[np.ndarray]):
         self.order = np.argsort([-len(h) for h in hits], kind="stable")
         self.n = np.array(lengths, np.int64)[self.order]
         counts = np.array([len(hits[i]) for i in self.order], np.int64)
-        self.counts = counts
         most = int(counts.max(initial=0))
-        self.live = [int(np.searchsorted(-counts, -k, side="left")) for k in range(most)]  # with more than k hits
+        live = np.searchsorted(-counts, -np.arange(most), side="left")  # texts with more than k hits
+        self.cuts = np.concatenate(([0], np.cumsum(live))).astype(np.int64)
         flat = np.concatenate([hits[i] for i in self.order]) if len(hits) else np.empty(0, np.int64)
-        row = np.repeat(np.arange(len(counts)), counts)
+        self.row = np.repeat(np.arange(len(counts)), counts)
         column = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.where = (row, column)
+        self.place = self.cuts[column] + self.row
         gaps = np.diff(flat, prepend=-1) - 1
         gaps[column == 0] = flat[column == 0]
-        self.gaps = self.padded(gaps.astype(np.float64))
         last = np.full(len(counts), -1, np.int64)
-        last[row] = flat
+        last[self.row] = flat
+        self.gaps = self.laid(gaps.astype(np.float64))
         self.tail = (self.n - 1 - last).astype(np.float64)
+        self.neutral = np.bincount(self.row, weights=gaps, minlength=len(counts)) + self.tail
 
-    def padded(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.counts), max(1, len(self.live))), values.dtype)
-        out[self.where] = values
+    def laid(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        out[self.place] = values
         return out
 
-    def run(self, chain: Chain, scores: np.ndarray, marginals: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    def run(self, chain: Chain, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log Z of each text, in self.order, and the marginal of toxic at each hit, in the order of the hits given."""
-        m = np.exp([[0.0, chain.enter], [chain.leave, chain.stay]])
-        half, spread = (m[0, 0] + m[1, 1]) / 2, np.sqrt(((m[0, 0] - m[1, 1]) / 2) ** 2 + m[0, 1] * m[1, 0])
+        logs, marginals = self.run_all([(chain.enter, chain.stay, chain.leave)], scores)
+        return logs[0], marginals
+
+    def run_all(self, moves: list[tuple[float, float, float]], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log Z of each text for each of several (enter, stay, leave), and the marginals for the first of these."""
+        m = np.exp([[[0.0, enter], [leave, stay]] for enter, stay, leave in moves])
+        half, spread = (m[:, 0, 0] + m[:, 1, 1]) / 2, np.sqrt(((m[:, 0, 0] - m[:, 1, 1]) / 2) ** 2 + m[:, 0, 1] * m[:, 1, 0])
         top, low = half + spread, half - spread
-        first = (m - low * np.eye(2)) / (top - low)
+        first = (m - low[:, None, None] * np.eye(2)) / (top - low)[:, None, None]
         second, ratio = np.eye(2) - first, low / top
 
         def power(gap: np.ndarray) -> np.ndarray:
-            return first + np.power(ratio, gap)[:, None, None] * second
-
-        texts_, steps = len(self.counts), len(self.live)
-        s = self.padded(scores)
-        forward = np.zeros((texts_, 2))
-        forward[:, 0] = 1.0
-        logs = np.log(top) * (self.gaps.sum(axis=1) + self.tail)
-        kept = np.zeros((texts_, steps, 2)) if marginals else None
-        for k, live in enumerate(self.live):
-            a = np.einsum("ni,nij->nj", forward[:live], power(self.gaps[:live, k]) @ m)
-            shift = np.maximum(s[:live, k], 0)
-            a *= np.exp(np.stack([-shift, s[:live, k] - shift], axis=1))
-            total = a.sum(axis=1, keepdims=True)
-            logs[:live] += np.log(total[:, 0]) + shift
-            forward[:live] = a / total
-            if marginals:
-                kept[:live, k] = forward[:live]
+            return first[:, None] + np.power(ratio[:, None], gap)[:, :, None, None] * second[:, None]
+
+        s = self.laid(scores)
+        shift = np.maximum(s, 0)
+        steps = power(self.gaps) @ m[:, None] * np.exp(np.stack([-shift, s - shift], axis=1))[None, :, None, :]
+        upper, lower = np.ascontiguousarray(steps[:, :, 0]), np.ascontiguousarray(steps[:, :, 1])
+        forward = np.zeros((len(moves), len(self.n), 2))
+        forward[:, :, 0] = 1.0
+        totals, kept = np.empty(steps.shape[:2]), np.empty((steps.shape[1], 2))
+        cuts = list(zip(self.cuts.tolist(), self.cuts[1:].tolist(), strict=False))
+        for at, to in cuts:
+            now = forward[:, : to - at]
+            a = now[:, :, :1] * upper[:, at:to] + now[:, :, 1:] * lower[:, at:to]
+            total = a[:, :, 0] + a[:, :, 1]
+            totals[:, at:to] = total
+            np.divide(a, total[:, :, None], out=now)
+            kept[at:to] = now[0]
         end = power(self.tail)
-        logs += np.log(np.einsum("ni,nij->n", forward, end))
-        if not marginals:
-            return logs, None
-        backward = end.sum(axis=2)
-        out = np.zeros((texts_, max(1, steps)))
-        for k in range(steps - 1, -1, -1):
-            live = self.live[k]
-            both = kept[:live, k] * backward[:live]
-            out[:live, k] = both[:, 1] / both.sum(axis=1)
-            shift = np.maximum(s[:live, k], 0)
-            b = backward[:live] * np.exp(np.stack([-shift, s[:live, k] - shift], axis=1))
-            b = np.einsum("nij,nj->ni", power(self.gaps[:live, k]) @ m, b)
-            backward[:live] = b / b.sum(axis=1, keepdims=True)
-        return logs, out[self.where]
+        logs = np.log(top)[:, None] * self.neutral + np.log((forward[:, :, :, None] * end).sum(axis=(2, 3)))
+        gained = np.log(totals) + shift
+        logs += np.stack([np.bincount(self.row, weights=g[self.place], minlength=len(self.n)) for g in gained])
+        backward, out = end[0].sum(axis=2), np.empty(len(s))
+        back = steps[0]
+        for at, to in reversed(cuts):
+            now = backward[: to - at]
+            both = kept[at:to] * now
+            out[at:to] = both[:, 1] / (both[:, 0] + both[:, 1])
+            b = (back[at:to] * now[:, None, :]).sum(axis=2)
+            np.divide(b, b.sum(axis=1, keepdims=True), out=now)
+        return logs, out[self.place]
 
 
 def _scores(chain: Chain, index: np.ndarray) -> np.ndarray:
@@ -156,9 +161,10 @@ def _scores(chain: Chain, index: np.ndarray) -> np.ndarray:
 
 def _aggregates(sequences: Sequences, marginals: np.ndarray) -> np.ndarray:
     """Of each text, in its place: 1, the log of the expected number of toxic tokens, the largest marginal, their share."""
-    grid = sequences.padded(marginals)
-    total = grid.sum(axis=1)
-    rows = np.stack([np.ones(len(total)), np.log1p(total), grid.max(axis=1), 10 * total / np.maximum(sequences.n, 1)], axis=1)
+    size = len(sequences.n)
+    total, most = np.bincount(sequences.row, weights=marginals, minlength=size), np.zeros(size)
+    np.maximum.at(most, sequences.row, marginals)
+    rows = np.stack([np.ones(size), np.log1p(total), most, 10 * total / np.maximum(sequences.n, 1)], axis=1)
     out = np.empty_like(rows)
     out[sequences.order] = rows
     return out
@@ -211,14 +217,13 @@ def fit(sample: list[tuple[str, int]]) -> Chain:
     first, second = np.zeros(3 + len(chain.weights)), np.zeros(3 + len(chain.weights))
     for step in range(1, STEPS + 1):
         scores = _scores(chain, index)
-        logs, m = sequences.run(chain, scores)
+        now = (chain.enter, chain.stay, chain.leave)
+        changed = [tuple(v + 1e-5 * (i == k) for i, v in enumerate(now)) for k in range(3)]
+        logs, m = sequences.run_all([now, *changed], scores)
         gradient = np.zeros_like(first)
         np.add.at(gradient, 3 + index[index >= 0], np.repeat(truth - m, (index >= 0).sum(axis=1)))
-        for k, name in enumerate(names):  # expected moves inside neutral runs: the slope of log Z
-            value = getattr(chain, name)
-            setattr(chain, name, value + 1e-5)
-            gradient[k] = moves[k] - (sequences.run(chain, scores, marginals=False)[0].sum() - logs.sum()) / 1e-5
-            setattr(chain, name, value)
+        # expected moves inside neutral runs: the slope of log Z
+        gradient[:3] = moves - (logs[1:] - logs[0]).sum(axis=1) / 1e-5
         gradient = gradient * scale - 1e-3 * np.concatenate([[chain.enter, chain.stay, chain.leave], chain.weights]) * np.concatenate([[0.1] * 3, np.ones(len(chain.weights))])
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2

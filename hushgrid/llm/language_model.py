@@ -1,18 +1,20 @@
 """Language-model scoring by a weighted backoff automaton.
 
-States are the histories of the n-grams kept, arcs their last tokens, and each state has a failure arc to its history
-less the oldest token, which costs the state's backoff weight. A text is read once from left to right: the state is
-carried, each token takes an arc or falls back until one fits, and the log-probabilities add up. As the state after a
-token is the longest kept history that ends there, all tokens of a block of texts take their steps together, in arrays.
-
-- Counts are exact over all training rows. All n-grams of two and more tokens that occur LEAST_GRAM times are kept, of
-  any words, at any size of the corpus: the automaton grows with it and is never held whole anywhere.
+States are the root, the tokens, and the kept n-grams that are histories of longer ones; arcs are the kept n-grams' last
+tokens; each state has a failure arc to its history less the oldest token, which costs the state's backoff weight. Texts
+are read once from left to right: a state is carried for each, and each token takes the state's arc or falls back until
+one fits, while the log-probabilities add up. A long text is read in pieces; as a state depends on the last tokens
+alone, a piece finds its own by reading these first.
+
+- Counts are exact over all training rows. All n-grams of two and more tokens that occur ``least`` times (1: all) are
+  kept, of any words, at any size of the corpus: the automaton grows with it and is never held whole anywhere.
 - Documents are dealt into blocks, and keys into as many ranges. A block asks each range for its own tokens and n-grams
   and tells what it counted; the range answers with the totals, in the order asked. The first round is for tokens and
-  pairs; each further one for the next longer n-grams, where all shorter ones inside occur LEAST_GRAM times (others can't
+  pairs; each further one for the next longer n-grams, where all shorter ones inside occur ``least`` times (others can't
   themselves), and for backoffs: one of the blocks that have a kept n-gram adds it to its history.
 - The root's weights are counts less a discount that follows from the counts of counts (one for tokens seen once,
-  twice, and more often); what is taken off is the probability of a token that wasn't seen, one kind as in the base.
+  twice, and more often); what is taken off is shared by the tokens that weren't seen, each by its spelling: an automaton
+  over bytes, whose states are the byte before, reads it from its beginning to its end.
 """
 
 from __future__ import annotations
@@ -25,28 +27,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, partitions, settled, texts
+from .common import block_of, crc_remainder, frugal, partitions, parts_of, released, settled, texts
 from .shingles import prefix_sums, runs, span_hashes
 
 ORDER = 3
-LEAST_GRAM = 2  # times that a longer n-gram must occur
+LEAST_GRAM = 2  # times that a longer n-gram must occur to be kept
+PIECE = 512  # tokens of a text that are read after one another
+SPELLING = 0.1  # added to the count of each byte after another
 DISCOUNT = 7  # tenths: sums of discounted counts are whole numbers of tenths
 BLOCK = 1_000_000  # bytes that are hashed at a time
 END = np.uint64(0xE0D)  # stands for the end's hash
 _TOKEN = np.array([b not in (0x20, *range(9, 14)) for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_score double"
 
 
 @dataclass
 class Block:
-    """Texts as tokens: each text's tokens and then an end. text: its number of each token."""
+    """Texts as tokens: each text's tokens and then an end. text: its number of each token; spelt: log10 of its spelling."""
 
     hashes: np.ndarray
     text: np.ndarray
+    spelt: np.ndarray | None = None
+
+
+def byte_pairs(data: np.ndarray) -> np.ndarray:
+    """256 times the byte before and each byte, where a blank stands for all that isn't in a token."""
+    own = np.where(_TOKEN[data], data, np.uint8(0x20)).astype(np.uint16)
+    pairs = own.copy()
+    pairs[1:] |= own[:-1] << np.uint16(8)
+    pairs[:1] |= np.uint16(0x2000)
+    return pairs
+
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each byte after another, from the counts of byte_pairs(): at its beginning a token has
+    one of the 250 bytes that tokens have, later one of these or its end. No token is left without a probability."""
+    grid = counts.reshape(256, 256).astype(np.float64) + SPELLING
+    blank = ~_TOKEN
+    grid[:, blank] = 0
+    grid[~blank, 0x20] = counts.reshape(256, 256)[~blank, 0x20] + SPELLING
+    grid[blank & (np.arange(256) != 0x20)] = 0
+    total = grid.sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(grid > 0, np.log10(grid / total), 0.0).ravel()
+
+
+def learned_spelling(docs: DataFrame) -> np.ndarray:
+    """spelling() of the tokens of all rows of (text): 65,536 numbers at most are on the driver."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << 16, np.int64)
+        for batch in parts_of(batches):
+            whole = "\n".join([*batch.column(0).to_pylist(), ""]).encode("utf-8", "surrogatepass")
+            counts += np.bincount(byte_pairs(_LOWER[np.frombuffer(whole, np.uint8)]), minlength=1 << 16)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["pair", "n"])
+
+    counts = np.zeros(1 << 16, np.int64)
+    for pair, n in docs.select("text").mapInArrow(frugal(run), "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():
+        counts[pair] = n
+    return spelling(counts)
 
-def blocks(batch: list[str] | list[bytes]) -> Iterator[tuple[int, int, Block]]:
+
+def blocks(batch: list[str] | list[bytes], spelled: np.ndarray | None = None) -> Iterator[tuple[int, int, Block]]:
     """(from, to, block) of consecutive texts with about BLOCK bytes each."""
     at = 0
     while at < len(batch):
@@ -62,7 +106,11 @@ def blocks(batch: list[str] | list[bytes]) -> Iterator[tuple[int, int, Block]]:
         n = len(parts)
         order = np.argsort(np.concatenate([text, np.arange(n)]), kind="stable")
         hashes = span_hashes(prefix_sums(data), starts, ends)
-        yield at, to, Block(np.concatenate([hashes, np.full(n, END)])[order], np.concatenate([text, np.arange(n)])[order])
+        spelt = None
+        if spelled is not None:
+            upto = np.concatenate(([0.0], np.cumsum(spelled[byte_pairs(data)])))
+            spelt = np.concatenate([upto[ends + 1] - upto[starts], np.zeros(n)])[order]
+        yield at, to, Block(np.concatenate([hashes, np.full(n, END)])[order], np.concatenate([text, np.arange(n)])[order], spelt)
         at = to
 
 
@@ -147,8 +195,8 @@ class Level:
 class Grams:
     """The tokens and n-grams of texts, and rounds 1 to order of questions about them."""
 
-    def __init__(self, block: Block, counted: np.ndarray, order: int):
-        self.counted, self.order = counted, order
+    def __init__(self, block: Block, counted: np.ndarray, order: int, least: int = LEAST_GRAM):
+        self.counted, self.order, self.least = counted, order, least
         self.tokens = self.longest = _mixed(block.hashes)
         self.begins = block.text != _shifted(block.text, -1)
         keys, places = np.unique(self.tokens, return_inverse=True)
@@ -161,7 +209,7 @@ class Grams:
             whole, first = np.ones(len(self.tokens), bool), np.searchsorted(last.keys, _mixed(np.array([END])))[0]
             before = np.where(self.begins, _mixed(np.array([END])), _shifted(self.tokens, 0))
         else:
-            often, first, before = last.n[last.places] >= LEAST_GRAM, len(last.keys), _shifted(self.longest, 0)
+            often, first, before = last.n[last.places] >= self.least, len(last.keys), _shifted(self.longest, 0)
             whole = often & _shifted(often, False) & ~self.begins
         self.longest = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + self.tokens)
         del before
@@ -184,7 +232,7 @@ class Grams:
             level, above = self.levels[number - 2], self.levels[number - 1]
             some = np.zeros(len(level.keys) + 1, bool)
             some[above.histories] = True
-            self.wanted.append((number - 2, np.flatnonzero(some & (level.n >= LEAST_GRAM))))
+            self.wanted.append((number - 2, np.flatnonzero(some & (level.n >= self.least))))
         keys = np.concatenate([self.levels[k].keys if at is None else self.levels[k].keys[at] for k, at in self.wanted])
         self.sorted = np.argsort(keys)
         return keys[self.sorted]
@@ -200,7 +248,7 @@ class Grams:
                 above, sums = self.levels[k + 1], np.zeros(len(level.keys) + 1, np.int64)
                 history = np.empty(len(above.keys) + 1, np.int64)
                 history[above.places] = above.histories
-                some = np.flatnonzero((above.n >= LEAST_GRAM) & above.own)
+                some = np.flatnonzero((above.n >= self.least) & above.own)
                 np.add.at(sums, history[some], 10 * above.n[some] - DISCOUNT)
                 out.append(sums[at])
         return np.concatenate(out)[self.sorted]
@@ -223,18 +271,98 @@ class Grams:
         seen = self.levels[0].n[self.levels[0].own]
         return [int(self.counted.sum()), len(seen), *[int((seen == k).sum()) for k in (1, 2, 3, 4)]]
 
-    def probabilities(self, root: np.ndarray) -> np.ndarray:
+    def probabilities(self, root: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each token after its histories of 1 token, 2 tokens and so on, from those without."""
         p = root
         for level, above in zip(self.levels, self.levels[1:], strict=False):
-            p = step(p, above.n[above.places], level.n[above.histories], level.sums[above.histories])
-        return p
+            p = step(p, above.n[above.places], level.n[above.histories], level.sums[above.histories], self.least)
+            yield p
+
 
+class Machine:
+    """The automaton of a block's n-grams. States are 0, the root, then each level's n-grams, up to those of order - 1 tokens.
 
-def step(p: np.ndarray, n: np.ndarray, of: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    The arcs of a level's n-grams leave the states of their histories; source, target and log-probability are by n-gram,
+    and arcs that a text may take at a token are found by the n-grams that end there.
+    """
+
+    def __init__(self, grams: Grams, root: np.ndarray, unseen: np.ndarray):
+        """root: probabilities of the tokens without a history; unseen: log10 to be added to each, 0 for those seen."""
+        levels, self.order, self.begins = grams.levels, grams.order, grams.begins
+        sizes = [len(x.keys) for x in levels]
+        self.offsets = np.concatenate(([1], 1 + np.cumsum(sizes))).astype(np.int64)
+        self.places = [x.places for x in levels]
+        self.start = self.offsets[0] + int(np.searchsorted(levels[0].keys, _mixed(np.array([END])))[0]) if self.order > 1 else 0
+        self.root = np.empty(sizes[0])
+        self.root[levels[0].places] = root
+        self.root = np.log10(self.root)
+        spelt = np.zeros(sizes[0])
+        spelt[levels[0].places] = unseen
+        self.root += spelt
+        states = int(self.offsets[max(0, self.order - 1)])
+        self.fail, self.weight = np.zeros(states, np.int64), np.zeros(states)
+        self.arcs: list[tuple] = [()]
+        for k, (level, p) in enumerate(zip(levels[1:], grams.probabilities(root), strict=True), 1):
+            below, size = levels[k - 1], sizes[k]
+            source, shorter, log10 = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64), np.ones(size + 1)
+            source[level.places] = self.offsets[k - 1] + level.histories
+            shorter[level.places] = self.offsets[k - 1] + below.places
+            log10[level.places] = p
+            np.log10(log10, out=log10)
+            kept = level.n >= grams.least
+            own = slice(int(self.offsets[k - 1]), int(self.offsets[k]))
+            self.weight[own] = np.log10(np.maximum(1e-9, 1 - below.sums[:-1] / (10 * np.maximum(below.n[:-1], 1))))
+            if k < self.order - 1:  # the n-gram is the history of longer ones, and falls back to the shorter one
+                target = self.offsets[k] + np.arange(size + 1)
+                self.fail[int(self.offsets[k]) : int(self.offsets[k + 1])] = shorter[:-1]
+            else:
+                target = shorter
+            self.arcs.append((kept, source, target, log10))
+
+    def read(self) -> np.ndarray:
+        """log10 of the probability of each token, in one traversal of all texts."""
+        n = len(self.begins)
+        out, first = np.empty(n), np.flatnonzero(self.begins)
+        ends = np.append(first[1:], n)
+        pieces = -(-(ends - first) // PIECE)
+        within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(first, pieces)
+        start = begin + within * PIECE
+        stop = np.minimum(start + PIECE, np.repeat(ends, pieces))
+        at = np.maximum(begin, start - (self.order - 1))  # where reading begins, to find the state at start
+        state = np.where(at == begin, self.start, 0)
+        order = np.argsort(at - stop, kind="stable")
+        at, start, state, length = at[order], start[order], state[order], (stop - at)[order]
+        for step_ in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(-length, -step_, side="left"))
+            place, now = at[:live] + step_, state[:live].copy()
+            total, left, after = np.zeros(live), np.arange(live), np.zeros(live, np.int64)
+            for k in range(self.order - 1, 0, -1):
+                kept, source, target, log10 = self.arcs[k]
+                arc, own = self.places[k][place[left]], now[left]
+                here = own >= self.offsets[k - 1]  # no state of shorter histories has such arcs
+                fits = here & kept[arc] & (source[arc] == own)
+                taken, missed = left[fits], left[here & ~fits]
+                total[taken] += log10[arc[fits]]
+                after[taken] = target[arc[fits]]
+                total[missed] += self.weight[now[missed]]
+                now[missed] = self.fail[now[missed]]
+                left = left[~fits]
+            token = self.places[0][place[left]]
+            total[left] += self.root[token]
+            if self.order > 1:
+                after[left] = self.offsets[0] + token
+            state[:live] = after
+            real = place >= start[:live]
+            out[place[real]] = total[real]
+        return out
+
+
+def step(p: np.ndarray, n: np.ndarray, of: np.ndarray, sums: np.ndarray, least: int = LEAST_GRAM) -> np.ndarray:
     """Probabilities with a history, from those with the next shorter one, the n-grams' and the histories' counts, and the
     histories' sums."""
     of = np.maximum(of, 1)
-    arc = np.where(n >= LEAST_GRAM, (10 * n - DISCOUNT) / (10 * of), 0.0)
+    arc = np.where(n >= least, (10 * n - DISCOUNT) / (10 * of), 0.0)
     return arc + np.maximum(1e-9, 1 - sums / (10 * of)) * p  # the failure arc's weight
 
 
@@ -253,7 +381,7 @@ class Automaton:
         return _mixed(hashes)
 
     def root(self, counts: np.ndarray) -> np.ndarray:
-        """Probabilities without a history, from tokens' counts."""
+        """Probabilities without a history, from tokens' counts; for those not seen, of all these together."""
         left = counts - self.discounts[np.minimum(counts, 3).astype(np.int64)]
         return np.where(counts > 0, left / max(1, self.n), self.unseen)
 
@@ -306,13 +434,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return settled(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
 
 
-def gathered(batch: list[str] | list[bytes]) -> Block:
+def gathered(batch: list[str] | list[bytes], spelled: np.ndarray | None = None) -> Block:
     """All texts as one block."""
-    hashes, text = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
-    for at, _, block in blocks(batch):
+    hashes, text, spelt = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0)]
+    for at, _, block in blocks(batch, spelled):
         hashes.append(block.hashes)
         text.append((block.text + at).astype(np.int32))
-    return Block(np.concatenate(hashes), np.concatenate(text))
+        if spelled is not None:
+            spelt.append(block.spelt)
+    return Block(np.concatenate(hashes), np.concatenate(text), None if spelled is None else np.concatenate(spelt))
 
 
 def train(docs: DataFrame, order: int = ORDER) -> tuple[Automaton, DataFrame]:
@@ -413,23 +543,27 @@ def answered(asked: DataFrame, n: int, name: str) -> DataFrame:
     return found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "totals", "known"))).alias(name))
 
 
-def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = ORDER) -> DataFrame:
-    """Scores every row by the automaton learned from the rows that aren't held out, and by their token counts alone.
+def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = ORDER, least: int = LEAST_GRAM) -> DataFrame:
+    """Scores every row by the automaton learned from the rows that aren't held out, and by their token counts alone;
+    known_score is the part of the score that known tokens have.
 
     Null texts are empty and have their end as the only token; repeated rows and null doc_ids stay; if no rows are
-    there to learn from, all tokens are unseen, and base and score are 0; an empty
-    table gives no rows; other columns are left out. Tokens and n-grams are told apart by 64-bit hashes.
+    there to learn from, all tokens are unseen, base is 0 and score that of the spelling; an empty
+    table gives no rows; other columns are left out. Tokens and n-grams are told apart by 64-bit hashes. n-grams of two
+    and more tokens are kept if they occur least times; with 1, all are.
     """
     n = partitions(docs.sparkSession)
     rows = texts(docs, (crc_remainder("doc_id", modulus) == held_out).alias("held_out"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    dealt = rows.select("doc_id", "text", "held_out", "block").mapInArrow(packs, PACK).repartition(n, "block")
+    spelled = learned_spelling(rows.filter("not held_out"))
+    rows = rows.withColumn("block", block_of(F.xxhash64("doc_id", "text"), n))
+    dealt = rows.select("doc_id", "text", "held_out", "block").mapInArrow(frugal(packs), PACK).repartition(n, "block")
     names = [x.split()[0] for x in SCORES.split(", ")]
 
-    def asked(held: np.ndarray, found: list[bytes], right: pa.Table | None, rounds: int) -> tuple[Block, Grams, list[int]]:
+    def asked(held: np.ndarray, found: list[bytes], right: pa.Table | None, rounds: int, table: np.ndarray | None = None) -> tuple[Block, Grams, list[int]]:
         """The block's n-grams after the answers of so many rounds, and what they say about the whole."""
-        block, known = gathered(found), [0] * 6
-        grams = Grams(block, ~held[block.text], order)
+        block, known = gathered(found, table), [0] * 6
+        found.clear()
+        grams = Grams(block, ~held[block.text], order, least)
         for number in range(1, rounds + 1):
             grams.question(number)
             said = right[f"answer{number}"].to_pylist()[0]
@@ -440,29 +574,39 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = OR
 
     def first(left: pa.Table) -> pa.Table:
         _, grams, known = asked(*opened(left)[1:], None, 0)
-        return questions(left["block"][0].as_py(), grams.question(1), grams.values(), known, n)
+        out = questions(left["block"][0].as_py(), grams.question(1), grams.values(), known, n)
+        del grams
+        released()
+        return out
 
     def further(number: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             _, grams, _ = asked(*opened(left)[1:], right, number - 1)
-            return questions(left["block"][0].as_py(), grams.question(number), grams.values(), grams.known(), n)
+            out = questions(left["block"][0].as_py(), grams.question(number), grams.values(), grams.known(), n)
+            del grams
+            released()
+            return out
 
         return run
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held, found = opened(left)
-        block, grams, (tokens, kinds, *of_counts) = asked(held, found, right, order)
+        block, grams, (tokens, kinds, *of_counts) = asked(held, found, right, order, spelled)
         none = np.empty(0, np.int64)
         model, c = Automaton(tokens, kinds, of_counts, none, none, none, order), grams.levels[0].n[grams.levels[0].places]
-        log10 = np.log10(grams.probabilities(model.root(c)))
+        log10 = Machine(grams, model.root(c), np.where(c > 0, 0.0, block.spelt)).read()
         base = np.log10((c + 0.1) / (model.n + 0.1 * (model.kinds + 1)))
         size = len(ids)
         lists = {
             "doc_id": pa.array(ids, pa.int64()), "held_out": held, "n_tokens": np.bincount(block.text, minlength=size),
             "n_known": np.bincount(block.text, weights=c > 0, minlength=size).astype(np.int64), "train_tokens": np.full(size, model.n),
             "base_score": np.bincount(block.text, weights=base, minlength=size), "score": np.bincount(block.text, weights=log10, minlength=size),
+            "known_score": np.bincount(block.text, weights=np.where(c > 0, log10, 0.0), minlength=size),
         }
-        return pa.table({k: lists[k] for k in names})
+        out = pa.table({k: lists[k] for k in names})
+        del block, grams, log10, base, c
+        released()
+        return out
 
     def blocked():
         return dealt.groupBy("block")

@@ -190,6 +190,9 @@ def test_language_model_keeps_rare_words(spark):
     rng = random.Random(6)
     common = [f"c{i}" for i in range(20)]
     rows = [(i, " ".join(rng.choices(common, k=5000))) for i in range(40)] + [(i, "Rare words meet c1 here once") for i in range(40, 52)] + [(60, "two times only"), (62, "two times only c3"), (63, "")]
+    rows += [(64, "Rare words meet " + "c1 c2 c3 never here " * 400), (65, "zyx é" * 3 + " c1 once")]
+    held = next(i for i in range(70, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows += [(held, "unheard wörds meet c1 " + "x" * 100)]
     out = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
     assert not out(60) and not out(62)
     tokens = lambda t: [*t.lower().split(), "<end>"]
@@ -205,17 +208,24 @@ def test_language_model_keeps_rare_words(spark):
     assert c[0][("two",)] == 2 < 1e-5 * n * 2
     d = np.array([0, *language_model.discounts([sum(x == k for x in c[0].values()) for k in (1, 2, 3, 4)])])
     unseen = sum(d[min(x, 3)] for x in c[0].values()) / n
-    kept = [{g: x for g, x in level.items() if x >= 2} for level in c]
-    mass = defaultdict(float)
-    for level in kept[1:]:
-        for g, x in level.items():
-            mass[g[:-1]] += x - 0.7
+    bytes_after = Counter(p for g, x in c[0].items() if g != ("<end>",) for p in list(zip(b" " + g[0].encode(), g[0].encode() + b" ")) * x)
+    of_byte = Counter()
+    for (a, _), x in bytes_after.items():
+        of_byte[a] += x
 
-    def brute(t):
+    def spelt(w):
+        return math.prod((bytes_after[a, b] + 0.1) / (of_byte[a] + 0.1 * (250 + (a != 32))) for a, b in zip(b" " + w.encode(), w.encode() + b" "))
+
+    def brute(t, least=2):
         total, padded = 0.0, ["<end>", *tokens(t)]
+        kept = [{g: x for g, x in level.items() if x >= least} for level in c]
+        mass = defaultdict(float)
+        for level in kept[1:]:
+            for g, x in level.items():
+                mass[g[:-1]] += x - 0.7
         for i in range(1, len(padded)):
             x = c[0][(padded[i],)]
-            p = (x - d[min(x, 3)]) / n if x else unseen
+            p = (x - d[min(x, 3)]) / n if x else unseen * spelt(padded[i])
             for size in (2, 3):
                 if i - size + 1 >= 0:
                     g = tuple(padded[i - size + 1 : i + 1])
@@ -227,6 +237,31 @@ def test_language_model_keeps_rare_words(spark):
 
     got = {r.doc_id: r.score for r in language_model.score(documents(spark, rows)).collect()}
     assert got == pytest.approx({d: brute(t) for d, t in rows})
+    every = {r.doc_id: r.score for r in language_model.score(documents(spark, rows), least=1).collect()}
+    assert every == pytest.approx({d: brute(t, 1) for d, t in rows})
+
+
+def test_random_strings_score_far_below_texts(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeioubdlmnrst", k=rng.randrange(2, 8))) for _ in range(300)]
+    text = lambda: " ".join(rng.choices(words, k=80))
+    rows = [(i, text()) for i in range(200)]
+    out = [i for i in range(200, 600) if zlib.crc32(str(i).encode()) % 10 == 0][:20]
+    noise = lambda: " ".join("".join(rng.choices("qwxyzjk0123456789", k=6)) for _ in range(80))
+    rows += [(i, text() if k % 2 else noise()) for k, i in enumerate(out)]
+    got = {r.doc_id: r for r in language_model.score(documents(spark, rows)).collect()}
+    noisy = [got[i].score / got[i].n_tokens for i in out[::2]]
+    held = [got[i].score / got[i].n_tokens for i in out[1::2]]
+    trained = [r.score / r.n_tokens for r in got.values() if not r.held_out]
+    assert max(noisy) < min(held) - 3 and np.mean(trained) >= np.mean(held)
+    assert all(r.known_score >= r.score for r in got.values())
+
+
+def test_spelling_is_a_distribution():
+    counts = np.bincount(language_model.byte_pairs(np.frombuffer(b"ab ba\nabc \x00\n", np.uint8)), minlength=1 << 16)
+    p = np.where(language_model.spelling(counts) < 0, 10 ** language_model.spelling(counts), 0).reshape(256, 256)
+    token = language_model._TOKEN
+    assert p[token].sum(axis=1) == pytest.approx(np.ones(250)) and p[32].sum() == pytest.approx(1) and p[32, 32] == 0
 
 
 def test_segmentation_against_enumeration(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from .vectors import let
 
 # The characters that count as white space, the letters that names keep, and the list in an answer.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_LETTERS = "[^a-zA-ZÀ-ÿ ]"
 NOT_ALNUM = "[^a-zA-ZÀ-ÿ0-9 ]"
 JSON_LIST = r'\[(".*",\s*)*".*"\]'
@@ -18,13 +20,12 @@ BLOCKED = ("fun", "Fun")
 
 def stripped(text: Column) -> Column:
     """text without white space at either end."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def non_empty(text: Column) -> Column:
     """The stripped text, or null if nothing is left."""
-    clean = stripped(text)
-    return F.when(F.length(clean) > 0, clean)
+    return F.nullif(stripped(text), F.lit(""))
 
 
 def words(text: Column) -> Column:
@@ -61,29 +62,36 @@ def preview(text: Column, n: int) -> Column:
     return F.replace(F.substring(text, 1, n), F.lit("\n"), F.lit(" "))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a row of the table at a time, as an array."""
-
-    def table(b: Column) -> Column:
-        start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence; a bit for each place of b, a step for each of a."""
+    where: dict = {}
+    for i, x in enumerate(b):
+        where[x] = where.get(x, 0) | (1 << i)
+    every = (1 << len(b)) - 1
+    row = every
+    for x in a:
+        met = row & where.get(x, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(b) - row.bit_count()
 
-        def row(before: Column, x: Column) -> Column:
-            def cell(done: Column, j: Column) -> Column:
-                here = F.when(F.get(b, j - 1) == x, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.get(done, j - 1)))
-                return F.concat(done, F.array(here))
 
-            return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of texts; null if one is null. Arrow batches go to
+    common_length(), as no expression does this in less than a step for each pair of places."""
 
-        return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, row), -1))
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else common_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
-    return let(b, table)
+    return run(a, b)
 
 
 def rouge_l(hypothesis: Column, reference: Column) -> Column:
     """F1 of ROUGE-L over words; 0 if either is empty or nothing is common."""
-    both = F.struct(words(hypothesis).alias("h"), words(reference).alias("r"))
-    return let(both, lambda s: rouge_l_of(lcs_length(s["h"], s["r"]), F.size(s["h"]), F.size(s["r"])))
+    h, r = words(hypothesis), words(reference)
+    return rouge_l_of(lcs_length(h, r), F.size(h), F.size(r))
 
 
 def rouge_l_of(common: Column, n_hypothesis: Column, n_reference: Column) -> Column:
-    return let(common, lambda n: F.when(n > 0, 2.0 * n / F.when(n > 0, n_hypothesis + n_reference).otherwise(1)).otherwise(0.0))
+    total = n_hypothesis + n_reference
+    return F.when(total > 0, 2.0 * common / F.when(total > 0, total).otherwise(1)).otherwise(0.0)

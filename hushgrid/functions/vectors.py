@@ -48,8 +48,8 @@ def top_places(v: Column, k: int) -> Column:
 
 def set_jaccard(a: Column, b: Column) -> Column:
     """Size of the intersection over that of the union; 0 for two empty sets."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.when(union == 0, 1).otherwise(union))
+    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("all"))
+    return let(sizes, lambda s: F.when(s["all"] == 0, 0.0).otherwise(s["both"] / F.when(s["all"] == 0, 1).otherwise(s["all"])))
 
 
 def softmax(v: Column, temperature: float = 1.0) -> Column:

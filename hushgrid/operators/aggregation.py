@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.accounting import clip_bound
-from ..functions.vectors import doubles, let
+from ..functions.vectors import argmax, doubles, let
 
 KEYS = ("query_id", "step")
 
@@ -95,9 +95,17 @@ def greedy_tokens(logits: DataFrame) -> DataFrame:
     return logits.groupBy(*KEYS).agg(best).select(*KEYS, (-F.col("best.t")).alias("token"))
 
 
-def drawn_tokens(logits: DataFrame, temperature: float, seed: int) -> DataFrame:
-    """query_id, step, token drawn by softmax at a temperature, by the Gumbel-max trick; seed fixes all draws."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *KEYS, "token"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def before_and_after(streams: DataFrame, c: AggregationConfig) -> DataFrame:
+    """query_id, step, before, after: the greatest token of the public stream alone and of the aggregate; the lowest on ties."""
+    public = streams.filter("stream_id = 0").select(*KEYS, argmax(doubles("logits")).alias("before"))
+    return public.join(greedy_tokens(aggregated(streams, c)).withColumnRenamed("token", "after"), list(KEYS))
+
+
+def drawn_tokens(logits: DataFrame, temperature: float, seed: int, u: Column | None = None) -> DataFrame:
+    """query_id, step, token drawn by softmax at a temperature, by the Gumbel-max trick; seed, or numbers u between 0 and 1
+    for each row, fix all draws."""
+    if u is None:
+        u = (F.pmod(F.xxhash64(F.lit(seed), *KEYS, "token"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = logits.withColumn("_g", F.col("logit") / temperature - F.log(-F.log(u)))
     return keyed.groupBy(*KEYS).agg(F.max_by("token", "_g").alias("token"))
 

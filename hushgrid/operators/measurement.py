@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import let
-from .prefilter import Strategy
+from .prefilter import Strategy, decide
 
 
 def decisions(pairs: DataFrame, by_name: dict[str, Strategy]) -> DataFrame:
-    """pairs (query_id, step, logit_rag, logit_norag) with a row for each strategy: its name and decision."""
-    built = [F.struct(F.lit(name).alias("strategy"), s(F.col("logit_rag"), F.col("logit_norag")).alias("decision")) for name, s in by_name.items()]
-    keys = [c for c in pairs.columns if c not in ("logit_rag", "logit_norag")]
-    return pairs.select(*keys, F.explode(F.array(*built)).alias("d")).select(*keys, "d.strategy", "d.decision.*")
+    """pairs (query_id, step, logit_rag, logit_norag) with a row for each strategy: its name and decision. The outer explode
+    infers no filter on the decisions, which would be computed again below the joins."""
+    if not by_name:
+        raise ValueError("no strategy is named")
+    decided = decide(pairs, by_name)
+    keys = [c for c in decided.columns if c != "decisions"]
+    return decided.select(*keys, F.explode_outer("decisions").alias("d")).select(*keys, "d.strategy", "d.decision.*")
 
 
 def trigger_rates(decided: DataFrame, *by: str) -> DataFrame:
@@ -27,6 +30,12 @@ def without_last(tokens: Column, end: int | str) -> Column:
     return F.when((F.size(tokens) > 0) & ended, F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
 
 
+def aligned(a: Column, b: Column) -> Column:
+    """struct<a, b, n>: both arrays up to the shorter one's end, and its length, so that they tell of the same places."""
+    n = F.least(F.size(a), F.size(b))
+    return F.struct(F.slice(a, 1, n).alias("a"), F.slice(b, 1, n).alias("b"), n.alias("n"))
+
+
 def consistency(a: Column, b: Column) -> Column:
     """Share of places, up to the shorter one's end, at which two arrays agree; 0 if there are none."""
 

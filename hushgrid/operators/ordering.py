@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder of spark.checkpoint.dir, which all executors share; where all runs on one
+    machine and the session names none, in a temporary one."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="hushgrid-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def running(rows: DataFrame, key: str, value: str, sums: dict[str, Column], low: Column | float, high: Column | float, buckets: int = BUCKETS) -> DataFrame:
     """rows (one for each key and value) with ``next`` (the next larger value of the key, or null), and for each of sums
     the running sum up to and with the row, and the key's total as ``total_<name>``.
 
     Values from low to high are cut into buckets of equal width. Windows run over the buckets' sums, at most buckets
-    rows for each key, and inside each bucket.
+    rows for each key, and inside each bucket. rows are computed once: what the sums are joined to is written first.
     """
     low, high = (F.lit(x) if not isinstance(x, Column) else x for x in (low, high))
     width = F.when(high > low, high - low).otherwise(1.0)
     placed = rows.withColumn("_b", F.floor((F.col(value) - low) / width * buckets).cast("long")).withColumns({f"_{n}": c for n, c in sums.items()})
+    placed = settled(placed)
     per = placed.groupBy(key, "_b").agg(F.min(value).alias("_first"), *[F.sum(f"_{n}").alias(f"_sum_{n}") for n in sums])
     over = Window.partitionBy(key).orderBy("_b")
     before = over.rowsBetween(Window.unboundedPreceding, -1)

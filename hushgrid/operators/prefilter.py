@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, doubles, set_jaccard, top_places
@@ -54,9 +54,30 @@ def similar_top_k(k: int, tau: float) -> Strategy:
         return _checked(rag, norag, _decision(similarity >= tau, argmax(norag), similarity))
 
     strategy.__name__ = f"strategy_b_k{k}_tau{tau}"
+    strategy.k, strategy.tau = k, tau
     return strategy
 
 
+def decide(pairs: DataFrame, by_name: dict[str, Strategy], rag: str = "logit_rag", norag: str = "logit_norag") -> DataFrame:
+    """pairs without its logits, and ``decisions``, an array of struct<strategy, decision> in the order of by_name. Both
+    arrays are sorted once, whatever number of top-k strategies there is: these read slices of the largest k."""
+    keys = [c for c in pairs.columns if c not in (rag, norag)]
+    ks = sorted({s.k for s in by_name.values() if hasattr(s, "k")})
+    a, b = doubles(rag), doubles(norag)
+    whole = pairs.select(*keys, _checked(a, b, a).alias("_a"), b.alias("_b"))
+    if ks:
+        whole = whole.select("*", top_places(F.col("_a"), ks[-1]).alias("_ta"), top_places(F.col("_b"), ks[-1]).alias("_tb"))
+    whole = whole.select("*", argmax(F.col("_b")).alias("_token"), *[set_jaccard(F.slice("_ta", 1, k), F.slice("_tb", 1, k)).alias(f"_j{k}") for k in ks])
+
+    def one(s: Strategy) -> Column:
+        if hasattr(s, "k"):
+            return _decision(F.col(f"_j{s.k}") >= s.tau, F.col("_token"), F.col(f"_j{s.k}"))
+        return s(F.col("_a"), F.col("_b"))
+
+    built = [F.struct(F.lit(name).alias("strategy"), one(s).alias("decision")) for name, s in by_name.items()]
+    return whole.select(*keys, F.array(*built).alias("decisions"))
+
+
 def strategies() -> dict[str, Strategy]:
     """By name: the argmax strategy and the whole grid of the other."""
     grid = [similar_top_k(k, tau) for k in TOP_KS for tau in TAUS]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,9 +65,10 @@ def uniform(seed: int, *keys: Column | str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def dirichlet(items: DataFrame, key: str, seed: int) -> DataFrame:
-    """items with ``probability``, a draw of all of them from the flat Dirichlet: exponential draws over their sum."""
-    drawn = items.withColumn("_e", -F.log(uniform(seed, key)))
+def dirichlet(items: DataFrame, key: str, seed: int, u: Column | None = None) -> DataFrame:
+    """items with ``probability``, a draw of all of them from the flat Dirichlet: exponential draws over their sum; seed and
+    key, or numbers u between 0 and 1 for each row, fix it."""
+    drawn = items.withColumn("_e", -F.log(uniform(seed, key) if u is None else u))
     total = drawn.agg(F.sum("_e").alias("_total"))
     return drawn.join(F.broadcast(total)).withColumn("probability", F.col("_e") / F.col("_total")).drop("_e", "_total")
 
@@ -102,11 +104,15 @@ def optional_equal(rows: DataFrame, column: str, value: str | None) -> DataFrame
     return rows.filter(F.col(column) == value) if value else rows
 
 
-def hair_colors(spark: SparkSession, n: int, seed: int, specific: int = 0) -> DataFrame:
-    """doc_id, text: synthetic documents on people's hair; the first ones on one and the same person."""
-    names = F.array(*[F.lit(x) for x in "Ada Ben Cleo Dan Eva Finn Gia Hugo Ida Jon".split()])
-    colors = F.array(*[F.lit(x) for x in "black brown blond red grey white".split()])
-    pick = lambda table, k: F.get(table, F.floor(uniform(seed + k, "id") * F.size(table)).cast("int"))
-    name = F.when(F.col("id") < specific, F.lit("Alice")).otherwise(pick(names, 1))
-    color = F.when(F.col("id") < specific, F.lit("blue")).otherwise(pick(colors, 2))
+NAMES = "Ada Ben Cleo Dan Eva Finn Gia Hugo Ida Jon".split()
+COLORS = "black brown blond red grey white".split()
+
+
+def hair_colors(spark: SparkSession, n: int, seed: int, specific: int = 0, draw: Callable[[int], Column] | None = None) -> DataFrame:
+    """doc_id, text: synthetic documents on people's hair; the first ones on one and the same person. draw gives numbers
+    between 0 and 1 for the names (1) and colours (2) of rows (id); else seed fixes them."""
+    draw = draw or (lambda k: uniform(seed + k, "id"))
+    pick = lambda words, k: F.get(F.array(*[F.lit(x) for x in words]), F.floor(draw(k) * len(words)).cast("int"))
+    name = F.when(F.col("id") < specific, F.lit("Alice")).otherwise(pick(NAMES, 1))
+    color = F.when(F.col("id") < specific, F.lit("blue")).otherwise(pick(COLORS, 2))
     return spark.range(n).select(F.col("id").alias("doc_id"), F.concat(name, F.lit(" has "), color, F.lit(" hair.")).alias("text"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from .ordering import running
+from .ordering import running, settled
 
 
 @dataclass(frozen=True)
@@ -39,10 +39,15 @@ class RetrievalConfig:
             raise ValueError("mode must be sentinels or paper")
 
 
-def append(store: DataFrame, new: DataFrame) -> DataFrame:
-    """store and the rows of new whose text it lacks; of equal new texts that with the least doc_id."""
+def lacking(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of new whose text the store lacks; of equal new texts that with the least doc_id."""
     first = new.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
-    return store.select("doc_id", "text").unionByName(first.join(store.select("text"), "text", "left_anti").select("doc_id", "text"))
+    return first.join(store.select("text"), "text", "left_anti").select("doc_id", "text")
+
+
+def append(store: DataFrame, new: DataFrame) -> DataFrame:
+    """store and the rows of new that it lacks."""
+    return store.select("doc_id", "text").unionByName(lacking(store, new))
 
 
 def score(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -66,6 +71,7 @@ def _merged(scores: DataFrame, low: Column | float, high: Column | float, sentin
 def _normalized(intervals: DataFrame, utility: Column, epsilon: float) -> DataFrame:
     """query_id, s, next, pdf of intervals with a width; in logarithms less their maximum, so nothing underflows."""
     kept = intervals.filter(F.col("next") > F.col("s")).withColumn("_lw", F.lit(epsilon / 2) * utility + F.log(F.col("next") - F.col("s")))
+    kept = settled(kept)
     top = kept.groupBy("query_id").agg(F.max("_lw").alias("_top"))
     weighed = kept.join(top, "query_id").withColumn("_w", F.exp(F.col("_lw") - F.col("_top")))
     total = weighed.groupBy("query_id").agg(F.sum("_w").alias("_total"))
@@ -137,9 +143,16 @@ def above(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     return scores.join(thresholds, "query_id").filter(F.col("threshold").isNull() | (F.col("score") > F.col("threshold"))).drop("threshold")
 
 
-def capped(selected: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most so many rows of each query, chosen evenly and in an order that seed fixes, with their place from 1."""
-    order = Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "doc_id"), "doc_id")
+def ranked(selected: DataFrame) -> DataFrame:
+    """selected with ``rank``, from 1: the best score first, then the least doc_id."""
+    return selected.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+
+
+def capped(selected: DataFrame, most: int, seed: int, by: Column | None = None) -> DataFrame:
+    """At most so many rows of each query, with their place from 1; chosen evenly and in an order that seed fixes, or in
+    the order of by."""
+    by = F.xxhash64(F.lit(seed), "query_id", "doc_id") if by is None else by
+    order = Window.partitionBy("query_id").orderBy(by, "doc_id")
     return selected.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 

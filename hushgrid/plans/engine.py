@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.accounting import IDENTITY, PrivacyLoss, pure, token_epsilon
 from ..operators.aggregation import AggregationConfig, aggregate_block
 from ..operators.prefilter import Strategy
-from ..operators.retrieval import RetrievalConfig, append, retrieve
-from .prompts import fan_out, joined_documents, public
+from ..operators.ordering import settled
+from ..operators.preparation import missing
+from ..operators.retrieval import RetrievalConfig, lacking, retrieve
+from .prompts import fan_out, joined_documents, public, summary_fan_out
 from .providers import embedded, provider
 
 
@@ -67,6 +69,58 @@ def generate(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-score
     return prompts.select(F.col("query_id").cast("long").alias("query_id"), "stream_id", "prompt").groupBy("query_id").applyInArrow(run, "query_id long, tokens array<int>, text string")
 
 
+def completed(rows: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
+    """query_id, tokens, text for rows (query_id, asked): each prompt by itself, without privacy and without others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = provider(model)
+        for batch in batches:
+            out: list[tuple] = []
+            for query, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                draws, tokens = np.random.default_rng([seed, query & (2**63 - 1)]), []
+                while len(tokens) < g.max_new_tokens:
+                    logits = np.asarray(own.next_logits([asked], tokens)[0], np.float64)
+                    token = int(logits.argmax()) if g.greedy else int((logits / g.temperature - np.log(-np.log(draws.random(len(logits))))).argmax())
+                    if token == own.end:
+                        break
+                    tokens.append(token)
+                out.append((query, tokens, " ".join(own.vocabulary[t] for t in tokens)))
+            if out:
+                kinds = [pa.int64(), pa.list_(pa.int32()), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["query_id", "tokens", "text"])
+
+    return rows.select(F.col("query_id").cast("long").alias("query_id"), "asked").mapInArrow(run, "query_id long, tokens array<int>, text string")
+
+
+def chat_completion(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
+    """query_id, tokens, text: an answer to each of prompts (query_id, prompt), without what was asked."""
+    said = F.array_join(F.transform("prompt", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return completed(prompts.select("query_id", said.alias("asked")), g, model, seed)
+
+
+def text_completion(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
+    """query_id, tokens, text: each of prompts (query_id, text) and how it goes on."""
+    made = completed(prompts.select("query_id", F.col("text").alias("asked")), g, model, seed).withColumnRenamed("text", "more")
+    return made.join(prompts.select(F.col("query_id").cast("long").alias("query_id"), "text"), "query_id").select("query_id", "tokens", F.concat_ws(" ", "text", F.expr("nullif(more, '')")).alias("text"))
+
+
+def generated_until_complete(rows: DataFrame, folder: str, key: str, g: GenerationConfig, batch: int | None = None, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
+    """rows (key: long, prompt) with the text that was generated for each, kept as Parquet in a folder that all machines
+    share. Each round takes the rows that the folder lacks, at most batch of them, and adds their texts, so an
+    interrupted run goes on where it was."""
+    spark = rows.sparkSession
+    empty = spark.createDataFrame([], f"{key} long, text string")
+    empty.write.mode("append").parquet(folder)
+    while True:
+        done = spark.read.schema(empty.schema).parquet(folder)
+        left = missing(rows, done, key)
+        if left.isEmpty():
+            return done
+        left = left.orderBy(key).limit(batch) if batch else left
+        made = chat_completion(left.select(F.col(key).alias("query_id"), "prompt"), g, model, seed)
+        made.select(F.col("query_id").alias(key), "text").write.mode("append").parquet(folder)
+
+
 def dual_logits(queries: DataFrame, retrieved: DataFrame, steps: int, model: str = "hashed-scores", driver: str = "norag") -> DataFrame:
     """query_id, step, logit_rag, logit_norag: scores of a query (query_id, query) with all its retrieved texts and
     without, along the greedy answer of the driver, norag or rag."""
@@ -108,10 +162,17 @@ class Engine:
         spent = pure(retrieval.epsilon) if retrieval.differential_privacy else IDENTITY
         self.loss = spent.compose(generation.loss(generation.aggregation()))
         self.answers = 0
+        self.vectors: DataFrame | None = None
 
     def add(self, new: DataFrame) -> None:
-        """Adds (doc_id, text) rows whose text isn't in the store yet."""
-        self.store = append(self.store, new)
+        """Adds (doc_id, text) rows whose text isn't in the store yet; only these are embedded."""
+        fresh = settled(lacking(self.store, new))
+        if self.vectors is not None:
+            self.vectors = self.vectors.unionByName(self._embedded(fresh))
+        self.store = self.store.select("doc_id", "text").unionByName(fresh)
+
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        return settled(rows.select("doc_id", embedded(F.col("text"), self.embedding).alias("embedding")))
 
     def epsilon_per_answer(self) -> float:
         return self.loss.epsilon(self.generation.delta)
@@ -122,9 +183,10 @@ class Engine:
 
     def retrieved(self, queries: DataFrame) -> DataFrame:
         """query_id, place, text; texts are joined only to the rows that are left."""
-        vectors = self.store.select("doc_id", embedded(F.col("text"), self.embedding).alias("embedding"))
+        if self.vectors is None:
+            self.vectors = self._embedded(self.store)
         asked = queries.select("query_id", embedded(F.col("query"), self.embedding).alias("query_vector"))
-        found = retrieve(asked, vectors, self.retrieval, self.seed)
+        found = retrieve(asked, self.vectors, self.retrieval, self.seed)
         return found.join(self.store, "doc_id").select("query_id", "place", "text")
 
     def chat(self, queries: DataFrame) -> DataFrame:
@@ -132,6 +194,11 @@ class Engine:
         self.answers += queries.count()
         return generate(fan_out(queries, self.retrieved(queries)), self.generation, self.model, self.seed)
 
+    def summary(self, topics: DataFrame) -> DataFrame:
+        """query_id, tokens, text: a private summary of what is retrieved for topics (query_id, query)."""
+        self.answers += topics.count()
+        return generate(summary_fan_out(topics, self.retrieved(topics)), self.generation, self.model, self.seed)
+
     def measured(self, queries: DataFrame, steps: int, strategies: dict[str, Strategy], driver: str = "norag") -> DataFrame:
         """Decisions of strategies along each query's answer."""
         from ..operators.measurement import decisions

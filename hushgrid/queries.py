@@ -81,14 +81,14 @@ def retrieve_topk_nondp(spark, sf_dir):
 
 _TOPP = """o AS (SELECT query_id, score AS s FROM sc UNION ALL SELECT query_id, min(score) FROM sc GROUP BY query_id UNION ALL SELECT query_id, max(score) FROM sc GROUP BY query_id),
 w AS (SELECT query_id, s, exp(5.0 * (s - max(s) OVER (PARTITION BY query_id)) / (max(s) OVER (PARTITION BY query_id) - min(s) OVER (PARTITION BY query_id))) AS w FROM o),
-u AS (SELECT query_id, s, -abs(sum(w) OVER (PARTITION BY query_id) * (1 - 0.02) - sum(w) OVER (PARTITION BY query_id ORDER BY s ROWS UNBOUNDED PRECEDING)) AS u FROM w),
+u AS (SELECT query_id, s, -abs(sum(w) OVER (PARTITION BY query_id) * (1 - 0.3) - sum(w) OVER (PARTITION BY query_id ORDER BY s ROWS UNBOUNDED PRECEDING)) AS u FROM w),
 t AS (SELECT query_id, s AS tau FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY u DESC, s) AS p FROM u) WHERE p = 1)"""
 
 
 @query(f"WITH {_SCORES}, {_TOPP} SELECT sc.query_id, doc_id, round(score, 6) AS score FROM sc JOIN t ON sc.query_id = t.query_id WHERE score > tau")
 def retrieve_topp_nondp(spark, sf_dir):
     s = scores(spark, sf_dir)
-    return retrieval.above(s, retrieval.top_p_threshold(s, 0.02)).withColumn("score", r6("score"))
+    return retrieval.above(s, retrieval.top_p_threshold(s, 0.3)).withColumn("score", r6("score"))
 
 
 _CLIPPED = """o AS (SELECT query_id, least(greatest(s, -0.5), 0.8) AS s FROM (SELECT query_id, score AS s FROM sc UNION ALL SELECT DISTINCT query_id, unnest([-1.0, 1.0]) FROM sc)),
@@ -144,6 +144,13 @@ def retrieve_dp_capped(spark, sf_dir):
     return retrieval.retrieve(label_queries(spark, sf_dir), corpus, RetrievalConfig(top_k=20, max_retrieve=10), seed=7)
 
 
+@query(f"WITH {_SCORES}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC) AS p FROM sc), t AS (SELECT * FROM r WHERE score > (SELECT score FROM r WHERE p = 31)), c AS (SELECT query_id, doc_id, score, row_number() OVER (ORDER BY (doc_id * 7919 + 5) % 10007, doc_id)::INT AS place FROM t) SELECT query_id, doc_id, place, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM c WHERE place <= 10")
+def retrieve_capped_u(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    kept = retrieval.capped(retrieval.above(s, retrieval.top_k_threshold(s, 30)), 10, 0, F.pmod(F.col("doc_id") * 7919 + 5, F.lit(10007)))
+    return retrieval.ranked(kept).select("query_id", "doc_id", "place", "rank")
+
+
 @query(f"WITH {_MANY}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS p FROM sc), t AS (SELECT query_id, score AS tau FROM r WHERE p = 11) SELECT r.query_id, doc_id, round(score, 6) AS score FROM r JOIN t ON r.query_id = t.query_id WHERE score > tau")
 def multi_query_topk(spark, sf_dir):
     s = scores(spark, sf_dir, label_queries)
@@ -215,9 +222,15 @@ def greedy_token(spark, sf_dir):
     return aggregation.greedy_tokens(aggregation.aggregated(streams(spark, sf_dir), AGGREGATION))
 
 
-@query()
+@query(f"WITH {_STREAMS}, {_DP_TOKENS}, u AS (SELECT *, ((query_id * 7919 + token * 104729 + 13) % 10007 + 0.5) / 10007.0::DOUBLE AS u FROM g) SELECT query_id, step, token::INT AS token FROM (SELECT *, row_number() OVER (PARTITION BY query_id, step ORDER BY logit - ln(-ln(u)) DESC) AS p FROM u) WHERE p = 1")
 def drawn_token(spark, sf_dir):
-    return aggregation.drawn_tokens(aggregation.aggregated(streams(spark, sf_dir), AGGREGATION), 1.0, seed=3)
+    u = (F.pmod(F.col("query_id") * 7919 + F.col("token") * 104729 + 13, F.lit(10007)) + 0.5) / F.lit(10007.0)
+    return aggregation.drawn_tokens(aggregation.aggregated(streams(spark, sf_dir), AGGREGATION), 1.0, seed=3, u=u)
+
+
+@query(f"WITH {_STREAMS}, {_DP_TOKENS}, a AS (SELECT query_id, step, token::INT AS after FROM (SELECT *, row_number() OVER (PARTITION BY query_id, step ORDER BY logit DESC, token) AS p FROM g) WHERE p = 1), b AS (SELECT query_id, step, (list_position(l, list_max(l)) - 1)::INT AS before FROM s WHERE k = 0) SELECT query_id, step, before, after FROM a JOIN b USING (query_id, step)")
+def argmax_before_and_after(spark, sf_dir):
+    return aggregation.before_and_after(streams(spark, sf_dir), AGGREGATION)
 
 
 @query("WITH j AS (SELECT range AS j FROM range(71)), l AS (SELECT (2 * j - 70) * 0.1::DOUBLE AS loss, exp(lgamma(71) - lgamma(j + 1) - lgamma(71 - j) + j * ln(1 / (1 + exp(-0.1::DOUBLE))) + (70 - j) * ln(1 - 1 / (1 + exp(-0.1::DOUBLE)))) AS mass FROM j), e AS (SELECT range / 10.0::DOUBLE AS epsilon FROM range(71)) SELECT round(epsilon, 6) AS epsilon, round(sum(CASE WHEN loss > epsilon THEN mass * (1 - exp(epsilon - loss)) ELSE 0 END), 6) AS delta FROM l, e GROUP BY epsilon")
@@ -247,6 +260,25 @@ def stub_dp_chat(spark, sf_dir):
     return engine.chat(asked)
 
 
+@query()
+def stub_dp_summary(spark, sf_dir):
+    from .plans.engine import Engine, GenerationConfig
+
+    store = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    engine = Engine(store, RetrievalConfig(top_k=8, max_retrieve=4, epsilon=1.0), GenerationConfig(max_new_tokens=12))
+    return engine.summary(table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.col("r_name").alias("query")))
+
+
+@query()
+def stub_completion(spark, sf_dir):
+    from .plans.engine import GenerationConfig, chat_completion, text_completion
+
+    g = GenerationConfig(max_new_tokens=12)
+    said = text_completion(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), g).select("query_id", F.lit("text").alias("kind"), "text")
+    dialogs = prompts.medical_dialogs(spark).select(F.col("dialog").cast("long").alias("query_id"), "prompt")
+    return said.unionByName(chat_completion(dialogs, g).select("query_id", F.lit("chat").alias("kind"), "text"))
+
+
 # --- pre-filters and measurement -------------------------------------------------------------------------------------
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
@@ -283,7 +315,7 @@ def strategy_b_grid(spark, sf_dir):
 def jaccard_topk(spark, sf_dir):
     p = pairs(spark, sf_dir)
     built = [F.struct(F.lit(k).alias("k"), r6(prefilter.top_k_jaccard(F.col("logit_rag"), F.col("logit_norag"), k)).alias("jaccard")) for k in prefilter.TOP_KS]
-    return p.select("query_id", F.inline(F.array(*built)))
+    return p.select("query_id", F.inline_outer(F.array(*built)))
 
 
 @query("SELECT k, tau, round(2 * k * tau / (1 + tau), 6) AS overlap FROM (SELECT unnest([10, 20, 50]) AS k), (SELECT unnest([0.5, 0.7, 0.9, 1.0])::DOUBLE AS tau)")
@@ -332,6 +364,12 @@ def consistency_mean_median(spark, sf_dir):
     return m.select("n_queries", r6("mean_consistency").alias("mean_consistency"), r6("median_consistency").alias("median_consistency"))
 
 
+@query(f"WITH {_TURNS} SELECT conv_id, turn, least(len(h), len(r))::INT AS n, array_to_string(h[:least(len(h), len(r))], ' ') AS a, array_to_string(r[:least(len(h), len(r))], ' ') AS b FROM tw")
+def aligned_turns(spark, sf_dir):
+    t = turns(spark, sf_dir).withColumn("s", measurement.aligned(text.words(F.col("hypothesis")), text.words(F.col("reference"))))
+    return t.select("conv_id", "turn", "s.n", F.array_join("s.a", " ").alias("a"), F.array_join("s.b", " ").alias("b"))
+
+
 @query()
 def rouge_l(spark, sf_dir):
     t = turns(spark, sf_dir)
@@ -383,9 +421,10 @@ def disease_counts(spark, sf_dir):
     return observed(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("WITH i AS (SELECT source, lang, count(*) AS n, sum(quality) AS s FROM documents JOIN labels USING (doc_id) GROUP BY source, lang) SELECT CASE WHEN n >= 100 THEN '>=100' WHEN n >= 50 THEN '[50,100)' WHEN n >= 20 THEN '[20,50)' WHEN n >= 10 THEN '[10,20)' ELSE '[0,10)' END AS bucket, count(*) AS items, sum(n)::BIGINT AS n, sum(s)::BIGINT AS successes, round(sum(s) / sum(n), 6) AS accuracy FROM i GROUP BY bucket")
+@query("WITH i AS (SELECT source, length(bin(doc_id % 128 + 1)) AS part, count(*) AS n, sum(quality) AS s FROM documents JOIN labels USING (doc_id) GROUP BY ALL) SELECT CASE WHEN n >= 100 THEN '>=100' WHEN n >= 50 THEN '[50,100)' WHEN n >= 20 THEN '[20,50)' WHEN n >= 10 THEN '[10,20)' ELSE '[0,10)' END AS bucket, count(*) AS items, sum(n)::BIGINT AS n, sum(s)::BIGINT AS successes, round(sum(s) / sum(n), 6) AS accuracy FROM i GROUP BY bucket")
 def bucket_accuracy(spark, sf_dir):
-    per = observed(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("quality").alias("successes"))
+    part = F.length(F.bin(F.pmod("doc_id", F.lit(128)) + 1))
+    per = observed(spark, sf_dir).groupBy("source", part.alias("part")).agg(F.count("*").alias("n"), F.sum("quality").alias("successes"))
     return evaluation.bucket_accuracy(per).withColumn("accuracy", r6("accuracy"))
 
 
@@ -451,9 +490,9 @@ def symptom_extract(spark, sf_dir):
     return c.select("conv_id", "turn", F.array_join(text.json_list(said), "|").alias("symptoms"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 1)")
 def anti_missing(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 8 = 1").select(F.col("o_custkey").alias("c_custkey"))
     return preparation.missing(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
 
 
@@ -472,21 +511,34 @@ def categorical_assign_u(spark, sf_dir):
     return preparation.categorical(table(spark, sf_dir, "customer").select("c_custkey"), w, u)
 
 
-@query()
+@query("WITH e AS (SELECT n_name, -ln(((n_nationkey * 7919 + 17) % 10007 + 0.5) / 10007.0::DOUBLE) AS e FROM nation) SELECT n_name, round(e / sum(e) OVER (), 6) AS probability FROM e")
 def dirichlet_weights(spark, sf_dir):
-    return preparation.dirichlet(table(spark, sf_dir, "nation").select("n_name"), "n_name", seed=5)
+    u = (F.pmod(F.col("n_nationkey") * 7919 + 17, F.lit(10007)) + 0.5) / F.lit(10007.0)
+    drawn = preparation.dirichlet(table(spark, sf_dir, "nation").select("n_name", "n_nationkey"), "n_name", seed=5, u=u)
+    return drawn.select("n_name", r6("probability").alias("probability"))
 
 
-@query()
-def hair_colors(spark, sf_dir):
-    return preparation.hair_colors(spark, 1000, seed=9, specific=100)
+def _arithmetic(k: int) -> Column:
+    return F.pmod(F.col("id") * 7919 + 104729 * k, F.lit(10007)) / F.lit(10007.0)
+
+
+def _picked(words: list[str], k: int) -> str:
+    return f"([{', '.join(map(_lit, words))}])[1 + floor((range * 7919 + {104729 * k}) % 10007 / 10007.0::DOUBLE * {len(words)})::INT]"
 
 
-# --- prompts ---------------------------------------------------------------------------------------------------------
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_HAIR = f"h AS (SELECT range AS doc_id, CASE WHEN range < 100 THEN 'Alice' ELSE {_picked(preparation.NAMES, 1)} END || ' has ' || CASE WHEN range < 100 THEN 'blue' ELSE {_picked(preparation.COLORS, 2)} END || ' hair.' AS text FROM range(1000))"
+
+
+@query(f"WITH {_HAIR} SELECT doc_id, text FROM h")
+def hair_colors(spark, sf_dir):
+    return preparation.hair_colors(spark, 1000, seed=9, specific=100, draw=_arithmetic)
+
+
+# --- prompts ---------------------------------------------------------------------------------------------------------
 def _chat_sql(system: str, user: str) -> str:
     return f"'system: ' || {system} || chr(10) || 'user: ' || {user}"
 
@@ -530,6 +582,38 @@ def prompt_variants(spark, sf_dir):
     return prompts.variants(p).select("doc_id", "variant", _written(F.col("prompt")).alias("prompt"))
 
 
+@query(f"WITH {_HAIR} SELECT doc_id, {_chat_sql(_lit(prompts.ON_TEXT + '<text>') + " || text || '<text>'", _lit(prompts.HAIR_QUESTIONS[0]))} AS prompt FROM h")
+def prompt_hair_dialogs(spark, sf_dir):
+    d = prompts.hair_dialogs(preparation.hair_colors(spark, 1000, seed=9, specific=100, draw=_arithmetic))
+    return d.select("doc_id", _written(F.col("prompt")).alias("prompt"))
+
+
+@query(" UNION ALL ".join(f"SELECT {i}::INT AS dialog, {_chat_sql(_lit(prompts.ON_TEXT + ' ' * 12 + '<text>' + t + '<text>'), _lit(prompts.MEDICAL_QUESTION))} AS prompt" for i, t in enumerate(prompts.MEDICAL_TEXTS)))
+def prompt_medical_dialogs(spark, sf_dir):
+    return prompts.medical_dialogs(spark).select("dialog", _written(F.col("prompt")).alias("prompt"))
+
+
+@query(" UNION ALL ".join(f"SELECT item_id, r_regionkey, {i}::INT AS variant, {_chat_sql(_filled_sql(s).replace('d.text', 'b.text').replace(_lit('What is it?'), 'r_name'), _filled_sql(u).replace('d.text', 'b.text').replace(_lit('What is it?'), 'r_name'))} AS prompt FROM benchmark b, region" for i, (s, u) in enumerate(prompts.VARIANTS)))
+def prompt_crossed(spark, sf_dir):
+    contexts = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("context"))
+    asked = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("question"))
+    return prompts.crossed(contexts, asked).select("item_id", "r_regionkey", "variant", _written(F.col("prompt")).alias("prompt"))
+
+
+_SYMPTOMS = "n_name || ' pain, ' || r_name || ' ache'"
+
+
+@query(f"""SELECT s_suppkey, {_chat_sql(_lit(prompts.REFORMULATE), f"'I am ' || s_name || ', I experience ' || {_SYMPTOMS}")} AS request,
+{_chat_sql(_lit(prompts.REFORMULATE), f"'Given the symptoms (' || {_SYMPTOMS} || ') of ' || s_name || '. The diagnosis is ' || n_name || ', the treatment should be ' || r_name || '.'")} AS response
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def prompt_generation(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    symptoms = F.array(F.concat("n_name", F.lit(" pain")), F.concat("r_name", F.lit(" ache")))
+    request = prompts.patient_request(F.col("s_name"), symptoms)
+    response = prompts.doctor_response(F.col("s_name"), symptoms, F.col("n_name"), F.col("r_name"))
+    return rows.select("s_suppkey", _written(request).alias("request"), _written(response).alias("response"))
+
+
 @query("SELECT conv_id, 'I am experiencing the following symptoms: ' || string_agg(role || turn, ', ' ORDER BY turn, role) || '. What is my disease?' AS question FROM conversations GROUP BY conv_id")
 def symptom_question(spark, sf_dir):
     s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("s"))

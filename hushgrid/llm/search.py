@@ -2,8 +2,10 @@
 
 Candidates are dealt into blocks and a cover tree is built over each; queries are dealt into smaller blocks, each with a
 tree of its own. A block of queries meets each block of candidates, and both trees are descended together: a pair of
-nodes is dropped if no point within the covering radii can reach the worst kth score of the node's queries. At the
-leaves the products are one matrix product. What the blocks find, k of each query at most, is merged by rank.
+nodes is dropped if no point within the covering radii can reach the worst kth score of the node's queries. A node's
+children are bounded together, and leaves are multiplied best bound first, for as long as one may still count. A task
+carries a block of queries, with its tree and its kth scores, over all blocks of candidates that it gets. What the tasks
+find, k of each query at most, is merged by rank.
 
 Components are integers, so products are exact in doubles, and ties are by id. Of equal vectors only the least k + 1 ids
 are candidates: more of them can't be among the best k.
@@ -19,49 +21,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import frugal, partitions
 
 CANDIDATES, QUERIES = 1024, 256  # vectors of a block
-LEAF = 64
+LEAF = 8  # candidates of a leaf, unless they are equal; a query is a leaf by itself
+TOGETHER = 32  # leaves that are multiplied at a time
+CARRIED = 200  # blocks of queries that a task keeps
 
 
 @dataclass
 class Node:
-    """center and covering radius of the points in rows, which are in children, or all in the node itself."""
+    """center and covering radius of the points in rows, which are in children, or all in the node itself; of the children
+    also their centers, radii and norms as arrays."""
 
     rows: np.ndarray
     center: np.ndarray
     radius: float
     norm: float
     children: list["Node"] = field(default_factory=list)
+    centers: np.ndarray | None = None
+    radii: np.ndarray | None = None
+    norms: np.ndarray | None = None
 
 
-def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, scale: float | None = None) -> Node:
+def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, scale: float | None = None, leaf: int = LEAF) -> Node:
     """A cover tree: the children's centers are further apart than their scale, half of their parent's, and each point
-    is within the scale of its center. Nodes of few points, or whose points are all far apart, are leaves."""
+    is within the scale of its center. Nodes of few, or of equal, points are leaves."""
     rows = np.arange(len(points)) if rows is None else rows
     own = points[rows]
     center = own[0]
     away = np.sqrt(((own - center) ** 2).sum(axis=1))
     radius = float(away.max())
     node = Node(rows, center, radius, float(np.sqrt(center @ center)))
-    if len(rows) <= LEAF or radius == 0:
+    if len(rows) <= leaf or radius == 0:
         return node
     scale = radius / 2 if scale is None else min(scale, radius) / 2
     left = np.arange(len(rows))
-    groups = []
     while len(left):
         near = np.sqrt(((own[left] - own[left[0]]) ** 2).sum(axis=1)) <= scale
-        groups.append(left[near])
+        node.children.append(cover_tree(points, rows[left[near]], scale, leaf))
         left = left[~near]
-        if len(groups) > LEAF and len(groups) > 0.5 * (len(rows) - len(left)):
-            return node  # hardly any two points are close: the products are cheaper than a descent
-    if len(groups) == 1:
-        return node
-    alone = [g for g in groups if len(g) == 1]
-    node.children = [cover_tree(points, rows[g], scale) for g in groups if len(g) > 1]
-    if alone:
-        node.children += [cover_tree(points, rows[np.concatenate(alone[at : at + LEAF])], scale) for at in range(0, len(alone), LEAF)]
+    node.centers = np.array([c.center for c in node.children])
+    node.radii, node.norms = np.array([c.radius for c in node.children]), np.array([c.norm for c in node.children])
     return node
 
 
@@ -85,22 +86,42 @@ class TopK:
         self.scores[rows], self.ids[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(names, best, axis=1)
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, q: Node, points: np.ndarray, ids: np.ndarray, c: Node, best: TopK) -> None:
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, q: Node, points: np.ndarray, ids: np.ndarray, c: Node, best: TopK) -> tuple[int, int]:
+    """Improves best by the points; tells how many pairs of a query and a point were multiplied, and how many dropped."""
+    multiplied = dropped = 0
+
+    def multiply(q: Node, rows: np.ndarray) -> None:
+        nonlocal multiplied
+        scores = queries[q.rows] @ points[rows].T
+        scores[query_ids[q.rows][:, None] == ids[rows][None, :]] = -np.inf
+        best.add(q.rows, scores, ids[rows])
+        multiplied += scores.size
+
     stack = [(bound(q, c), q, c)]
     while stack:
         most, q, c = stack.pop()
         if most < best.scores[q.rows, -1].min():
-            continue
-        if not q.children and not c.children:
-            scores = queries[q.rows] @ points[c.rows].T
-            scores[query_ids[q.rows][:, None] == ids[c.rows][None, :]] = -np.inf
-            best.add(q.rows, scores, ids[c.rows])
-            continue
-        if c.children and (not q.children or c.radius >= q.radius):
-            pairs = [(bound(q, x), q, x) for x in c.children]
+            dropped += len(q.rows) * len(c.rows)
+        elif q.children and (not c.children or 2 * q.radius >= c.radius):
+            stack += sorted(((bound(x, c), x, c) for x in q.children), key=lambda x: x[0])  # the most promising is taken next
+        elif not c.children:
+            multiply(q, c.rows)
         else:
-            pairs = [(bound(x, c), x, c) for x in q.children]
-        stack += sorted(pairs, key=lambda x: x[0])  # the most promising is taken next
+            bounds = c.centers @ q.center + q.radius * c.norms + c.radii * (q.norm + q.radius) + 1e-6
+            order = np.argsort(-bounds, kind="stable").tolist()
+            leaves, inner = [i for i in order if not c.children[i].children], [i for i in order if c.children[i].children]
+            at = 0
+            while at < len(leaves):
+                worst = best.scores[q.rows, -1].min()
+                some = [i for i in leaves[at : at + TOGETHER] if bounds[i] >= worst]
+                if not some:
+                    break
+                multiply(q, np.concatenate([c.children[i].rows for i in some]))
+                dropped += len(q.rows) * sum(len(c.children[i].rows) for i in leaves[at : at + TOGETHER] if bounds[i] < worst)
+                at += TOGETHER
+            dropped += len(q.rows) * sum(len(c.children[i].rows) for i in leaves[at:])
+            stack += [(float(bounds[i]), q, c.children[i]) for i in reversed(inner)]
+    return multiplied, dropped
 
 
 def quantized(vector: Column, factor: int) -> Column:
@@ -165,18 +186,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, of = None, None
+        carried: dict[tuple, tuple] = {}
+
+        def told(of_queries: tuple) -> pa.RecordBatch:
+            query_ids, _, _, best = of_queries
+            row, column = np.nonzero(best.scores > -np.inf)
+            return pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(best.ids[row, column]), pa.array(best.scores[row, column].astype(np.int64))], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for block, size, qi, qv, ci, cv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, q_block, size, qi, qv, ci, cv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (block, size) != of:
                     ids, points = np.frombuffer(ci, np.int64), np.frombuffer(cv, np.float64).reshape(-1, size)
                     tree, of = cover_tree(points), (block, size)
-                query_ids, vectors_ = np.frombuffer(qi, np.int64), np.frombuffer(qv, np.float64).reshape(-1, size)
-                best = TopK(len(query_ids), k)
-                dual_search(vectors_, query_ids, cover_tree(vectors_), points, ids, tree, best)
-                row, column = np.nonzero(best.scores > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(best.ids[row, column]), pa.array(best.scores[row, column].astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    met = asked.join(there, ["c_block", "size"]).select("c_block", "size", "q_ids", "q_vectors", "c_ids", "c_vectors")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+                if (q_block, size) not in carried:
+                    if len(carried) >= CARRIED:
+                        yield told(carried.pop(next(iter(carried))))
+                    query_ids, vectors_ = np.frombuffer(qi, np.int64), np.frombuffer(qv, np.float64).reshape(-1, size)
+                    carried[q_block, size] = (query_ids, vectors_, cover_tree(vectors_, leaf=1), TopK(len(query_ids), k))
+                query_ids, vectors_, root, best = carried[q_block, size]
+                dual_search(vectors_, query_ids, root, points, ids, tree, best)
+        for own in carried.values():
+            yield told(own)
+
+    met = asked.join(there, ["c_block", "size"]).select("c_block", "q_block", "size", "q_ids", "q_vectors", "c_ids", "c_vectors")
+    found = met.mapInArrow(frugal(run), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

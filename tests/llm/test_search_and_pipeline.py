@@ -51,6 +51,24 @@ def test_cover_tree_covers():
     assert len(np.concatenate(leaves)) == 450
 
 
+@pytest.mark.parametrize("given", [True, False])
+def test_pairs_are_pruned_and_counted(given):
+    if given:
+        rows = pq.read_table("/root/testdata/sf0.01/embeddings.parquet").to_pandas()
+        points = np.floor(np.stack(rows["embedding"].to_numpy()).astype(float) * 256)
+    else:
+        rng = np.random.default_rng(2)
+        points = np.concatenate([rng.integers(-5, 6, (200, 8)) + 300 * np.eye(8)[k] for k in range(4)])
+    ids = np.arange(len(points))
+    asked = ids[::50]
+    tree, best = search.cover_tree(points), search.TopK(len(asked), 5)
+    assert len(tree.children) > 1
+    multiplied, dropped = search.dual_search(points[asked], asked, search.cover_tree(points[asked], leaf=1), points, ids, tree, best)
+    assert multiplied + dropped == len(asked) * len(points) and dropped > 0.5 * len(asked) * len(points)
+    got = [(int(asked[r]), c + 1, int(best.ids[r, c]), int(best.scores[r, c])) for r in range(len(asked)) for c in range(5)]
+    assert sorted(got) == brute(ids.tolist(), points, 5, asked.tolist())
+
+
 def test_quantized_and_empty(spark):
     rows = spark.createDataFrame([(0, [0.5, -0.001]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (50, [1.0, 1.0]), (None, [1.0, 1.0]), (7, [])], "vec_id long, embedding array<float>")
     q = rows.select(F.col("vec_id").alias("id"), search.quantized(F.col("embedding"), 256).alias("vector"))

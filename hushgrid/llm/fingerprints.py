@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, texts
+from .common import frugal, partitions, texts
 from .shingles import WIDTH, shingle_hashes
 
 BINS = 256  # a power of two
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, width: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_of(maker.packed(t)) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return texts(docs).mapInArrow(frugal(run), "doc_id long, fingerprint string")
 
 
 def _bucket(value: Column, bounds: list[int], low: int = 0) -> Column:
@@ -146,4 +146,4 @@ def edited_pairs(docs: DataFrame, bins: int = BINS, bits: int = BITS, width: int
                 kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return with_successor(docs, run, FINGERPRINTS)
+    return with_successor(docs, frugal(run), FINGERPRINTS)

@@ -19,7 +19,7 @@ DECAY = 0.0005
 MOST_LABELLED = 500  # rows of the labelled table; more are an error, none are left out
 # The rules' hosts and paths, and what they say.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-# Words of hosts that a filter for training data blocks, and of hosts that it allows; then common groups of letters, of which more such hosts are made.
+# Labels made by hand: words of hosts that a filter for training data blocks, and of hosts that it allows; then common groups of letters, of which more such hosts are made.
 BLOCKED_WORDS = "casino bets poker pills pharmacy viagra adult xxx spam ads track clicks cheap free win loans replica torrent".split()
 BLOCKED_PAIRS = "farm hub x win track pills bets deals zone network".split()
 GIVEN_HOSTS = "casino-win free-bets ads-track spam-farm cheap-pills adult-x".split()  # of the given tables: none is a labelled row

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushgrid import queries
+from hushgrid.operators import measurement
 from hushgrid.operators.prefilter import strategies
 from hushgrid.operators.retrieval import RetrievalConfig
 from hushgrid.plans import prompts
@@ -94,3 +95,25 @@ def test_against_sql(spark, name):
     got = sorted(str(tuple(r[c] for c in columns)) for r in frame.collect())
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert got == sorted(str(tuple(r)) for r in want)
+
+
+def test_completions_and_generation(spark, tmp_path):
+    from hushgrid.plans import engine, prompts
+
+    g = engine.GenerationConfig(max_new_tokens=6)
+    asked = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "query_id long, text string")
+    said = {r.query_id: r.text for r in engine.text_completion(asked, g).collect()}
+    assert said.keys() == {1, 2, 3} and said[2].startswith("two")
+    rows = asked.select(F.col("query_id").alias("patient"), prompts.patient_request(F.col("text"), F.array(F.lit("a"), F.lit("b"))).alias("prompt"))
+    first = sorted(map(tuple, engine.generated_until_complete(rows.filter("patient < 3"), f"{tmp_path}/made", "patient", g, batch=1).collect()))
+    every = sorted(map(tuple, engine.generated_until_complete(rows, f"{tmp_path}/made", "patient", g, batch=1).collect()))
+    assert [p for p, _ in every] == [1, 2, 3] and first == every[:2]
+    with pytest.raises(ValueError):
+        measurement.decisions(rows, {})
+
+
+def test_plans_sort_and_scan_once(spark):
+    plan = queries.QUERIES["strategy_b_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_sort") == 2
+    drawn = queries.QUERIES["dp_topk_draw_u"](spark, "/root/testdata/sf0.001")
+    assert drawn._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= 2

@@ -147,6 +147,17 @@ def _looked_up(keys: np.ndarray, sorted_keys: np.ndarray, values: np.ndarray, mi
     return np.where(sorted_keys[at] == keys, values[at], missing)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, sorted, and where each is among them; only the different ones are sorted, so that it is
+    faster than np.unique where most values repeat."""
+    coded = pa.array(values).dictionary_encode()
+    kinds = coded.dictionary.to_numpy()
+    order = np.argsort(kinds)
+    rank = np.empty(len(kinds), np.int32)
+    rank[order] = np.arange(len(kinds), dtype=np.int32)
+    return kinds[order], rank[coded.indices.to_numpy()]
+
+
 def discounts(of_counts: list[int]) -> tuple[float, float, float]:
     """What is taken off a count of 1, of 2, and of 3 or more, from the numbers of tokens seen 1, 2, 3 and 4 times."""
     n = [max(1, x) for x in of_counts]
@@ -199,8 +210,7 @@ class Grams:
         self.counted, self.order, self.least = counted, order, least
         self.tokens = self.longest = _mixed(block.hashes)
         self.begins = block.text != _shifted(block.text, -1)
-        keys, places = np.unique(self.tokens, return_inverse=True)
-        self.levels = [Level(keys, places.astype(np.int32))]
+        self.levels = [Level(*_distinct(self.tokens))]
 
     def _grow(self) -> None:
         """Adds the next longer n-grams, but not those that can't occur often enough as a shorter one doesn't."""
@@ -234,7 +244,7 @@ class Grams:
             some[above.histories] = True
             self.wanted.append((number - 2, np.flatnonzero(some & (level.n >= self.least))))
         keys = np.concatenate([self.levels[k].keys if at is None else self.levels[k].keys[at] for k, at in self.wanted])
-        self.sorted = np.argsort(keys)
+        self.sorted = np.argsort(keys, kind="stable")  # each level's are sorted already
         return keys[self.sorted]
 
     def values(self) -> np.ndarray:
@@ -271,19 +281,12 @@ class Grams:
         seen = self.levels[0].n[self.levels[0].own]
         return [int(self.counted.sum()), len(seen), *[int((seen == k).sum()) for k in (1, 2, 3, 4)]]
 
-    def probabilities(self, root: np.ndarray) -> Iterator[np.ndarray]:
-        """Of each token after its histories of 1 token, 2 tokens and so on, from those without."""
-        p = root
-        for level, above in zip(self.levels, self.levels[1:], strict=False):
-            p = step(p, above.n[above.places], level.n[above.histories], level.sums[above.histories], self.least)
-            yield p
-
 
 class Machine:
     """The automaton of a block's n-grams. States are 0, the root, then each level's n-grams, up to those of order - 1 tokens.
 
-    The arcs of a level's n-grams leave the states of their histories; source, target and log-probability are by n-gram,
-    and arcs that a text may take at a token are found by the n-grams that end there.
+    The arcs of a level's n-grams leave the states of their histories; source (-1: not kept), target and log-probability are
+    by n-gram, and arcs that a text may take at a token are found by the n-grams that end there.
     """
 
     def __init__(self, grams: Grams, root: np.ndarray, unseen: np.ndarray):
@@ -293,23 +296,23 @@ class Machine:
         self.offsets = np.concatenate(([1], 1 + np.cumsum(sizes))).astype(np.int64)
         self.places = [x.places for x in levels]
         self.start = self.offsets[0] + int(np.searchsorted(levels[0].keys, _mixed(np.array([END])))[0]) if self.order > 1 else 0
-        self.root = np.empty(sizes[0])
-        self.root[levels[0].places] = root
-        self.root = np.log10(self.root)
+        p = np.ones(sizes[0])
+        p[levels[0].places] = root
+        self.root = np.log10(p)
         spelt = np.zeros(sizes[0])
         spelt[levels[0].places] = unseen
         self.root += spelt
         states = int(self.offsets[max(0, self.order - 1)])
         self.fail, self.weight = np.zeros(states, np.int64), np.zeros(states)
         self.arcs: list[tuple] = [()]
-        for k, (level, p) in enumerate(zip(levels[1:], grams.probabilities(root), strict=True), 1):
-            below, size = levels[k - 1], sizes[k]
-            source, shorter, log10 = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64), np.ones(size + 1)
-            source[level.places] = self.offsets[k - 1] + level.histories
-            shorter[level.places] = self.offsets[k - 1] + below.places
-            log10[level.places] = p
-            np.log10(log10, out=log10)
-            kept = level.n >= grams.least
+        for k in range(1, self.order):
+            level, below, size = levels[k], levels[k - 1], sizes[k]
+            history, shorter = np.zeros(size + 1, np.int32), np.zeros(size + 1, np.int32)  # of each n-gram, by place below
+            history[level.places], shorter[level.places] = level.histories, below.places
+            history[size] = shorter[size] = 0
+            p = step(p[shorter[:-1]], level.n[:-1], below.n[history[:-1]], below.sums[history[:-1]], grams.least)
+            log10 = np.append(np.log10(p), 0.0)
+            source, shorter = np.where(level.n >= grams.least, self.offsets[k - 1] + history, -1), self.offsets[k - 1] + shorter
             own = slice(int(self.offsets[k - 1]), int(self.offsets[k]))
             self.weight[own] = np.log10(np.maximum(1e-9, 1 - below.sums[:-1] / (10 * np.maximum(below.n[:-1], 1))))
             if k < self.order - 1:  # the n-gram is the history of longer ones, and falls back to the shorter one
@@ -317,7 +320,7 @@ class Machine:
                 self.fail[int(self.offsets[k]) : int(self.offsets[k + 1])] = shorter[:-1]
             else:
                 target = shorter
-            self.arcs.append((kept, source, target, log10))
+            self.arcs.append((source, target, log10))
 
     def read(self) -> np.ndarray:
         """log10 of the probability of each token, in one traversal of all texts."""
@@ -338,10 +341,10 @@ class Machine:
             place, now = at[:live] + step_, state[:live].copy()
             total, left, after = np.zeros(live), np.arange(live), np.zeros(live, np.int64)
             for k in range(self.order - 1, 0, -1):
-                kept, source, target, log10 = self.arcs[k]
+                source, target, log10 = self.arcs[k]
                 arc, own = self.places[k][place[left]], now[left]
                 here = own >= self.offsets[k - 1]  # no state of shorter histories has such arcs
-                fits = here & kept[arc] & (source[arc] == own)
+                fits = source[arc] == own
                 taken, missed = left[fits], left[here & ~fits]
                 total[taken] += log10[arc[fits]]
                 after[taken] = target[arc[fits]]
@@ -614,5 +617,6 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = OR
     known = answered(blocked().applyInArrow(first, QUESTION), n, "answer1")
     for number in range(2, order + 1):
         asking = blocked().cogroup(known.groupBy("block")).applyInArrow(further(number), QUESTION)
-        known = known.join(answered(asking, n, f"answer{number}"), "block")
+        # all blocks are answered; a left join adds no filter to known, which is so exchanged once for both its uses
+        known = known.join(answered(asking, n, f"answer{number}"), "block", "left")
     return blocked().cogroup(known.groupBy("block")).applyInArrow(scored, SCORES)

@@ -34,6 +34,20 @@ def words(text: Column) -> Column:
     return F.when(F.length(clean) == 0, F.array().cast("array<string>")).otherwise(F.split(clean, f"{SPACE}+"))
 
 
+def padded(tokens: Column, size: int, pad: str | int, left: bool = True) -> Column:
+    """(tokens, mask): the first size tokens, and pad up to that size on the left, as generation needs it, or on the right;
+    mask is 1 where a token is and 0 where pad is. Null tokens count as none."""
+
+    def filled(kept: Column) -> Column:
+        room = F.lit(size) - F.size(kept)
+        marks, blanks = F.transform(kept, lambda t: F.lit(1)), F.array_repeat(F.lit(0), room)
+        pads = F.array_repeat(F.lit(pad), room)
+        one, two = (F.concat(pads, kept), F.concat(blanks, marks)) if left else (F.concat(kept, pads), F.concat(marks, blanks))
+        return F.struct(one.alias("tokens"), two.alias("mask"))
+
+    return let(F.slice(F.coalesce(tokens, F.array()), 1, size), filled)
+
+
 def letters_only(text: Column) -> Column:
     return F.regexp_replace(text, NOT_LETTERS, "")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.accounting import clip_bound
@@ -101,6 +101,14 @@ def before_and_after(streams: DataFrame, c: AggregationConfig) -> DataFrame:
     return public.join(greedy_tokens(aggregated(streams, c)).withColumnRenamed("token", "after"), list(KEYS))
 
 
+def token_probabilities(logits: DataFrame, temperature: float) -> DataFrame:
+    """query_id, step, token, probability: what drawn_tokens() draws from, exp(logit / temperature) over its sum. Groups are
+    as large as the vocabulary; the greatest logit is taken off first, so that nothing overflows."""
+    group = Window.partitionBy(*KEYS)
+    weighted = logits.withColumn("_w", F.exp((F.col("logit") - F.max("logit").over(group)) / temperature))
+    return weighted.select(*KEYS, "token", (F.col("_w") / F.sum("_w").over(group)).alias("probability"))
+
+
 def drawn_tokens(logits: DataFrame, temperature: float, seed: int, u: Column | None = None) -> DataFrame:
     """query_id, step, token drawn by softmax at a temperature, by the Gumbel-max trick; seed, or numbers u between 0 and 1
     for each row, fix all draws."""

@@ -22,6 +22,13 @@ def first_n(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.orderBy(order).limit(n)
 
 
+def sorted_first(rows: DataFrame, order: str, n: int, by: str) -> DataFrame:
+    """place, by: the first n rows by order, cut before they are sorted by another column; place counts from 0. No more than
+    n rows are sorted in one task."""
+    first = first_n(rows.select(order, by), order, n)
+    return first.select((F.row_number().over(Window.orderBy(by, order)) - 1).alias("place"), by)
+
+
 def dense(rows: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
     """rows with their 0-based place by order (distinct values), counted in two levels: by range, and inside each."""
     spark = rows.sparkSession

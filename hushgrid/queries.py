@@ -228,6 +228,14 @@ def drawn_token(spark, sf_dir):
     return aggregation.drawn_tokens(aggregation.aggregated(streams(spark, sf_dir), AGGREGATION), 1.0, seed=3, u=u)
 
 
+@query(
+    f"""WITH {_STREAMS}, {_DP_TOKENS}, w AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY query_id, step)) / 0.5) AS w FROM g)
+SELECT query_id, step, token::INT AS token, round(w / sum(w) OVER (PARTITION BY query_id, step), 6) AS probability FROM w"""
+)
+def token_probabilities(spark, sf_dir):
+    return aggregation.token_probabilities(aggregation.aggregated(streams(spark, sf_dir), AGGREGATION), 0.5).withColumn("probability", r6("probability"))
+
+
 @query(f"WITH {_STREAMS}, {_DP_TOKENS}, a AS (SELECT query_id, step, token::INT AS after FROM (SELECT *, row_number() OVER (PARTITION BY query_id, step ORDER BY logit DESC, token) AS p FROM g) WHERE p = 1), b AS (SELECT query_id, step, (list_position(l, list_max(l)) - 1)::INT AS before FROM s WHERE k = 0) SELECT query_id, step, before, after FROM a JOIN b USING (query_id, step)")
 def argmax_before_and_after(spark, sf_dir):
     return aggregation.before_and_after(streams(spark, sf_dir), AGGREGATION)
@@ -241,6 +249,37 @@ def pld_delta_curve(spark, sf_dir):
     return met.select(r6("epsilon").alias("epsilon"), r6("delta").alias("delta"))
 
 
+def _binomial(name: str, epsilon: float, times: int) -> str:
+    """SQL for the losses of a pure mechanism composed with itself."""
+    logs = f"lgamma({times + 1}) - lgamma(j + 1) - lgamma({times + 1} - j)"
+    p = f"(1 / (1 + exp(-{epsilon}::DOUBLE)))"
+    return f"{name} AS (SELECT (2 * j - {times}) * {epsilon}::DOUBLE AS loss, exp({logs} + j * ln{p} + ({times} - j) * ln(1 - {p})) AS mass FROM (SELECT range AS j FROM range({times + 1})))"
+
+
+_COMPOSED = f"""{_binomial("a", 0.2, 1)}, {_binomial("b", 0.1, 40)},
+l AS (SELECT round(a.loss + b.loss, 6) AS loss, sum(a.mass * b.mass) AS mass FROM a, b GROUP BY 1)"""
+
+
+def _composed() -> accounting.PrivacyLoss:
+    return accounting.pure(0.2).compose(accounting.pure(0.1, 40))
+
+
+@query(f"WITH {_COMPOSED} SELECT loss, round(mass, 9) AS mass FROM l")
+def composed_losses(spark, sf_dir):
+    return accounting.as_table(spark, _composed()).select(r6("loss").alias("loss"), F.round("mass", 9).alias("mass"))
+
+
+@query(
+    f"""WITH {_COMPOSED}, s AS (SELECT lag(loss) OVER (ORDER BY loss) AS low, loss AS high, sum(mass) OVER w AS m, sum(mass * exp(-loss)) OVER w AS e
+FROM l WINDOW w AS (ORDER BY loss ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+d AS (SELECT unnest([0.1, 0.01, 0.001, 0.0001, 0.00001])::DOUBLE AS delta)
+SELECT delta, round(ln((m - delta) / e), 5) AS epsilon FROM s, d WHERE m > delta AND ln((m - delta) / e) >= low AND ln((m - delta) / e) < high"""
+)
+def epsilon_for_delta(spark, sf_dir):
+    loss = _composed()
+    return spark.createDataFrame([(d, round(loss.epsilon(d), 5)) for d in (0.1, 0.01, 0.001, 0.0001, 0.00001)], "delta double, epsilon double")
+
+
 @query("SELECT * FROM (VALUES (5.0::DOUBLE, 0.1277::DOUBLE, 0.06385::DOUBLE), (10.0, 0.2192, 0.1096), (20.0, 0.3644, 0.1822), (40.0, 0.5894, 0.2947)) t(epsilon, token_epsilon, clip)")
 def token_budgets(spark, sf_dir):
     rows = []
@@ -370,6 +409,15 @@ def aligned_turns(spark, sf_dir):
     return t.select("conv_id", "turn", "s.n", F.array_join("s.a", " ").alias("a"), F.array_join("s.b", " ").alias("b"))
 
 
+@query(
+    f"""WITH w AS (SELECT conv_id, turn, [x for x in string_split_regex(lower(text), '{_SPACE}+') if x <> ''][:8] AS w FROM conversations)
+SELECT conv_id, turn, trim(repeat('<pad> ', (8 - len(w))::BIGINT) || array_to_string(w, ' ')) AS tokens, repeat('0', (8 - len(w))::BIGINT) || repeat('1', len(w)::BIGINT) AS mask FROM w"""
+)
+def padded_tokens(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("p", text.padded(text.words(F.col("text")), 8, "<pad>"))
+    return c.select("conv_id", "turn", F.array_join("p.tokens", " ").alias("tokens"), F.array_join("p.mask", "").alias("mask"))
+
+
 @query()
 def rouge_l(spark, sf_dir):
     t = turns(spark, sf_dir)
@@ -453,6 +501,11 @@ def answer_success(spark, sf_dir):
 _STRIP = f"regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
 
 
+@query("SELECT (row_number() OVER (ORDER BY text, doc_id) - 1)::INT AS place, text FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 50)")
+def sorted_first(spark, sf_dir):
+    return preparation.sorted_first(table(spark, sf_dir, "documents"), "doc_id", 50, "text")
+
+
 @query(f"SELECT min(doc_id) AS place, {_STRIP} AS text FROM documents WHERE length({_STRIP}) > 0 GROUP BY {_STRIP}")
 def corpus_strip_dedupe(spark, sf_dir):
     return preparation.distinct_texts(table(spark, sf_dir, "documents"), "doc_id", "text")

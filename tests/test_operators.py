@@ -1,10 +1,12 @@
 import json
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hushgrid.functions import text
 from hushgrid.operators import aggregation, evaluation, measurement, preparation, retrieval
 from hushgrid.operators.retrieval import RetrievalConfig
 
@@ -130,3 +132,24 @@ def test_preparation(spark):
     total = preparation.dirichlet(weights, "item", 3).agg(F.sum("probability")).first()[0]
     assert total == pytest.approx(1)
     assert preparation.missing(patients, diseases, "disease").count() == 1
+
+
+def test_padding_cuts_first_and_pads_either_side(spark):
+    rows = spark.createDataFrame([(0, ["a", "b", "c", "d"]), (1, ["a"]), (2, []), (3, None)], "k int, t array<string>")
+    for left, one in ((True, ["-", "-", "a"]), (False, ["a", "-", "-"])):
+        got = [r.p for r in rows.select("k", text.padded(F.col("t"), 3, "-", left).alias("p")).orderBy("k").collect()]
+        assert [g.tokens for g in got] == [["a", "b", "c"], one, ["-"] * 3, ["-"] * 3]
+        assert [g.mask for g in got] == [[1, 1, 1], [int(x != "-") for x in one], [0] * 3, [0] * 3]
+
+
+def test_output_is_cut_before_it_is_sorted(spark):
+    rows = spark.createDataFrame([(3, "a"), (0, "z"), (2, "m"), (1, "z")], "k int, name string")
+    assert [tuple(r) for r in preparation.sorted_first(rows, "k", 3, "name").orderBy("place").collect()] == [(0, "m"), (1, "z"), (2, "z")]
+    assert preparation.sorted_first(rows.filter("k > 9"), "k", 3, "name").isEmpty()
+
+
+def test_token_probabilities_are_a_softmax(spark):
+    logits = [900.0, 899.0, -900.0]
+    rows = spark.createDataFrame([(1, 0, k, x) for k, x in enumerate(logits)], "query_id int, step int, token int, logit double")
+    got = [r.probability for r in aggregation.token_probabilities(rows, 0.5).orderBy("token").collect()]
+    assert got == pytest.approx([1 / (1 + math.exp(-2)), math.exp(-2) / (1 + math.exp(-2)), 0])

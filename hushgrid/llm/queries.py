@@ -82,6 +82,31 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .centroids import delta_lloyd, whole_numbers
+
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), whole_numbers(F.col("embedding"), 1024, 64).alias("vector"))
+    return delta_lloyd(rows, dims=64, k=8, rounds=10, seed=3)
+
+
+def op12_byte_pair_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .byte_pairs import encode
+
+    coded = encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetitions import periodic_runs, repeated_tail, run_digests
+
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), repeated_tail))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_suffix_dedup,
         op10_fingerprints,
+        op11_centroid_clustering,
+        op12_byte_pair_coding,
+        op13_periodic_runs,
     )
 }
 
@@ -122,7 +150,44 @@ g AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.row = d.row"""
 
 
+def _clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    d = "list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v, c)])::BIGINT"
+    parts = [
+        """v AS (SELECT row_number() OVER () AS r, vec_id, [floor(x::DOUBLE * 1024)::BIGINT for x in embedding] AS v FROM embeddings
+WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v AS c FROM v QUALIFY j < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, v, min({{'d': {d}, 'j': j}}) AS b FROM v, c{i} GROUP BY r, vec_id, v)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT b.j AS j, p, sum(x) AS s, count(*) AS n FROM (SELECT b, unnest(range(64)) AS p, unnest(v) AS x FROM a{i}) GROUP BY ALL)")
+            parts.append(f"m{i} AS (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS c FROM s{i} GROUP BY j)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.j AS j, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON m{i}.j = c{i}.j)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, b.j::INT AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.j))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON j = b.j"""
+
+
+def _runs_sql(least: int = 12, gram: int = 6) -> str:
+    crc = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ord(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))))"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {crc} AS h, [x for x in string_split_regex(coalesce(text, ''), '[ 	-]+') if x <> ''] AS w FROM documents),
+e AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM d), f AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e),
+t AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END)::BIGINT + 1] for i in range(n)] ELSE w END AS w FROM f),
+g AS MATERIALIZED (SELECT r, unnest(range(n - {gram} + 1)) AS i, unnest([hash(w[i + 1 : i + {gram}]) for i in range(n - {gram} + 1)]) AS s FROM t WHERE n >= {least}),
+x AS (SELECT a.r, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.r = b.r AND a.s = b.s AND a.i < b.i),
+y AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM x),
+z AS (SELECT r, q, min(i) AS start, max(i) + {gram} - min(i) + q AS length FROM y GROUP BY r, q, k),
+u AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM z WHERE length >= greatest({least}, 2 * q) GROUP BY r, start, length),
+o AS (SELECT r, count(*) AS n_runs, max({{'length': length, 'start': -start, 'period': -period}}) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS l FROM u GROUP BY r),
+c AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u), k AS (SELECT r, list(i) AS gone FROM c GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -b.start AS start, b.length AS length, -b.period AS period, (1000 * b.length) // -b.period AS exponent_milli, sha256(coalesce(l, '')) AS runs_sha256,
+sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce((SELECT string_agg(w[m.i + 1], ' ' ORDER BY m.i) FROM (SELECT unnest(range(t.n)) AS i) m WHERE NOT list_contains(gone, m.i)), '') END) AS collapsed_sha256
+FROM t LEFT JOIN o USING (r) LEFT JOIN k USING (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": _clustering_sql(),
+    "op13_periodic_runs": _runs_sql(),
     "op5_secret_scans": _secrets_sql(),
     "op1_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, [x for x in string_split_regex(lower(coalesce(text, '')), '[\x01-\x20]+') if x <> ''] AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM w),

@@ -1,31 +1,33 @@
 """Byte-level byte-pair encoding of a corpus in which each distinct word is encoded once, and decoding by the token table.
 
 Texts are cut into pre-tokens. A task numbers the different ones of a block of texts and writes, for each text, the numbers
-by position; so a word leaves a block once, however often it occurs there. The blocks' words are shuffled, each
-distinct word of the corpus is encoded once, the ids are joined to the blocks that asked, and each block puts
-its texts together again by position. Decoding joins the table of tokens and their bytes with the ids of the distinct
-words, and goes the same way back.
+by position; so a word leaves a block once, however often it occurs there. The words of all blocks are shuffled, each
+distinct word of the corpus is encoded once and its ids are joined to the blocks that have it, in one pass over sorted
+rows that holds one word at a time. Each block then puts its texts together by position. The blocks are a bucketed table, so
+that answers come to them and they stay where they are. Decoding joins each id with the table of tokens and their bytes.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import frugal, parts_of, released, shared_dir, texts
+from .common import frugal, partitions, parts_of, released, shared_dir, texts
 from .packing import pattern
 
-BLOCK = 8_000_000  # characters of a block's texts, but for one that is longer by itself
-TABLE = 1 << 20  # tokens that a vocabulary may have; its table is sent to all executors
+BLOCK = 32_000_000  # characters of a block's texts, but for one that is longer by itself
+ANSWERS = 1_000_000  # words whose ids are dealt to blocks together
+TABLE = 1 << 20  # tokens that a vocabulary may have; its table goes to all tasks that decode
 BLOCKS = "block long, doc_ids array<long>, counts array<int>, places binary, words array<binary>"
-ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
+ANSWERED = "of long, places binary, sizes binary, ids binary"
+ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -34,12 +36,14 @@ def vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
 
 
-def token_table(spark: SparkSession, path: str) -> DataFrame:
-    """id, bytes of the tokens of a vocabulary."""
-    ranks = vocabulary(path)
-    if len(ranks) > TABLE:
-        raise ValueError(f"a vocabulary of more than {TABLE} tokens is too large to be sent to all executors")
-    return spark.createDataFrame([(i, bytearray(t)) for t, i in ranks.items()], "id int, bytes binary")
+def planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, all first bytes, then all second ones and so on: small numbers take little room when this is
+    compressed."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _cut(split: str):
@@ -57,7 +61,12 @@ def _cut(split: str):
         def block() -> pa.RecordBatch:
             nonlocal ids, counts, places, size, known, made
             made += 1
-            rows = [[high + made], [ids], [counts], [b"".join(places)], [[w.encode() for w in known]]]
+            numbers = np.concatenate(places)
+            order = np.argsort(-np.bincount(numbers, minlength=len(known)), kind="stable")  # frequent words get small numbers
+            place = np.empty(len(known), np.uint32)
+            place[order] = np.arange(len(known))
+            words = list(known)
+            rows = [[high + made], [ids], [counts], [planes(place[numbers])], [[words[i].encode() for i in order.tolist()]]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
             ids, counts, places, size, known = [], [], [], 0, {}
             return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
@@ -70,7 +79,7 @@ def _cut(split: str):
                 found = find(text)
                 ids.append(doc)
                 counts.append(len(found))
-                places.append(np.array([known.setdefault(w, len(known)) for w in found], np.uint32).tobytes())
+                places.append(np.array([known.setdefault(w, len(known)) for w in found], np.uint32))
                 size += len(text)
         if ids:
             yield block()
@@ -78,83 +87,91 @@ def _cut(split: str):
     return frugal(run)
 
 
-SPELLED = "key binary, word binary, place int, id int"
+def gathered(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The parts of flat with the numbers in which, one after the other; parts end at ends."""
+    sizes = np.diff(ends, prepend=0)[which]
+    upto = np.cumsum(sizes)
+    if not len(upto) or not upto[-1]:
+        return flat[:0]
+    return flat[np.repeat(ends[which] - upto, sizes) + np.arange(upto[-1])]
 
 
-def _spell(path: str, split: str):
-    """For each word a row with its key, a hash, and the word, and a row with the key for each of its ids: a word may be long,
-    and is not repeated with them."""
+def _answers(path: str, split: str):
+    """From (block, place, word), sorted by word: for each block, as far as its words are among some that follow one another,
+    their numbers there, how many ids each has, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encode = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=vocabulary(path), special_tokens={})._encode_single_piece
-        for batch in parts_of(batches):
-            words = batch.column(0).to_pylist()
-            keys, spelled = [hashlib.sha256(w).digest() for w in words], [encode(w) for w in words]
+        waiting: list[pa.RecordBatch] = []
+        spelled: list[list[int]] = []
+        which: list[int] = []
+        last = None
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            blocks, place = (np.concatenate([b.column(c).to_numpy() for b in waiting]) for c in (0, 1))
             sizes = np.array([len(x) for x in spelled])
-            own = np.repeat(np.arange(len(words)), sizes)
-            place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            names = [x.split()[0] for x in SPELLED.split(", ")]
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.int32())], names)
-            ids = pa.array([i for x in spelled for i in x], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(own)), pa.nulls(len(own), pa.binary()), pa.array(place, pa.int32()), ids], names)
+            flat, ends, own = np.array([i for x in spelled for i in x], np.uint32), np.cumsum(sizes), np.array(which)
+            order = np.argsort(blocks, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(blocks[order]) != 0)))
+            rows: list[tuple] = []
+            for part in np.split(order, starts[1:]):
+                words = own[part]
+                rows.append((blocks[part[0]], planes(place[part]), planes(sizes[words]), planes(gathered(flat, ends, words))))
+            for at in range(0, len(rows), 1000):
+                columns = zip(*rows[at : at + 1000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *[pa.binary()] * 3], strict=True)], [x.split()[0] for x in ANSWERED.split(", ")])
+
+        for batch in parts_of(batches, 10_000):
+            for word in batch.column(2).to_pylist():
+                if word != last:
+                    spelled.append(encode(word))
+                    last = word
+                which.append(len(spelled) - 1)
+            waiting.append(batch.select([0, 1]))
+            if len(which) >= ANSWERS:
+                yield from answers()
+                waiting, spelled, which = [], spelled[-1:], []
+        if which:
+            yield from answers()
 
     return frugal(run)
 
 
-def in_order(*columns: str) -> Column:
-    """An aggregate: structs of columns of the rows with a place from 0 on, by place."""
-    letters = F.decode(F.col("bytes"), "ISO-8859-1").alias("letters")
-    return F.array_sort(F.collect_list(F.when(F.col("place") >= 0, F.struct(F.col("place"), *columns, letters))))
-
-
-def as_bytes(rows: Column) -> Column:
-    """The bytes of in_order's structs, joined as texts of one letter a byte."""
-    return F.encode(F.array_join(F.transform(rows, lambda r: r["letters"]), ""), "ISO-8859-1")
-
-
-def known_words(spelled: DataFrame, table: DataFrame) -> DataFrame:
-    """word, ids, decoded: the ids of each word and their bytes, joined from the token table, which is small (see TABLE)."""
-    found = spelled.join(F.broadcast(table), "id", "left").groupBy("key").agg(F.max("word").alias("word"), in_order("id").alias("rows"))
-    return found.select("word", F.transform("rows", lambda r: r["id"]).alias("ids"), as_bytes(F.col("rows")).alias("decoded"))
-
-
-def gathered(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The parts of flat with the numbers in which, one after the other; parts end at ends."""
-    sizes = np.diff(ends, prepend=0)[which]
-    upto = np.cumsum(sizes)
-    if not len(upto) or not upto[-1]:
-        return flat[:0]
-    return flat[np.repeat(ends[which] - upto, sizes) + np.arange(upto[-1])]
-
-
 def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The texts of a block from its numbers by position and what these stand for."""
-    by_place = right.sort_by("place")
-    lists, data = by_place["ids"].combine_chunks(), by_place["decoded"].combine_chunks()
-    ids, id_ends = lists.flatten().to_numpy().astype("<u4"), np.cumsum(lists.value_lengths().to_numpy())
-    letters, letter_ends = np.frombuffer(b"".join(data.to_pylist()), np.uint8), np.cumsum([len(x) for x in data.to_pylist()], dtype=np.int64)
+    """The texts of a block from its numbers by position and the ids that these stand for."""
+    place, sizes, flat = (np.concatenate([from_planes(x) for x in right[c].to_pylist()] or [np.empty(0, np.uint32)]) for c in ("places", "sizes", "ids"))
+    order = np.argsort(place, kind="stable")
+    ids = gathered(flat, np.cumsum(sizes, dtype=np.int64), order)
+    ends = np.cumsum(sizes[order], dtype=np.int64)
     rows: list[tuple] = []
     for docs, counts, places in zip(left["doc_ids"].to_pylist(), left["counts"].to_pylist(), left["places"].to_pylist(), strict=True):
-        places, at = np.frombuffer(places, np.uint32), 0
+        numbers, at = from_planes(places), 0
         for doc, n in zip(docs, counts, strict=True):
-            own = places[at : at + n]
+            found = gathered(ids, ends, numbers[at : at + n])
             at += n
-            found = gathered(ids, id_ends, own)
-            rows.append((doc, len(found), found.tobytes(), gathered(letters, letter_ends, own).tobytes()))
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    out = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
-    del rows, columns, ids, letters, by_place
+            rows.append((doc, len(found), found.astype("<u4").tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+    out = pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.binary()], strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
+    del rows, columns, ids, flat, order
     released()
     return out
 
 
+def _bucketed(rows: DataFrame, folder: str, key: str, schema: str) -> DataFrame:
+    """rows, written as a table in buckets of a key, without an exchange, and read again: joins by the key leave it in place."""
+    spark, name = rows.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    empty = spark.createDataFrame([], schema)
+    rows.to(empty.schema).write.option("path", folder).option("compression", "zstd").bucketBy(partitions(spark), key).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: its folder is its own
+    return table
+
+
 def encode(docs: DataFrame, path: str, split: str | None = None) -> DataFrame:
-    """A row for each document: its number of tokens, their ids as little-endian unsigned 32-bit integers, and the bytes that
-    these ids decode to. path names a file of ranks, split the pattern of pre-tokens.
+    """A row for each document: its number of tokens and their ids as little-endian unsigned 32-bit integers. path names a
+    file of ranks, which all executors can read, split the pattern of pre-tokens.
 
     Null texts are empty and have no tokens; an empty table gives no rows; null and repeated doc_ids stay, each row is
     encoded by itself; other columns are left out. A text that is longer than a block is a block by itself. The
@@ -162,24 +179,45 @@ def encode(docs: DataFrame, path: str, split: str | None = None) -> DataFrame:
     """
     spark, split = docs.sparkSession, split or pattern()
     folder = f"{shared_dir(spark)}/byte-pairs-{uuid.uuid4().hex}"
-    texts(docs).mapInArrow(_cut(split), BLOCKS).write.option("compression", "zstd").parquet(folder)
-    blocks = spark.read.schema(BLOCKS).parquet(folder)
-    asked = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    spelled = asked.select("word").distinct().mapInArrow(_spell(path, split), SPELLED)
-    known = known_words(spelled, token_table(spark, path))
-    answered = asked.join(known, "word").select(F.col("block").alias("of"), "place", "ids", "decoded")
+    blocks = _bucketed(texts(docs).mapInArrow(_cut(split), BLOCKS), folder, "block", BLOCKS)
+    asked = blocks.select("block", F.posexplode("words").alias("place", "word")).repartition(partitions(spark), "word").sortWithinPartitions("word")
+    answered = asked.mapInArrow(_answers(path, split), ANSWERED)
     whole = blocks.select("block", "doc_ids", "counts", "places").groupBy("block")
     return whole.cogroup(answered.groupBy("of")).applyInArrow(_put_together, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, decoded: the bytes of each row's ids (array<int>), joined from the token table; an id that it lacks is an error.
-
-    An empty or null array gives no bytes; null and repeated doc_ids stay, each row is decoded by itself."""
-    table = token_table(encoded.sparkSession, path)
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids")
-    each = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("place", "id")).join(F.broadcast(table), "id", "left")
-    unknown = F.col("id").isNotNull() & F.col("bytes").isNull()
-    checked = each.withColumn("bytes", F.when(unknown, F.raise_error(F.lit("an id is not in the vocabulary")).cast("binary")).otherwise(F.col("bytes")))
-    found = checked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), in_order().alias("rows"))
-    return found.select("doc_id", as_bytes(F.col("rows")).alias("decoded"))
+    """encoded, which has ids as encode gives them, with ``decoded``: the bytes of these. Each id is joined with the table of
+    tokens on the side of the ids; the table has a limit (see TABLE) and is read by each task.
+
+    Null ids decode to null; an id that the table lacks is an error; all other columns and rows stay as they are, but a
+    column named decoded, which is replaced.
+    """
+    kept = encoded.drop("decoded")
+    names = [f"c{i}" for i in range(len(kept.columns))]  # others may have names that need quotes
+    out = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kept.schema.fields, strict=True)] + [T.StructField("decoded", T.BinaryType())])
+    at = kept.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = vocabulary(path)
+        if max(ranks.values()) >= TABLE:
+            raise ValueError(f"a vocabulary of more than {TABLE} tokens is too large for a table that all tasks hold")
+        sizes = np.full(max(ranks.values()) + 1, -1, np.int64)
+        for token, i in ranks.items():
+            sizes[i] = len(token)
+        letters = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+        ends = np.cumsum(np.maximum(sizes, 0))
+
+        def found(data: bytes | None) -> bytes | None:
+            if data is None:
+                return None
+            ids = np.frombuffer(data, "<u4")
+            if len(ids) and (ids.max() >= len(sizes) or sizes[ids].min() < 0):
+                raise ValueError("an id is not in the vocabulary")
+            return gathered(letters, ends, ids).tobytes()
+
+        for batch in parts_of(batches):
+            decoded = pa.array([found(x) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*names, "decoded"])
+
+    return kept.toDF(*names).mapInArrow(frugal(run), out).toDF(*kept.columns, "decoded")

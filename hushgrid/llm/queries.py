@@ -95,9 +95,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_pair_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from .byte_pairs import encode
+    from .byte_pairs import decode, encode
 
-    coded = encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    coded = decode(encode(table(spark, sf_dir, "documents"), path), path)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -170,7 +171,8 @@ FROM a{rounds} JOIN c{rounds} ON j = b.j"""
 
 def _runs_sql(least: int = 12, gram: int = 6) -> str:
     crc = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ord(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))))"
-    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {crc} AS h, [x for x in string_split_regex(coalesce(text, ''), '[ 	-]+') if x <> ''] AS w FROM documents),
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {crc} AS h, [x for x in string_split_regex(coalesce(text, ''), '[ 	-
+]+') if x <> ''] AS w FROM documents),
 e AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM d), f AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e),
 t AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END)::BIGINT + 1] for i in range(n)] ELSE w END AS w FROM f),
 g AS MATERIALIZED (SELECT r, unnest(range(n - {gram} + 1)) AS i, unnest([hash(w[i + 1 : i + {gram}]) for i in range(n - {gram} + 1)]) AS s FROM t WHERE n >= {least}),

@@ -28,13 +28,14 @@ def plain_encoding():
 
 def test_encoding_equals_the_library(spark, monkeypatch):
     monkeypatch.setattr(byte_pairs, "BLOCK", 4000)
+    monkeypatch.setattr(byte_pairs, "ANSWERS", 50)
     rng = random.Random(5)
     letters = "abcdefghij  \n\t'’123äßñ漢字🙂́​\x00\x1c\x85"
     rows = [(i, "".join(rng.choices(letters, k=rng.randrange(0, 300)))) for i in range(60)]
     rows += [(100, ""), (101, None), (None, "no id"), (None, None), (5, rows[5][1]), (5, rows[5][1]), (102, "x" * 20_000 + " y" * 3000), (103, "<|endoftext|> it's I'LL    ")]
     rows += [(104, "".join(rng.choices("abcdefgh", k=60_000)))]  # one word with very many tokens
     own = plain_encoding()
-    got = byte_pairs.encode(documents(spark, rows).repartition(3), PATH).collect()
+    got = byte_pairs.decode(byte_pairs.encode(documents(spark, rows).repartition(3), PATH), PATH).collect()
     want = [(d, array.array("I", own.encode_ordinary(t or "")).tobytes(), (t or "").encode()) for d, t in rows]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got), key=key) == sorted(want, key=key)
@@ -45,18 +46,28 @@ def test_encoding_equals_the_library(spark, monkeypatch):
 def test_each_distinct_word_is_sent_once_for_a_block(spark):
     batches = documents(spark, [(1, "the cat the cat the"), (2, "the the")]).select("doc_id", "text").coalesce(1).mapInArrow(byte_pairs._cut(public_tokenizers.PATTERN), byte_pairs.BLOCKS)
     (block,) = batches.collect()
-    assert [bytes(w) for w in block.words] == [b"the", b" cat", b" the"] and block.counts == [5, 2]
-    assert np.frombuffer(block.places, np.uint32).tolist() == [0, 1, 2, 1, 2, 0, 2]
+    assert [bytes(w) for w in block.words] == [b" the", b"the", b" cat"] and block.counts == [5, 2]
+    assert byte_pairs.from_planes(block.places).tolist() == [1, 2, 0, 2, 0, 1, 0]
+
+
+def test_blocks_stay_and_words_are_encoded_once(spark, capsys):
+    rows = [(i, f"word{i % 3} and word{i % 5}") for i in range(50)]
+    coded = byte_pairs.encode(documents(spark, rows).repartition(4), PATH)
+    coded.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 2 and "Bucketed: true" in plan  # words to their task, answers to their block
 
 
 def test_decoding_joins_the_table(spark):
     own, texts = plain_encoding(), ["It's 3 o'clock.", "", "漢字 🙂", "a" * 3000]
-    rows = [(i, own.encode_ordinary(t)) for i, t in enumerate(texts)] + [(9, None), (None, [0, 0])]
-    coded = spark.createDataFrame(rows, "doc_id long, ids array<int>")
-    got = {r.doc_id: bytes(r.decoded) for r in byte_pairs.decode(coded, PATH).collect()}
-    assert got == {**{i: t.encode() for i, t in enumerate(texts)}, 9: b"", None: own.decode_bytes([0, 0])}
+    rows = [(i, array.array("I", own.encode_ordinary(t)).tobytes(), 7, "x") for i, t in enumerate(texts)] + [(9, None, 7, "x"), (None, bytes(8), 7, "x")]
+    coded = spark.createDataFrame(rows, "doc_id long, ids binary, `a.b` int, decoded string")
+    found = byte_pairs.decode(coded, PATH)
+    got = {r.doc_id: None if r.decoded is None else bytes(r.decoded) for r in found.collect()}
+    assert found.columns == ["doc_id", "ids", "a.b", "decoded"]
+    assert got == {**{i: t.encode() for i, t in enumerate(texts)}, 9: None, None: own.decode_bytes([0, 0])}
     with pytest.raises(Exception, match="vocabulary"):
-        byte_pairs.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), PATH).collect()
+        byte_pairs.decode(spark.createDataFrame([(1, array.array("I", [60_000]).tobytes())], "doc_id long, ids binary"), PATH).collect()
 
 
 # --- runs ------------------------------------------------------------------------------------------------------------

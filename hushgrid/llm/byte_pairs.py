@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import frugal, partitions, parts_of, released, shared_dir, texts
 from .packing import pattern
 
-BLOCK = 32_000_000  # characters of a block's texts, but for one that is longer by itself
+BLOCK = 24_000_000  # characters of a block's texts, but for one that is longer by itself
 ANSWERS = 1_000_000  # words whose ids are dealt to blocks together
 TABLE = 1 << 20  # tokens that a vocabulary may have; its table goes to all tasks that decode
 BLOCKS = "block long, doc_ids array<long>, counts array<int>, places binary, words array<binary>"
@@ -142,19 +142,20 @@ def _answers(path: str, split: str):
 def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
     """The texts of a block from its numbers by position and the ids that these stand for."""
     place, sizes, flat = (np.concatenate([from_planes(x) for x in right[c].to_pylist()] or [np.empty(0, np.uint32)]) for c in ("places", "sizes", "ids"))
-    order = np.argsort(place, kind="stable")
-    ids = gathered(flat, np.cumsum(sizes, dtype=np.int64), order)
-    ends = np.cumsum(sizes[order], dtype=np.int64)
+    ids, ends = flat.tobytes(), (np.cumsum(sizes, dtype=np.int64) * 4).tolist()
+    spelled = [b""] * len(place)
+    for k, start, end in zip(place.tolist(), [0, *ends], ends, strict=False):
+        spelled[k] = ids[start:end]
     rows: list[tuple] = []
     for docs, counts, places in zip(left["doc_ids"].to_pylist(), left["counts"].to_pylist(), left["places"].to_pylist(), strict=True):
         numbers, at = from_planes(places), 0
         for doc, n in zip(docs, counts, strict=True):
-            found = gathered(ids, ends, numbers[at : at + n])
+            found = b"".join(map(spelled.__getitem__, numbers[at : at + n].tolist()))
             at += n
-            rows.append((doc, len(found), found.astype("<u4").tobytes()))
+            rows.append((doc, len(found) // 4, found))
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
     out = pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.binary()], strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
-    del rows, columns, ids, flat, order
+    del rows, columns, ids, flat, spelled
     released()
     return out
 
@@ -200,21 +201,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = vocabulary(path)
-        if max(ranks.values()) >= TABLE:
+        if len(ranks) > TABLE:
             raise ValueError(f"a vocabulary of more than {TABLE} tokens is too large for a table that all tasks hold")
-        sizes = np.full(max(ranks.values()) + 1, -1, np.int64)
-        for token, i in ranks.items():
-            sizes[i] = len(token)
-        letters = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
-        ends = np.cumsum(np.maximum(sizes, 0))
+        token = {i: t for t, i in ranks.items()}
 
         def found(data: bytes | None) -> bytes | None:
-            if data is None:
-                return None
-            ids = np.frombuffer(data, "<u4")
-            if len(ids) and (ids.max() >= len(sizes) or sizes[ids].min() < 0):
-                raise ValueError("an id is not in the vocabulary")
-            return gathered(letters, ends, ids).tobytes()
+            try:
+                return None if data is None else b"".join(map(token.__getitem__, np.frombuffer(data, "<u4").tolist()))
+            except KeyError as e:
+                raise ValueError(f"id {e} is not in the vocabulary") from None
 
         for batch in parts_of(batches):
             decoded = pa.array([found(x) for x in batch.column(at).to_pylist()], pa.binary())

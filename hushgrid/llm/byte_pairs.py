@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,7 +119,7 @@ def _answers(path: str, split: str):
             rows: list[tuple] = []
             for part in np.split(order, starts[1:]):
                 words = own[part]
-                rows.append((blocks[part[0]], planes(place[part]), planes(sizes[words]), planes(gathered(flat, ends, words))))
+                rows.append((blocks[part[0]], *(zlib.compress(planes(x), 1) for x in (place[part], sizes[words], gathered(flat, ends, words)))))
             for at in range(0, len(rows), 1000):
                 columns = zip(*rows[at : at + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *[pa.binary()] * 3], strict=True)], [x.split()[0] for x in ANSWERED.split(", ")])
@@ -141,7 +142,7 @@ def _answers(path: str, split: str):
 
 def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
     """The texts of a block from its numbers by position and the ids that these stand for."""
-    place, sizes, flat = (np.concatenate([from_planes(x) for x in right[c].to_pylist()] or [np.empty(0, np.uint32)]) for c in ("places", "sizes", "ids"))
+    place, sizes, flat = (np.concatenate([from_planes(zlib.decompress(x)) for x in right[c].to_pylist()] or [np.empty(0, np.uint32)]) for c in ("places", "sizes", "ids"))
     ids, ends = flat.tobytes(), (np.cumsum(sizes, dtype=np.int64) * 4).tolist()
     spelled = [b""] * len(place)
     for k, start, end in zip(place.tolist(), [0, *ends], ends, strict=False):

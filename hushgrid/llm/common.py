@@ -47,9 +47,28 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+OWN = ("doc_id", "text", "n_chars")
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """docs whose columns other than doc_id, text and n_chars are named by their place: names that need quotes, or differ
+    from one of these by case alone, can't be mistaken."""
+    return docs.toDF(*[name if name in OWN else f"_c{i}" for i, name in enumerate(docs.columns)])
+
+
+def any_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that keeps the columns of docs, its first argument, run on plain names."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        return stage(plain(docs), *args, **kwargs).toDF(*docs.columns)
+
+    return run
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text with null as empty, and nothing else that could clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    return plain(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def crc_remainder(column: Column | str, modulus: int) -> Column:

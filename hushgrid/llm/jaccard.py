@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, frugal, partitions, parts_of, settled, texts
+from .common import any_names, dealt_join, frugal, partitions, parts_of, settled, texts
 from .components import components, least_connected
 from .meeting import ROUTED, repeated, routed
 from .shingles import WIDTH, mixed, shingle_hashes
@@ -307,6 +307,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     return dealt_join(rows.select("doc_id", "print", *own), told, own, F.monotonically_increasing_id()).select("doc_id", "print", "class_id", "n_links")
 
 
+@any_names
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """docs, with all its columns, with one row of each group: that of the least doc_id (null last), then of the least
     text hash; of rows alike in doc_id and text one. Null and empty texts, repeated rows and null doc_ids are as in

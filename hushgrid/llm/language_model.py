@@ -238,12 +238,12 @@ class Grams:
                 if size > 1:
                     self._grow()
                 self.wanted.append((size - 1, None))
-        if number > 1:
+        if 1 < number <= self.order:
             level, above = self.levels[number - 2], self.levels[number - 1]
             some = np.zeros(len(level.keys) + 1, bool)
             some[above.histories] = True
             self.wanted.append((number - 2, np.flatnonzero(some & (level.n >= self.least))))
-        keys = np.concatenate([self.levels[k].keys if at is None else self.levels[k].keys[at] for k, at in self.wanted])
+        keys = np.concatenate([np.empty(0, np.uint64), *(self.levels[k].keys if at is None else self.levels[k].keys[at] for k, at in self.wanted)])
         self.sorted = np.argsort(keys, kind="stable")  # each level's are sorted already
         return keys[self.sorted]
 
@@ -261,7 +261,7 @@ class Grams:
                 some = np.flatnonzero((above.n >= self.least) & above.own)
                 np.add.at(sums, history[some], 10 * above.n[some] - DISCOUNT)
                 out.append(sums[at])
-        return np.concatenate(out)[self.sorted]
+        return np.concatenate([np.empty(0, np.int64), *out])[self.sorted]
 
     def answer(self, totals: np.ndarray, own: np.ndarray) -> None:
         said, mine, start = np.empty_like(totals), np.empty_like(own), 0
@@ -555,7 +555,7 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = OR
     table gives no rows; other columns are left out. Tokens and n-grams are told apart by 64-bit hashes. n-grams of two
     and more tokens are kept if they occur least times; with 1, all are.
     """
-    n = partitions(docs.sparkSession)
+    n, rounds = partitions(docs.sparkSession), max(order, 2)  # what is known of the whole comes with the second answer
     rows = texts(docs, (crc_remainder("doc_id", modulus) == held_out).alias("held_out"))
     spelled = learned_spelling(rows.filter("not held_out"))
     rows = rows.withColumn("block", block_of(F.xxhash64("doc_id", "text"), n))
@@ -594,7 +594,7 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = OR
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held, found = opened(left)
-        block, grams, (tokens, kinds, *of_counts) = asked(held, found, right, order, spelled)
+        block, grams, (tokens, kinds, *of_counts) = asked(held, found, right, rounds, spelled)
         none = np.empty(0, np.int64)
         model, c = Automaton(tokens, kinds, of_counts, none, none, none, order), grams.levels[0].n[grams.levels[0].places]
         log10 = Machine(grams, model.root(c), np.where(c > 0, 0.0, block.spelt)).read()
@@ -615,7 +615,7 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = OR
         return dealt.groupBy("block")
 
     known = answered(blocked().applyInArrow(first, QUESTION), n, "answer1")
-    for number in range(2, order + 1):
+    for number in range(2, rounds + 1):
         asking = blocked().cogroup(known.groupBy("block")).applyInArrow(further(number), QUESTION)
         # all blocks are answered; a left join adds no filter to known, which is so exchanged once for both its uses
         known = known.join(answered(asking, n, f"answer{number}"), "block", "left")

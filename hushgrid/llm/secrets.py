@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import let
+from .common import any_names, plain
 
 SCOPE = 400  # code points within which parts belong together
 MARK = "[secret]"  # stands for what redact() takes out
@@ -127,7 +128,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     table gives no rows; other columns are left out.
     """
     spans = F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))))
-    grouped = parts(docs).groupBy("row").agg(F.first("doc_id").alias("doc_id"), spans.alias("found"))
+    grouped = parts(plain(docs)).groupBy("row").agg(F.first("doc_id").alias("doc_id"), spans.alias("found"))
     base = F.filter("found", lambda s: s["kind"] < KINDS.index("key_id"))
 
     def count(kind: int) -> Column:
@@ -137,6 +138,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     return grouped.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"))
 
 
+@any_names
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each reported span, or run of overlapping ones, replaced by MARK; n_chars follows if it is a column.
 

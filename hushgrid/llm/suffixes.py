@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import block_of, frugal, partitions, parts_of, released
+from .common import any_names, plain, block_of, frugal, partitions, parts_of, released
 from .meeting import ROUTED, repeated, routed
 from .shingles import prefix_sums, span_hashes
 
@@ -344,7 +344,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     other columns are left out. Of documents with equal texts all but the first lose all their bytes, if there are
     length or more.
     """
-    docs = docs.select("doc_id", "text")
+    docs = plain(docs).select("doc_id", "text")
     whole, ranges = _repeats(docs, length)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -361,6 +361,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@any_names
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with all columns and rows, and texts without the bytes that removed() counts. Parts of a character that a
     cut leaves behind go, too; n_chars follows if it is a column; null texts stay null, empty ones empty; repeated rows

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, frugal, texts
+from .common import any_names, crc_remainder, frugal, texts
 from .shingles import WORD, prefix_sums, runs, shingle_hashes, span_hashes
 
 SAMPLE = 1500  # labelled documents of either class that the model is fitted to, at most
@@ -330,6 +330,7 @@ def toxicity(docs: DataFrame, chain: Chain, modulus: int = 3, held_out: int = 1)
     return texts(docs, (crc_remainder("doc_id", modulus) == held_out).alias("held_out")).mapInArrow(frugal(run), SCORES)
 
 
+@any_names
 def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs, with all its columns, without the rows whose text the chain rejects."""
     names, place = docs.columns, docs.columns.index("text")

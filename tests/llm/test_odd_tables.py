@@ -6,9 +6,10 @@ import random
 import pytest
 
 from hushgrid.llm import fingerprints, jaccard, packing, secrets, suffixes, toxicity
+from hushgrid.llm.common import plain
 from hushgrid.llm.queries import tokenizer_path
 
-NAMES = "doc_id long, text string, _print long, print string, _null boolean, null int, _salt int, key string, block int, whole string, clean string, row long, part int, low string, n_chars long"
+NAMES = "doc_id long, text string, _print long, print string, _null boolean, null int, _salt int, key string, block int, whole string, clean string, row long, part int, low string, n_chars long, `a.b` string, `c``d` int, DOC_ID int, Text string, _c3 int"
 BAD = "vile grotty scummy".split()
 
 
@@ -25,14 +26,14 @@ def rows_of():
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = rows_of()
-    full = [(d, t, 7, "p", True, 1, 3, "k", 2, "w", "c", 9, 4, "L", len(t or "")) for d, t in rows]
+    full = [(d, t, 7, "p", True, 1, 3, "k", 2, "w", "c", 9, 4, "L", len(t or ""), "dot", 5, 6, "T", 8) for d, t in rows]
     docs = spark.createDataFrame(full, NAMES)
     labels = spark.createDataFrame([(d, int(any(b in t for b in BAD))) for d, t in rows if d is not None and t and d < 100], "doc_id long, toxic int")
     return rows, docs, toxicity.train(docs, labels)
 
 
 def others(rows):
-    return {tuple(r[c] for c in "_print print _null null _salt key block whole clean row part low".split()) for r in rows}
+    return {tuple(r[c] for c in "_print print _null null _salt key block whole clean row part low a.b c`d DOC_ID Text _c3".split()) for r in rows}
 
 
 def test_stages_keep_columns(spark, odd):
@@ -49,7 +50,7 @@ def test_stages_keep_columns(spark, odd):
     hidden = secrets.redact(docs).collect()
     assert len(hidden) == len(rows) and {r.text for r in hidden} == {t for _, t in rows}
     for result in (kept, one, clean, hidden):
-        assert [f for f in result[0].asDict()] == docs.columns and others(result) == {(7, "p", True, 1, 3, "k", 2, "w", "c", 9, 4, "L")}
+        assert [f for f in result[0].asDict()] == docs.columns and others(result) == {(7, "p", True, 1, 3, "k", 2, "w", "c", 9, 4, "L", "dot", 5, 6, "T", 8)}
     empty = docs.limit(0)
     for stage in (jaccard.one_of_each, suffixes.without_repeats, secrets.redact, lambda d: toxicity.without_toxic(d, chain)):
         found = stage(empty)
@@ -60,7 +61,7 @@ def test_ties_and_long_texts(spark, odd):
     rows, docs, chain = odd
     scores = [(r.doc_id, r.score) for r in toxicity.toxicity(docs, chain).collect()]
     assert len(scores) == len(rows) and len({s for d, s in scores if d in (5, 102, 103)}) == 1  # equal texts, and texts without toxic tokens
-    likeness = {r.doc_id: r.near_next for r in fingerprints.edited_pairs(docs.filter("doc_id in (100, 101)")).collect()}
+    likeness = {r.doc_id: r.near_next for r in fingerprints.edited_pairs(plain(docs).filter("doc_id in (100, 101)")).collect()}
     assert likeness[101] == likeness[100] > 0.9
 
 

@@ -196,7 +196,7 @@ def test_language_model_keeps_rare_words(spark):
     out = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
     assert not out(60) and not out(62)
     tokens = lambda t: [*t.lower().split(), "<end>"]
-    c = [Counter(), Counter(), Counter()]
+    c = [Counter(), Counter(), Counter(), Counter()]
     for d, t in rows:
         if not out(d):
             own = tokens(t)
@@ -204,6 +204,7 @@ def test_language_model_keeps_rare_words(spark):
             c[0].update((w,) for w in own)
             c[1].update(zip(padded, own, strict=False))
             c[2].update(zip(padded, own, own[1:], strict=False))
+            c[3].update(zip(padded, own, own[1:], own[2:], strict=False))
     n = sum(c[0].values())
     assert c[0][("two",)] == 2 < 1e-5 * n * 2
     d = np.array([0, *language_model.discounts([sum(x == k for x in c[0].values()) for k in (1, 2, 3, 4)])])
@@ -216,17 +217,17 @@ def test_language_model_keeps_rare_words(spark):
     def spelt(w):
         return math.prod((bytes_after[a, b] + 0.1) / (of_byte[a] + 0.1 * (250 + (a != 32))) for a, b in zip(b" " + w.encode(), w.encode() + b" "))
 
-    def brute(t, least=2):
+    def brute(t, least=2, order=3):
         total, padded = 0.0, ["<end>", *tokens(t)]
         kept = [{g: x for g, x in level.items() if x >= least} for level in c]
         mass = defaultdict(float)
-        for level in kept[1:]:
+        for level in kept[1:order]:
             for g, x in level.items():
                 mass[g[:-1]] += x - 0.7
         for i in range(1, len(padded)):
             x = c[0][(padded[i],)]
             p = (x - d[min(x, 3)]) / n if x else unseen * spelt(padded[i])
-            for size in (2, 3):
+            for size in range(2, order + 1):
                 if i - size + 1 >= 0:
                     g = tuple(padded[i - size + 1 : i + 1])
                     of = c[size - 2][g[:-1]]
@@ -239,6 +240,10 @@ def test_language_model_keeps_rare_words(spark):
     assert got == pytest.approx({d: brute(t) for d, t in rows})
     every = {r.doc_id: r.score for r in language_model.score(documents(spark, rows), least=1).collect()}
     assert every == pytest.approx({d: brute(t, 1) for d, t in rows})
+    for order in (1, 2, 4):
+        found = language_model.score(documents(spark, rows), order=order).collect()
+        assert {r.doc_id: r.score for r in found} == pytest.approx({d: brute(t, order=order) for d, t in rows})
+        assert {r.train_tokens for r in found} == {n} and all(r.base_score < 0 and r.score < 0 for r in found)
 
 
 def test_random_strings_score_far_below_texts(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import let
 from .prefilter import Strategy, decide
+from .selection import medians
 
 
 def decisions(pairs: DataFrame, by_name: dict[str, Strategy]) -> DataFrame:
@@ -48,8 +49,11 @@ def consistency(a: Column, b: Column) -> Column:
 
 
 def mean_and_median(values: DataFrame, *columns: str) -> DataFrame:
-    """One row: the number of rows, and mean and exact median of each column."""
-    return values.agg(F.count("*").alias("n_queries"), *[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("median", F.median))])
+    """One row: the number of rows, and mean and exact median of each column; null if it has no values."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in columns]))
+    told = medians(values.select(each.alias("v")).select("v.key", "v.value"))
+    rows = values.agg(F.count("*").alias("n_queries")).withColumn("key", F.explode(F.array(*[F.lit(c) for c in columns]))).join(told, "key", "left")
+    return rows.groupBy("n_queries").agg(*[F.max(F.when(F.col("key") == c, F.col(name))).alias(f"{name}_{c}") for c in columns for name in ("mean", "median")])
 
 
 def sweep_summary(runs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import non_empty
 from ..functions.vectors import let
+from .ordering import settled
 
 
 def distinct_texts(rows: DataFrame, order: str, text: str) -> DataFrame:
@@ -80,22 +81,35 @@ def dirichlet(items: DataFrame, key: str, seed: int, u: Column | None = None) ->
     return drawn.join(F.broadcast(total)).withColumn("probability", F.col("_e") / F.col("_total")).drop("_e", "_total")
 
 
-def categorical(rows: DataFrame, weights: DataFrame, u: Column) -> DataFrame:
-    """rows with ``item``: the first of weights (item, probability; few, as a list of categories is) whose cumulated
-    probability is above u. Cumulated in the order of items; the table is one array, searched in each row."""
-    table = weights.agg(F.sort_array(F.collect_list(F.struct("item", "probability"))).alias("_w"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast(weights.schema["item"].dataType).alias("item"))
+def cumulated(weights: DataFrame) -> DataFrame:
+    """item, start, stop: where each item's share of all probability begins and ends, in the order of items, from 0 to 1.
 
-    def pick(given: Column) -> Column:
-        def take(done: Column, w: Column) -> Column:
-            after = done["sum"] + w["probability"]
-            return F.struct(after.alias("sum"), F.coalesce(done["item"], F.when(after / given["total"] > given["u"], w["item"])).alias("item"))
+    Sums run inside the parts of a sort by range, and over the parts."""
+    parts = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = weights.select("item", F.col("probability").cast("double").alias("probability")).repartitionByRange(parts, "item")
+    placed = settled(ranged.withColumn("_part", F.spark_partition_id()))
+    per = placed.groupBy("_part").agg(F.sum("probability").alias("_sum"))
+    over = Window.orderBy("_part")  # a row for each part
+    per = per.select("_part", F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"), F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    inside = Window.partitionBy("_part").orderBy("item")
+    upto = placed.join(per, "_part").withColumn("_upto", F.col("_before") + F.sum("probability").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    start = F.coalesce(F.lag("_upto").over(inside), F.col("_before")) / F.col("_total")
+    return upto.select("item", start.alias("start"), (F.col("_upto") / F.col("_total")).alias("stop"))
 
-        return F.aggregate("_w", start, take)["item"]
 
-    total = F.aggregate("_w", F.lit(0.0), lambda s, w: s + w["probability"])
-    joined = rows.withColumn("_u", u).join(F.broadcast(table))
-    return joined.withColumn("item", let(F.struct(F.col("_u").alias("u"), total.alias("total")), pick)).drop("_w", "_u")
+def categorical(rows: DataFrame, weights: DataFrame, u: Column) -> DataFrame:
+    """rows with ``item``: the first of weights (item, probability) whose cumulated share is above u, in the order of items.
+
+    The numbers from 0 to 1 are cut into as many cells as there are items, and each item stands in the cells that its share
+    touches, two on average; a row meets those in its own cell. So a row's work doesn't grow with the items, and
+    no table has to fit into a task. Items of probability 0 are never drawn; without any weight item is null.
+    """
+    cells = max(1, weights.count())
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    shares = cumulated(weights.filter("probability > 0")).select("item", "start", "stop", F.explode(F.sequence(cell(F.col("start")), cell(F.col("stop")))).alias("_cell"))
+    placed = rows.withColumn("_u", u).withColumn("_cell", cell(F.col("_u")))
+    met = (placed["_cell"] == shares["_cell"]) & (placed["_u"] >= shares["start"]) & (placed["_u"] < shares["stop"])
+    return placed.join(shares, met, "left").select(*[placed[f"`{c}`"] for c in rows.columns], shares["item"])
 
 
 def question(symptoms: Column) -> Column:

@@ -81,7 +81,12 @@ def _normalized(intervals: DataFrame, utility: Column, epsilon: float) -> DataFr
 def top_k_pdf(scores: DataFrame, c: RetrievalConfig) -> DataFrame:
     """Probability of each interval of scores under the exponential mechanism whose utility is highest where the number
     of documents above is top_k (two fewer in the mode "sentinels", which counts these, too)."""
-    ranked = running(_merged(scores, c.min_score, c.max_score), "query_id", "s", {"upto": F.col("n")}, c.min_score, c.max_score)
+    return top_k_pdf_of(_merged(scores, c.min_score, c.max_score), c)
+
+
+def top_k_pdf_of(merged: DataFrame, c: RetrievalConfig) -> DataFrame:
+    """The same from (query_id, s, n): different scores with their numbers."""
+    ranked = running(merged, "query_id", "s", {"upto": F.col("n")}, c.min_score, c.max_score)
     shift = 0 if c.mode == "sentinels" else 2
     # the last of equal scores starts the interval: its 0-based place is upto - 1
     utility = -F.abs(F.col("total_upto") - shift - c.top_k - (F.col("upto") - 1) + F.lit(shift / 2))
@@ -94,7 +99,12 @@ def top_p_weight(s: Column, c: RetrievalConfig) -> Column:
 
 def top_p_pdf(scores: DataFrame, c: RetrievalConfig) -> DataFrame:
     """The same for a utility that is highest where the documents above hold top_p of all weight."""
-    ranked = running(_merged(scores, c.min_score, c.max_score), "query_id", "s", {"mass": F.col("n") * top_p_weight(F.col("s"), c)}, c.min_score, c.max_score)
+    return top_p_pdf_of(_merged(scores, c.min_score, c.max_score).withColumn("mass", F.col("n") * top_p_weight(F.col("s"), c)), c)
+
+
+def top_p_pdf_of(merged: DataFrame, c: RetrievalConfig) -> DataFrame:
+    """The same from (query_id, s, n, mass): different scores with their numbers and weights."""
+    ranked = running(merged.withColumnRenamed("mass", "own_mass"), "query_id", "s", {"mass": F.col("own_mass")}, c.min_score, c.max_score)
     return _normalized(ranked, -F.abs(F.col("total_mass") * (1 - c.top_p) - F.col("mass")), c.epsilon)
 
 
@@ -106,6 +116,13 @@ def draw(pdf: DataFrame, points: DataFrame) -> DataFrame:
     return cdf.join(F.broadcast(points), cdf["cdf"] / cdf["total_cdf"] > points["u"]).groupBy("query_id", "u").agg(F.min("s").alias("threshold"))
 
 
+def draw_one(pdf: DataFrame, u: Column) -> DataFrame:
+    """query_id, threshold: the same at one u for each query, which follows from query_id."""
+    ends = pdf.groupBy("query_id").agg(F.min("s").alias("_low"), F.max("s").alias("_high"))
+    cdf = running(pdf.join(ends, "query_id").drop("next"), "query_id", "s", {"cdf": F.col("pdf")}, F.col("_low"), F.col("_high"))
+    return cdf.filter(F.col("cdf") / F.col("total_cdf") > u).groupBy("query_id").agg(F.min("s").alias("threshold"))
+
+
 def draw_gumbel(pdf: DataFrame, seed: int) -> DataFrame:
     """query_id, threshold: the same distribution by the Gumbel-max trick; a draw is fixed by seed, query and interval."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "query_id", "s"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -123,19 +140,26 @@ def top_k_threshold(scores: DataFrame, k: int) -> DataFrame:
 def top_p_threshold(scores: DataFrame, p: float, alpha: float = 5.0) -> DataFrame:
     """query_id, threshold: the first score at which the documents above come closest to p of all weight; weights and the
     doubled ends follow the observed range. If all scores are equal they are the threshold."""
-    ends = scores.groupBy("query_id").agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    ends = scores.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"))
     counted = scores.groupBy("query_id", F.col("score").alias("s")).agg(F.count("*").cast("double").alias("n")).join(ends, "query_id")
-    n = F.col("n") + F.when(F.col("s") == F.col("_low"), 1).otherwise(0) + F.when(F.col("s") == F.col("_high"), 1).otherwise(0)
-    span = F.col("_high") - F.col("_low")
-    single = F.when(span > 0, F.exp(F.lit(alpha) * (F.col("s") - F.col("_high")) / F.when(span > 0, span).otherwise(1.0))).otherwise(1.0)
-    ranked = running(counted.withColumn("_one", single).withColumn("_all", n * single), "query_id", "s", {"mass": F.col("_all")}, F.col("_low"), F.col("_high"))
+    n = F.col("n") + F.when(F.col("s") == F.col("low"), 1).otherwise(0) + F.when(F.col("s") == F.col("high"), 1).otherwise(0)
+    span = F.col("high") - F.col("low")
+    single = F.when(span > 0, F.exp(F.lit(alpha) * (F.col("s") - F.col("high")) / F.when(span > 0, span).otherwise(1.0))).otherwise(1.0)
+    return top_p_threshold_of(counted.select("query_id", "low", "high", "s", n.alias("n"), (n * single).alias("mass"), F.lit(True).alias("real")), p)
+
+
+def top_p_threshold_of(merged: DataFrame, p: float) -> DataFrame:
+    """The same from (query_id, low, high, s, n, mass, real): different scores with their numbers and weights, both ends
+    doubled; a row that isn't real counts, but isn't a threshold."""
+    ranked = running(merged.withColumnRenamed("mass", "own_mass"), "query_id", "s", {"mass": F.col("own_mass")}, F.col("low"), F.col("high"))
     # of equal scores each has its own running sum; the best of them counts, and the first of the best
+    one = F.col("own_mass") / F.col("n")
     target = F.col("total_mass") * (1 - p)
-    past = F.col("mass") - F.col("_all")
-    copies = F.round(F.col("_all") / F.col("_one"))
-    nearest = F.least(F.greatest(F.round((target - past) / F.col("_one")), F.lit(1.0)), copies)
-    utility = -F.abs(target - (past + nearest * F.col("_one")))
-    return ranked.withColumn("_u", utility).groupBy("query_id").agg(F.max(F.struct(F.col("_u"), (-F.col("s")).alias("s"))).alias("best")).select("query_id", (-F.col("best.s")).alias("threshold"))
+    past = F.col("mass") - F.col("own_mass")
+    nearest = F.least(F.greatest(F.round((target - past) / one), F.lit(1.0)), F.col("n"))
+    utility = -F.abs(target - (past + nearest * one))
+    best = F.max(F.struct(F.col("_u"), (-F.col("s")).alias("s"))).alias("best")
+    return ranked.filter("real").withColumn("_u", utility).groupBy("query_id").agg(best).select("query_id", (-F.col("best.s")).alias("threshold"))
 
 
 def above(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -162,22 +186,16 @@ def thresholds(scores: DataFrame, c: RetrievalConfig, seed: int = 0) -> DataFram
     return top_p_threshold(scores, c.top_p, c.top_p_alpha) if c.top_p is not None else top_k_threshold(scores, c.top_k)
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, c: RetrievalConfig, seed: int = 0) -> DataFrame:
-    """query_id, doc_id, score (and place, if capped) of the documents selected; a query may get none. Texts aren't
-    touched: they are joined to the few rows that are left."""
-    scores = score(queries, corpus)
-    selected = above(scores, thresholds(scores, c, seed))
-    return capped(selected, c.max_retrieve, seed) if c.max_retrieve is not None else selected
-
+def utility_curve(scores: DataFrame, grid: Column, k: int | None = None, p: float | None = None, low: float = 0.2, high: float = 0.9, alpha: float = 1.0) -> DataFrame:
+    """query_id, tau, utility: how far the number (or, by p, the weight) above each tau of grid, an array, is from the aim.
 
-def utility_curve(scores: DataFrame, grid: DataFrame, k: int | None = None, p: float | None = None, low: float = 0.2, high: float = 0.9, alpha: float = 1.0) -> DataFrame:
-    """query_id, tau, utility: how far the number (or, by p, the weight) above each tau of a small grid is from the aim."""
+    Scores and taus are put in one order and summed in two levels, so that the work is their number, not their product."""
     s = F.least(F.greatest(F.col("score"), F.lit(low)), F.lit(high))
     w = F.exp(F.lit(alpha) * (s - high) / (high - low))
-    met = scores.select("query_id", "score", w.alias("w")).crossJoin(F.broadcast(grid))
-    over = F.col("score") > F.col("tau")
-    if k is not None:
-        value = -F.abs(F.sum(F.when(over, 1).otherwise(0)) - k).cast("double")
-    else:
-        value = -F.abs(F.sum(F.when(over, F.col("w")).otherwise(0.0)) - p * F.sum("w"))
-    return met.groupBy("query_id", "tau").agg(value.alias("utility"))
+    rows = scores.groupBy("query_id", F.col("score").alias("s")).agg(F.count("*").cast("double").alias("_n"), F.sum(w).alias("_w")).withColumn("_tau", F.lit(False))
+    taus = scores.select("query_id").distinct().select("query_id", F.explode(F.array_distinct(grid)).alias("s"), F.lit(0.0).alias("_n"), F.lit(0.0).alias("_w"), F.lit(True).alias("_tau"))
+    met = rows.unionByName(taus).groupBy("query_id", "s").agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.max("_tau").alias("_tau"))
+    ends = met.groupBy("query_id").agg(F.min("s").alias("_low"), F.max("s").alias("_high"))
+    summed = running(met.join(ends, "query_id"), "query_id", "s", {"n": F.col("_n"), "w": F.col("_w")}, F.col("_low"), F.col("_high")).filter("_tau")
+    value = -F.abs(F.col("total_n") - F.col("n") - k) if k is not None else -F.abs(F.col("total_w") - F.col("w") - p * F.col("total_w"))
+    return summed.select("query_id", F.col("s").alias("tau"), value.alias("utility"))

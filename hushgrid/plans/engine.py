@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.accounting import IDENTITY, PrivacyLoss, pure, token_epsilon
 from ..operators.aggregation import AggregationConfig, aggregate_block
-from ..operators.prefilter import Strategy
 from ..operators.ordering import settled
+from ..operators.prefilter import Strategy
 from ..operators.preparation import missing
-from ..operators.retrieval import RetrievalConfig, lacking, retrieve
+from ..operators.products import retrieve
+from ..operators.retrieval import RetrievalConfig, lacking
 from .prompts import fan_out, joined_documents, public, summary_fan_out
 from .providers import embedded, provider
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import accounting, text
 from .functions.vectors import doubles, l2_norm
-from .operators import aggregation, evaluation, measurement, prefilter, preparation, retrieval
+from .operators import aggregation, evaluation, measurement, prefilter, preparation, products, retrieval
 from .operators.retrieval import RetrievalConfig
 from .plans import prompts
 
@@ -58,8 +58,7 @@ def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str, asked=one_query) -> DataFrame:
-    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return retrieval.score(asked(spark, sf_dir), corpus)
+    return retrieval.score(asked(spark, sf_dir), corpus(spark, sf_dir))
 
 
 _SCORES = """q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
@@ -140,8 +139,7 @@ def dp_topp_draw_u(spark, sf_dir):
 
 @query()
 def retrieve_dp_capped(spark, sf_dir):
-    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return retrieval.retrieve(label_queries(spark, sf_dir), corpus, RetrievalConfig(top_k=20, max_retrieve=10), seed=7)
+    return products.retrieve(label_queries(spark, sf_dir), corpus(spark, sf_dir), RetrievalConfig(top_k=20, max_retrieve=10), seed=7)
 
 
 @query(f"WITH {_SCORES}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC) AS p FROM sc), t AS (SELECT * FROM r WHERE score > (SELECT score FROM r WHERE p = 31)), c AS (SELECT query_id, doc_id, score, row_number() OVER (ORDER BY (doc_id * 7919 + 5) % 10007, doc_id)::INT AS place FROM t) SELECT query_id, doc_id, place, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM c WHERE place <= 10")
@@ -157,8 +155,86 @@ def multi_query_topk(spark, sf_dir):
     return retrieval.above(s, retrieval.top_k_threshold(s, 10)).withColumn("score", r6("score"))
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    return spark.range(1000).select((F.col("id") / 999.0).alias("tau"))
+# --- many queries --------------------------------------------------------------------------------------------------
+def mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two queries for each vector: itself, and its components from the last to the first."""
+    e = table(spark, sf_dir, "embeddings")
+    each = F.explode(F.array(F.struct((F.col("vec_id") * 2).alias("query_id"), F.col("embedding").alias("query_vector")), F.struct((F.col("vec_id") * 2 + 1).alias("query_id"), F.reverse("embedding").alias("query_vector"))))
+    return e.select(each.alias("q")).select("q.query_id", "q.query_vector")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+_MIRRORED = """q AS (SELECT vec_id * 2 AS query_id, embedding AS qv FROM embeddings UNION ALL SELECT vec_id * 2 + 1, list_reverse(embedding) FROM embeddings),
+sc AS (SELECT query_id, e.vec_id AS doc_id, list_dot_product(q.qv::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings e, q)"""
+_OF_QUERY = "(((query_id * 7919 + 5) % 10007 + 0.5) / 10007.0::DOUBLE)"
+
+
+def of_query() -> Column:
+    return (F.pmod(F.col("query_id") * 7919 + 5, F.lit(10007)) + 0.5) / F.lit(10007.0)
+
+
+def _of_products(spark: SparkSession, sf_dir: str, asked: Callable[[SparkSession, str], DataFrame], c: RetrievalConfig) -> DataFrame:
+    return products.retrieve(asked(spark, sf_dir), corpus(spark, sf_dir), c).withColumn("score", r6("score"))
+
+
+def _above_rank(queries: str, rank: str) -> str:
+    return f"WITH {queries}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS p FROM sc), t AS (SELECT query_id, score AS tau FROM r WHERE p = {rank}) SELECT r.query_id, doc_id, round(score, 6) AS score FROM r JOIN t ON r.query_id = t.query_id WHERE score > tau"
+
+
+@query(_above_rank(_MANY, "11"))
+def products_topk_few(spark, sf_dir):
+    return _of_products(spark, sf_dir, label_queries, RetrievalConfig(top_k=10, differential_privacy=False))
+
+
+@query(_above_rank(_MIRRORED, "11"))
+def products_topk_many(spark, sf_dir):
+    return _of_products(spark, sf_dir, mirrored, RetrievalConfig(top_k=10, differential_privacy=False))
+
+
+@query(_above_rank(_MANY, "(SELECT count(*) // 2 + 1 FROM embeddings)"))
+def products_topk_half(spark, sf_dir):
+    half = table(spark, sf_dir, "embeddings").count() // 2
+    return _of_products(spark, sf_dir, label_queries, RetrievalConfig(top_k=half, differential_privacy=False))
+
+
+@query(f"WITH {_MIRRORED}, {_TOPP} SELECT sc.query_id, doc_id, round(score, 6) AS score FROM sc JOIN t ON sc.query_id = t.query_id WHERE score > tau")
+def products_topp_many(spark, sf_dir):
+    return _of_products(spark, sf_dir, mirrored, RetrievalConfig(top_p=0.3, differential_privacy=False))
+
+
+def _drawn_for_each(queries: str, pdf: str) -> str:
+    return f"""WITH {queries}, {_CLIPPED}, {pdf}, c AS (SELECT query_id, s, sum(pdf) OVER (PARTITION BY query_id ORDER BY s ROWS UNBOUNDED PRECEDING) / sum(pdf) OVER (PARTITION BY query_id) AS cdf FROM pd),
+d AS (SELECT query_id, min(s) AS tau FROM c WHERE cdf > {_OF_QUERY} GROUP BY query_id)"""
+
+
+@query(f"{_drawn_for_each(_MIRRORED, _TOP_K_PDF)} SELECT query_id, round(tau, 6) AS threshold FROM d")
+def products_dp_topk_draw_u(spark, sf_dir):
+    return products.Products(mirrored(spark, sf_dir), corpus(spark, sf_dir), TOP_K).thresholds(u=of_query()).withColumn("threshold", r6("threshold"))
+
+
+@query(f"{_drawn_for_each(_MIRRORED, _pdf('(-abs(l - 20 - i))', 300.0))} SELECT sc.query_id, doc_id, round(score, 6) AS score FROM sc JOIN d ON sc.query_id = d.query_id WHERE score > tau")
+def products_dp_topk_sharp(spark, sf_dir):
+    sharp = products.Products(mirrored(spark, sf_dir), corpus(spark, sf_dir), RetrievalConfig(top_k=20, epsilon=300.0))
+    return sharp.retrieved(u=of_query()).withColumn("score", r6("score"))
+
+
+@query(f"{_drawn_for_each(_MANY, _TOP_P_PDF)} SELECT query_id, round(tau, 6) AS threshold FROM d")
+def products_dp_topp_draw_u(spark, sf_dir):
+    return products.Products(label_queries(spark, sf_dir), corpus(spark, sf_dir), TOP_P).thresholds(u=of_query()).withColumn("threshold", r6("threshold"))
+
+
+@query(f"""{_drawn_for_each(_MANY, _TOP_K_PDF)}, o10 AS (SELECT sc.query_id, doc_id, score, row_number() OVER (PARTITION BY sc.query_id ORDER BY (doc_id * 7919 + 5) % 10007, doc_id)::INT AS place FROM sc JOIN d ON sc.query_id = d.query_id WHERE score > tau)
+SELECT query_id, doc_id, round(score, 6) AS score, place FROM o10 WHERE place <= 10""")
+def retrieve_dp_capped_u(spark, sf_dir):
+    found = products.retrieve(label_queries(spark, sf_dir), corpus(spark, sf_dir), TOP_K, u=of_query())
+    return retrieval.capped(found, 10, 0, F.pmod(F.col("doc_id") * 7919 + 5, F.lit(10007))).withColumn("score", r6("score"))
+
+
+def _grid() -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: i / F.lit(999.0))
 
 
 _GRID = "g AS (SELECT range / 999.0::DOUBLE AS tau FROM range(1000))"
@@ -166,12 +242,12 @@ _GRID = "g AS (SELECT range / 999.0::DOUBLE AS tau FROM range(1000))"
 
 @query(f"WITH {_SCORES}, {_GRID} SELECT query_id, round(tau, 6) AS tau, -abs(sum(CASE WHEN score > tau THEN 1 ELSE 0 END) - 7)::DOUBLE AS utility FROM sc, g GROUP BY query_id, tau")
 def utility_curve_topk(spark, sf_dir):
-    return retrieval.utility_curve(scores(spark, sf_dir), _grid(spark), k=7).withColumn("tau", r6("tau"))
+    return retrieval.utility_curve(scores(spark, sf_dir), _grid(), k=7).withColumn("tau", r6("tau"))
 
 
 @query(f"WITH {_SCORES}, {_GRID}, w AS (SELECT *, exp((least(greatest(score, 0.2), 0.9) - 0.9) / 0.7) AS w FROM sc) SELECT query_id, round(tau, 6) AS tau, round(-abs(sum(CASE WHEN score > tau THEN w ELSE 0 END) - 0.3 * sum(w)), 6) AS utility FROM w, g GROUP BY query_id, tau")
 def utility_curve_topp(spark, sf_dir):
-    return retrieval.utility_curve(scores(spark, sf_dir), _grid(spark), p=0.3).withColumns({"tau": r6("tau"), "utility": r6("utility")})
+    return retrieval.utility_curve(scores(spark, sf_dir), _grid(), p=0.3).withColumns({"tau": r6("tau"), "utility": r6("utility")})
 
 
 @query("SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 6) AS norm FROM embeddings")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushgrid.functions import text
-from hushgrid.operators import aggregation, evaluation, measurement, preparation, retrieval
+from hushgrid.operators import aggregation, evaluation, measurement, preparation, products, retrieval
 from hushgrid.operators.retrieval import RetrievalConfig
 
 
@@ -69,10 +69,10 @@ def test_retrieve_and_cap(spark):
     corpus = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(50)], "doc_id long, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query_vector array<double>")
     c = RetrievalConfig(top_k=20, differential_privacy=False, max_retrieve=5)
-    got = retrieval.retrieve(asked, corpus, c, seed=1).collect()
+    got = products.retrieve(asked, corpus, c, seed=1).collect()
     best = set(sorted(range(50), key=lambda i: -np.cos(i))[:20])
     assert len(got) == 5 and {r.doc_id for r in got} <= best
-    assert {r.doc_id for r in got} == {r.doc_id for r in retrieval.retrieve(asked, corpus, c, seed=1).collect()}
+    assert {r.doc_id for r in got} == {r.doc_id for r in products.retrieve(asked, corpus, c, seed=1).collect()}
     with pytest.raises(ValueError):
         RetrievalConfig()
 

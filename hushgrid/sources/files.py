@@ -3,6 +3,8 @@ paths go through Spark, so any store that it reads will do."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import non_empty
 from ..operators.preparation import extended, optional_equal, seeded_sample
+from .json_arrays import json_array
+from .versions import current, publish, write_document
 
 CORPUS = "instruction string, input string, output string"
 QUERIES = "input string, answer_icliniq string"
@@ -18,14 +22,9 @@ EXTENDED = "question string, answer string"
 COUNTERS = "key string, n bigint"
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The elements of a file that is one JSON array."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
-
-
 def _in_order(rows: DataFrame, column: str) -> DataFrame:
-    """place, and what is left of a column, in the order of the file; stripped texts that aren't empty."""
-    return rows.withColumn("place", F.monotonically_increasing_id()).withColumn(column, non_empty(F.col(column))).filter(F.col(column).isNotNull())
+    """place, and what is left of a column: stripped texts that aren't empty."""
+    return rows.withColumn(column, non_empty(F.col(column))).filter(F.col(column).isNotNull())
 
 
 def corpus(spark: SparkSession, path: str, limit: int | None = None, sample_seed: int | None = None) -> DataFrame:
@@ -56,17 +55,14 @@ def questions_and_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """What was written to a path before, or an empty table of the schema if nothing was."""
-    try:
-        return spark.read.schema(schema).json(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    """The latest version of what was written to a path, or an empty table of the schema if nothing was."""
+    latest = current(spark, path)
+    return spark.read.schema(schema).json(latest) if latest else spark.createDataFrame([], schema)
 
 
 def write_cache(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """Replaces what cached() finds at path; rows may come from there."""
+    publish(rows, path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -80,11 +76,11 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_result(config: dict, summary: DataFrame, per_query: DataFrame, path: str) -> None:
-    """The parts of a result as tables under one path, each of any size: config, summary, per_query."""
+    """One indented document, result.json, of the config and of a summary that has a row for each setting, and a table,
+    per_query, of any size; each replaces the one before as a whole."""
     spark = summary.sparkSession
-    spark.createDataFrame([(k, str(v)) for k, v in sorted(config.items())], "name string, value string").write.mode("overwrite").json(f"{path}/config")
-    summary.write.mode("overwrite").json(f"{path}/summary")
-    per_query.write.mode("overwrite").json(f"{path}/per_query")
+    publish(per_query, f"{path}/per_query")
+    write_document(spark, json.loads(result_document(config, summary).first().document), f"{path}/result.json")
 
 
 def result_document(config: dict, summary: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.accounting import IDENTITY, PrivacyLoss, pure, token_epsilon
 from ..operators.aggregation import AggregationConfig, aggregate_block
+from ..operators.embedding import Projection
 from ..operators.ordering import settled
 from ..operators.prefilter import Strategy
 from ..operators.preparation import missing
@@ -155,7 +156,7 @@ def dual_logits(queries: DataFrame, retrieved: DataFrame, steps: int, model: str
 class Engine:
     """Documents are added to a store; questions are answered from what is retrieved, at a known loss of privacy each."""
 
-    def __init__(self, store: DataFrame, retrieval: RetrievalConfig, generation: GenerationConfig, embedding: str = "hashed-words", model: str = "hashed-scores", seed: int = 0):
+    def __init__(self, store: DataFrame, retrieval: RetrievalConfig, generation: GenerationConfig, embedding: str | Projection = "hashed-words", model: str = "hashed-scores", seed: int = 0):
         if retrieval.max_retrieve is None:
             retrieval = replace(retrieval, max_retrieve=100)
         self.store, self.retrieval, self.generation = store, retrieval, generation
@@ -173,7 +174,13 @@ class Engine:
         self.store = self.store.select("doc_id", "text").unionByName(fresh)
 
     def _embedded(self, rows: DataFrame) -> DataFrame:
-        return settled(rows.select("doc_id", embedded(F.col("text"), self.embedding).alias("embedding")))
+        return settled(self._vectors(rows, "text", "embedding").select("doc_id", "embedding"))
+
+    def _vectors(self, rows: DataFrame, text: str, name: str) -> DataFrame:
+        """rows with vectors of a text, by what was learned or by a provider."""
+        if isinstance(self.embedding, Projection):
+            return self.embedding.embedded(rows, text, name)
+        return rows.withColumn(name, embedded(F.col(text), self.embedding))
 
     def epsilon_per_answer(self) -> float:
         return self.loss.epsilon(self.generation.delta)
@@ -186,7 +193,7 @@ class Engine:
         """query_id, place, text; texts are joined only to the rows that are left."""
         if self.vectors is None:
             self.vectors = self._embedded(self.store)
-        asked = queries.select("query_id", embedded(F.col("query"), self.embedding).alias("query_vector"))
+        asked = self._vectors(queries, "query", "query_vector").select("query_id", "query_vector")
         found = retrieve(asked, self.vectors, self.retrieval, self.seed)
         return found.join(self.store, "doc_id").select("query_id", "place", "text")
 

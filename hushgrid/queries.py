@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import accounting, text
 from .functions.vectors import doubles, l2_norm
-from .operators import aggregation, evaluation, measurement, prefilter, preparation, products, retrieval
+from .operators import aggregation, embedding, evaluation, measurement, prefilter, preparation, products, retrieval
 from .operators.retrieval import RetrievalConfig
 from .plans import prompts
 
@@ -250,6 +250,13 @@ def utility_curve_topp(spark, sf_dir):
     return retrieval.utility_curve(scores(spark, sf_dir), _grid(), p=0.3).withColumns({"tau": r6("tau"), "utility": r6("utility")})
 
 
+@query()
+def document_vectors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors = embedding.fit(docs).embedded(docs, "text")
+    return vectors.select("doc_id", F.transform("embedding", r6).alias("embedding"))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 6) AS norm FROM embeddings")
 def embedding_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(l2_norm(F.col("embedding"))).alias("norm"))

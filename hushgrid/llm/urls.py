@@ -19,22 +19,41 @@ DECAY = 0.0005
 MOST_LABELLED = 500  # rows of the labelled table; more are an error, none are left out
 # The rules' hosts and paths, and what they say.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-# Labels made by hand: words of hosts that a filter for training data blocks, and of hosts that it allows; then common groups of letters, of which more such hosts are made.
-BLOCKED_WORDS = "casino bets poker pills pharmacy viagra adult xxx spam ads track clicks cheap free win loans replica torrent".split()
-BLOCKED_PAIRS = "farm hub x win track pills bets deals zone network".split()
-GIVEN_HOSTS = "casino-win free-bets ads-track spam-farm cheap-pills adult-x".split()  # of the given tables: none is a labelled row
-ALLOWED_WORDS = "news blog docs wiki library museum weather school city health recipes travel science history music garden forum archive letters theatre river mountain bread stone paper north winter thunder reading other nation tender shore within".split()
+# Labels made by hand: words of hosts that a filter for training data blocks (gambling, adult pages, drugs, quick money, bait,
+# copies and cracks, advertising), and words of hosts that it allows. None is a word of a host of the given tables.
+BLOCKED_WORDS = """bet betting bettor wager slot slots jackpot poker roulette blackjack bingo lotto lottery gamble gambling gambler casinos odds
+porn porno xxx sex sexy nude nudes escort fetish milf erotic webcam camgirl hentai hookup dating
+viagra cialis pill pharma pharmacy meds drugs steroid steroids slimming detox weightloss
+loan loans payday cash money rich forex crypto bitcoin profit payout earn
+freebie cheapest discount deal deals promo coupon winner winning prize prizes giveaway bonus bargain
+replica replicas fake fakes warez crack cracked keygen serial torrent torrents pirate hack hacked cheats
+spammer adserver advert adverts click clicks clickbait popup popups tracker tracking traffic redirect seo backlink leads affiliate""".split()
+ALLOWED_WORDS = """news blog docs wiki library museum weather school city health recipes travel science history music garden forum archive letters theatre
+river mountain bread stone paper north winter thunder reading nation tender shore bird watch old maps map forest lake valley bridge
+village church castle harbour island ocean summer spring autumn flower tree rose oak maple apple orange lemon kitchen cooking baking
+bakery coffee tea wine cheese farmers market street house home family children teacher student college university research physics
+chemistry biology math language grammar poetry poems novel books bookshop press journal magazine radio film cinema photo painting gallery
+artist design craft wood metal glass pottery sewing knitting running cycling hiking sailing fishing climbing football tennis chess
+animals horse cat dog fox wolf bear eagle insects fossils stars planet space rocket engine train railway airport council hospital""".split()
 COMMON_GROUPS = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, label (1: block): hosts made of the words and groups above, with some subdomains and paths."""
-    ends = ("com/en/118", "net/fr/402.html", "org/de/635/", "net/en/951", "com/es/77", "org/fr/246")  # alike for both labels
-    leads = ("", "www.", "blog.", "m.")
-    blocked = [f"{word}-{BLOCKED_PAIRS[(i + 3 * k) % len(BLOCKED_PAIRS)]}" for i, word in enumerate(BLOCKED_WORDS) for k in range(2)]
-    blocked = [host for host in blocked if host not in GIVEN_HOSTS]
-    allowed = ALLOWED_WORDS + [a + COMMON_GROUPS[(7 * i + 3) % len(COMMON_GROUPS)] + COMMON_GROUPS[(11 * i + 8) % len(COMMON_GROUPS)] for i, a in enumerate(COMMON_GROUPS)]
-    rows = [(f"http://{leads[(i + k) % 4]}{host}.example.{ends[(i + 3 * k) % 6]}", label) for label, hosts in ((1, blocked), (0, allowed)) for i, host in enumerate(hosts) for k in range(2)]
+def hosts(words: list[str], steps: tuple[int, ...]) -> list[str]:
+    """Each word with those some steps further on, with a hyphen or without."""
+    n = len(words)
+    return [f"{word}{'-' if (i + k) % 3 else ''}{words[(i * step + k + 1) % n]}" for k, step in enumerate(steps) for i, word in enumerate(words) if words[(i * step + k + 1) % n] != word]
+
+
+def labelled_urls(spark: SparkSession, left_out: frozenset[str] = frozenset()) -> DataFrame:
+    """url, label (1: block), at most MOST_LABELLED rows: hosts made of the words above but those left out, and of common
+    groups of letters, with some schemes, subdomains, ends and paths, which are alike for both labels."""
+    bad, good = ([w for w in words if w not in left_out] for words in (BLOCKED_WORDS, ALLOWED_WORDS))
+    ends = ("com/en/118", "net/fr/402.html", "org/de/635/", "net/en/951", "com/es/77", "org/fr/246", "com/", "org", "net/index.html?p=3", "com/a/b/c")
+    leads = ("http://", "https://", "http://www.", "https://www.", "https://blog.", "http://m.")
+    blocked = hosts(bad, (7,)) + bad[::2]
+    letters = [a + COMMON_GROUPS[(7 * i + 3) % len(COMMON_GROUPS)] + COMMON_GROUPS[(11 * i + 8) % len(COMMON_GROUPS)] for i, a in enumerate(COMMON_GROUPS)]
+    allowed = hosts(good, (5, 9)) + good[::4] + letters
+    rows = [(f"{leads[(i * 5 + label) % len(leads)]}{host}.example.{ends[(i * 7 + label) % len(ends)]}", label) for label, some in ((1, blocked), (0, allowed)) for i, host in enumerate(some)]
     text = F.lit("\n".join(f"{label} {url}" for url, label in rows))
     lines = spark.range(1).select(F.explode(F.split(text, "\n")).alias("line"))
     return lines.select(F.substring("line", 3, 1000).alias("url"), F.substring("line", 1, 1).cast("int").alias("label"))

@@ -35,10 +35,11 @@ class AggregationConfig:
 
 
 def centred(logits: Column, alpha: float) -> Column:
-    """(exp(alpha * (x - max)) - 1) / alpha of each component, less the middle of its range."""
+    """(exp(alpha * (x - max)) - 1) / alpha of each component (for alpha 0 its limit, x - max), less the middle of its range."""
 
     def shaped(v: Column) -> Column:
-        return let(F.array_max(v), lambda top: F.transform(v, lambda a: (F.exp(F.lit(alpha) * (a - top)) - 1) / alpha))
+        one = (lambda z: (F.exp(F.lit(alpha) * z) - 1) / alpha) if alpha else (lambda z: z)
+        return let(F.array_max(v), lambda top: F.transform(v, lambda a: one(a - top)))
 
     def moved(x: Column) -> Column:
         return let((F.array_max(x) + F.array_min(x)) / 2, lambda middle: F.transform(x, lambda a: a - middle))
@@ -123,7 +124,7 @@ def aggregate_block(block: np.ndarray, c: AggregationConfig) -> np.ndarray:
     block = np.asarray(block, np.float64)
     private = block[1:] - block[1:].max(axis=1, keepdims=True) if len(block) > 1 else block[1:]
     if c.differential_privacy and len(private):
-        x = (np.exp(c.alpha * private) - 1) / c.alpha
+        x = (np.exp(c.alpha * private) - 1) / c.alpha if c.alpha else private
         x = x - (x.max(axis=1, keepdims=True) + x.min(axis=1, keepdims=True)) / 2
         norm = np.abs(x).max(axis=1, keepdims=True)
         private = x * np.where(norm == 0, 1.0, np.minimum(c.bound / np.where(norm == 0, 1.0, norm), 1.0))

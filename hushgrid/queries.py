@@ -289,6 +289,15 @@ def dp_aggregate(spark, sf_dir):
     return aggregation.aggregated(streams(spark, sf_dir), AGGREGATION).withColumn("logit", r6("logit"))
 
 
+_UNSHAPED = _STREAMS.replace("exp(x - list_max(l)) - 1", "x - list_max(l)")
+
+
+@query(f"WITH {_UNSHAPED}, {_DP_TOKENS} SELECT query_id, step, token::INT AS token, round(logit, 6) AS logit FROM g")
+def dp_aggregate_alpha_zero(spark, sf_dir):
+    c = aggregation.AggregationConfig(token_epsilon=0.2192, alpha=0.0)
+    return aggregation.aggregated(streams(spark, sf_dir), c).withColumn("logit", r6("logit"))
+
+
 @query(f"WITH {_STREAMS}, t AS (SELECT query_id, step, unnest(range(len(l))) AS token, unnest([a - list_max(l) for a in l]) AS x FROM s WHERE k > 0 UNION ALL SELECT query_id, step, unnest(range(len(l))), unnest([a * 0.01 for a in l]) FROM s WHERE k = 0) SELECT query_id, step, token::INT AS token, round(sum(x), 6) AS logit FROM t GROUP BY query_id, step, token")
 def nondp_aggregate(spark, sf_dir):
     return aggregation.aggregated(streams(spark, sf_dir), PLAIN).withColumn("logit", r6("logit"))

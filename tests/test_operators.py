@@ -153,3 +153,14 @@ def test_token_probabilities_are_a_softmax(spark):
     rows = spark.createDataFrame([(1, 0, k, x) for k, x in enumerate(logits)], "query_id int, step int, token int, logit double")
     got = [r.probability for r in aggregation.token_probabilities(rows, 0.5).orderBy("token").collect()]
     assert got == pytest.approx([1 / (1 + math.exp(-2)), math.exp(-2) / (1 + math.exp(-2)), 0])
+
+
+def test_alpha_zero_is_the_limit(spark):
+    rows = [(1, 0, k, [float(x) for x in np.random.default_rng(k).normal(size=5)]) for k in range(4)]
+    streams = spark.createDataFrame(rows, "query_id long, step int, stream_id long, logits array<double>")
+    found = []
+    for alpha in (0.0, 1e-7):
+        c = aggregation.AggregationConfig(token_epsilon=3.0, alpha=alpha)
+        found.append([r.logit for r in aggregation.aggregated(streams, c).orderBy("token").collect()])
+        assert found[-1] == pytest.approx(aggregation.aggregate_block(np.array([r[3] for r in rows]), c).tolist())
+    assert found[0] == pytest.approx(found[1], abs=1e-5)

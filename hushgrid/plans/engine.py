@@ -18,6 +18,7 @@ from ..operators.prefilter import Strategy
 from ..operators.preparation import missing
 from ..operators.products import retrieve
 from ..operators.retrieval import RetrievalConfig, lacking
+from .chain import START, BlockChain, argmax, public_argmax
 from .prompts import fan_out, joined_documents, public, summary_fan_out
 from .providers import embedded, provider
 
@@ -45,20 +46,33 @@ def _said(prompt: list[dict]) -> str:
     return "\n".join(f"{m['role']}: {m['content']}" for m in prompt)
 
 
-def generate(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
-    """query_id, tokens, text: a loop for each query over its streams (query_id, stream_id, prompt), at most
-    max_retrieve + 1 of them; the aggregate's token continues all streams. Seed and query fix every draw."""
+def aggregation_chain(g: GenerationConfig) -> BlockChain:
+    """The aggregate alone, with the best tokens before it (of the public stream) and after it on record."""
     c = g.aggregation()
+    return BlockChain({"aggregate": lambda block: aggregate_block(block, c)}, {"before": (START, public_argmax), "after": ("aggregate", argmax)})
+
+
+def generate(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0, chain: BlockChain | None = None) -> DataFrame:
+    """query_id, tokens, text, and ``recorded`` if a chain is given: a loop for each query over its streams (query_id,
+    stream_id, prompt), at most max_retrieve + 1 of them; the token drawn from what the chain gives, by default the aggregate,
+    continues all streams. Seed and query fix every draw.
+
+    recorded is a map from tap to a token for each place of tokens; what taps see when the answer ends isn't kept. A chain is
+    as private as its steps; its record isn't private at all, and only for measurements.
+    """
+    used = chain or BlockChain({"aggregate": aggregation_chain(g).steps["aggregate"]}, {})
+    schema = "query_id long, tokens array<int>, text string" + (", recorded map<string, array<int>>" if chain else "")
 
     def run(key: tuple, streams: pa.Table) -> pa.Table:
         own = provider(model)
         rows = sorted(zip(streams["stream_id"].to_pylist(), streams["prompt"].to_pylist(), strict=True), key=lambda r: r[0])
         asked = [_said(p) for _, p in rows]
         query = key[0].as_py()
-        draws = np.random.default_rng([seed, abs(hash(query)) if not isinstance(query, int) else query & (2**63 - 1)])
+        draws = np.random.default_rng([seed, (-1 if query is None else query) & (2**63 - 1)])
         tokens: list[int] = []
+        record: dict[str, list[int]] = {tap: [] for tap in used.taps}
         while len(tokens) < g.max_new_tokens:
-            logits = aggregate_block(own.next_logits(asked, tokens), c)
+            logits = used(np.asarray(own.next_logits(asked, tokens), np.float64), record)
             if g.greedy:
                 token = int(logits.argmax())
             else:
@@ -66,9 +80,13 @@ def generate(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-score
             if token == own.end:
                 break
             tokens.append(token)
-        return pa.table({"query_id": pa.array([query], pa.int64()), "tokens": pa.array([tokens], pa.list_(pa.int32())), "text": pa.array([" ".join(own.vocabulary[t] for t in tokens)])})
+        out = {"query_id": pa.array([query], pa.int64()), "tokens": pa.array([tokens], pa.list_(pa.int32())), "text": pa.array([" ".join(own.vocabulary[t] for t in tokens)])}
+        if chain:
+            kept = [(tap, places[: len(tokens)]) for tap, places in record.items()]
+            out["recorded"] = pa.array([kept], pa.map_(pa.string(), pa.list_(pa.int32())))
+        return pa.table(out)
 
-    return prompts.select(F.col("query_id").cast("long").alias("query_id"), "stream_id", "prompt").groupBy("query_id").applyInArrow(run, "query_id long, tokens array<int>, text string")
+    return prompts.select(F.col("query_id").cast("long").alias("query_id"), "stream_id", "prompt").groupBy("query_id").applyInArrow(run, schema)
 
 
 def completed(rows: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
@@ -197,10 +215,19 @@ class Engine:
         found = retrieve(asked, self.vectors, self.retrieval, self.seed)
         return found.join(self.store, "doc_id").select("query_id", "place", "text")
 
-    def chat(self, queries: DataFrame) -> DataFrame:
-        """query_id, tokens, text for queries (query_id, query)."""
+    def chat(self, queries: DataFrame, chain: BlockChain | None = None) -> DataFrame:
+        """query_id, tokens, text for queries (query_id, query), and what a chain records. Answers count when they are asked
+        for, whether or not they are computed; computed again they are the same, as the draws are."""
         self.answers += queries.count()
-        return generate(fan_out(queries, self.retrieved(queries)), self.generation, self.model, self.seed)
+        return generate(fan_out(queries, self.retrieved(queries)), self.generation, self.model, self.seed, chain)
+
+    def consistencies(self, queries: DataFrame) -> DataFrame:
+        """query_id, n_tokens, sampled, greedy: how often the public stream's best token is the one that was drawn, and the
+        aggregate's best. Not private: it tells how much retrieval changes."""
+        from ..operators.measurement import consistency
+
+        said = self.chat(queries, aggregation_chain(self.generation)).select("query_id", "tokens", F.col("recorded")["before"].alias("before"), F.col("recorded")["after"].alias("after"))
+        return said.select("query_id", F.size("tokens").alias("n_tokens"), consistency(F.col("before"), F.col("tokens")).alias("sampled"), consistency(F.col("before"), F.col("after")).alias("greedy"))
 
     def summary(self, topics: DataFrame) -> DataFrame:
         """query_id, tokens, text: a private summary of what is retrieved for topics (query_id, query)."""

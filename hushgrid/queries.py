@@ -6,16 +6,22 @@ of a label, ten times as large; pairs of logits are neighbours by id; questions
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import accounting, text
-from .functions.vectors import doubles, l2_norm
-from .operators import aggregation, embedding, evaluation, measurement, prefilter, preparation, products, retrieval
+from .functions.vectors import argmax, doubles, l2_norm
+from .operators import aggregation, embedding, evaluation, measurement, prefilter, preparation, products, retrieval, throughput, utility
+from .operators.ordering import shared_folder
 from .operators.retrieval import RetrievalConfig
 from .plans import prompts
+from .plans.chain import START, FrameChain, one_table
+from .plans.providers import embedded
+from .streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -333,6 +339,63 @@ def argmax_before_and_after(spark, sf_dir):
     return aggregation.before_and_after(streams(spark, sf_dir), AGGREGATION)
 
 
+UTILITY = utility.UtilityConfig(clip=0.1, epsilon=0.4, theta=0.5)
+ALPHAS = (0.0, 1.0, math.inf)
+_UTILITIES = f"""{_STREAMS}, h AS (SELECT query_id, step, k, l, list_max(l) AS top FROM s),
+a AS (SELECT query_id, step, k, '0.0' AS alpha, [x - top for x in l] AS v FROM h WHERE k > 0
+ UNION ALL SELECT query_id, step, k, '1.0', [exp(x - top) - 1 for x in l] FROM h WHERE k > 0
+ UNION ALL SELECT query_id, step, k, 'Infinity', [CASE WHEN x = top THEN 0.0 ELSE -1.0 END for x in l] FROM h WHERE k > 0),
+m AS (SELECT *, (list_max(v) + list_min(v)) / 2 AS mid, (list_max(v) - list_min(v)) / 2 AS half FROM a),
+t AS (SELECT query_id, step, alpha, unnest(range(len(v))) AS token, unnest([(x - mid) * CASE WHEN half = 0 THEN 1.0 ELSE least(0.1 / half, 1.0) END for x in v]) AS x FROM m
+ UNION ALL SELECT query_id, step, alpha, unnest(range(len(l))), unnest([0.5 * (x - top - ln(list_sum([exp(y - top) for y in l]))) for x in l]) FROM h, (VALUES ('0.0'), ('1.0'), ('Infinity')) q(alpha) WHERE k = 0),
+u AS (SELECT query_id, step, alpha, token, sum(x) AS utility FROM t GROUP BY ALL)"""
+
+
+def utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return utility.utilities(utility.sliced(streams(spark, sf_dir), 16), UTILITY, ALPHAS)
+
+
+@query(f"WITH {_UTILITIES}, w AS (SELECT *, exp(2 * (utility - max(utility) OVER (PARTITION BY query_id, step, alpha))) AS w FROM u) SELECT query_id, step, alpha, token, round(utility, 6) AS utility, round(w / sum(w) OVER (PARTITION BY query_id, step, alpha), 6) AS probability FROM w")
+def context_utilities(spark, sf_dir):
+    found = utility.probabilities(utilities(spark, sf_dir), UTILITY)
+    return found.select("query_id", "step", F.col("alpha").cast("string").alias("alpha"), "token", r6("utility").alias("utility"), r6("probability").alias("probability"))
+
+
+@query(f"WITH {_UTILITIES}, d AS (SELECT *, ((query_id * 7919 + token * 104729 + 13) % 10007 + 0.5) / 10007.0::DOUBLE AS p FROM u) SELECT query_id, step, alpha, token FROM (SELECT *, row_number() OVER (PARTITION BY query_id, step, alpha ORDER BY 2 * utility - ln(-ln(p)) DESC, token) AS r FROM d) WHERE r = 1")
+def context_token(spark, sf_dir):
+    """The exponential mechanism over the same utilities."""
+    p = (F.pmod(F.col("query_id") * 7919 + F.col("token") * 104729 + 13, F.lit(10007)) + 0.5) / F.lit(10007.0)
+    return utility.drawn(utilities(spark, sf_dir), UTILITY, seed=3, u=p).withColumn("alpha", F.col("alpha").cast("string"))
+
+
+_BEST = "row_number() OVER (PARTITION BY query_id, step ORDER BY {} DESC, token) AS p"
+
+
+@query(
+    f"""WITH {_STREAMS}, {_DP_TOKENS}, w AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY query_id, step)) / 0.5) AS w FROM g),
+o AS (SELECT query_id, step, token, w / sum(w) OVER (PARTITION BY query_id, step) AS x FROM w)
+SELECT 'before' AS tap, query_id, step, (list_position(l, list_max(l)) - 1)::INT AS token, round(list_max(l), 6) AS value FROM s WHERE k = 0
+UNION ALL SELECT 'aggregate', query_id, step, token::INT, round(logit, 6) FROM (SELECT *, {_BEST.format("logit")} FROM g) WHERE p = 1
+UNION ALL SELECT 'after', query_id, step, token::INT, round(x, 6) FROM (SELECT *, {_BEST.format("x")} FROM o) WHERE p = 1"""
+)
+def processor_chain(spark, sf_dir):
+    """Best tokens before, in and after a chain of two steps, from one pass over the streams."""
+
+    def best(value: str) -> Callable[[DataFrame], DataFrame]:
+        top = F.max(F.struct(F.col(value).alias("value"), (-F.col("token")).alias("t"))).alias("b")
+        return lambda rows: rows.groupBy("query_id", "step").agg(top).select("query_id", "step", (-F.col("b.t")).cast("int").alias("token"), r6("b.value").alias("value"))
+
+    def public(rows: DataFrame) -> DataFrame:
+        return rows.filter("stream_id = 0").select("query_id", "step", argmax(doubles("logits")).alias("token"), r6(F.array_max(doubles("logits"))).alias("value"))
+
+    chain = FrameChain(
+        {"aggregated": lambda rows: aggregation.aggregated(rows, AGGREGATION), "weighed": lambda rows: aggregation.token_probabilities(rows, 0.5)},
+        {"before": (START, public), "aggregate": ("aggregated", best("logit")), "after": ("weighed", best("probability"))},
+    )
+    found = chain.run(streams(spark, sf_dir))
+    return one_table({tap: found[tap] for tap in chain.taps}, ["query_id", "step", "token", "value"])
+
+
 @query("WITH j AS (SELECT range AS j FROM range(71)), l AS (SELECT (2 * j - 70) * 0.1::DOUBLE AS loss, exp(lgamma(71) - lgamma(j + 1) - lgamma(71 - j) + j * ln(1 / (1 + exp(-0.1::DOUBLE))) + (70 - j) * ln(1 - 1 / (1 + exp(-0.1::DOUBLE)))) AS mass FROM j), e AS (SELECT range / 10.0::DOUBLE AS epsilon FROM range(71)) SELECT round(epsilon, 6) AS epsilon, round(sum(CASE WHEN loss > epsilon THEN mass * (1 - exp(epsilon - loss)) ELSE 0 END), 6) AS delta FROM l, e GROUP BY epsilon")
 def pld_delta_curve(spark, sf_dir):
     losses = accounting.as_table(spark, accounting.pure(0.1, 70))
@@ -510,7 +573,14 @@ def padded_tokens(spark, sf_dir):
     return c.select("conv_id", "turn", F.array_join("p.tokens", " ").alias("tokens"), F.array_join("p.mask", "").alias("mask"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_TURNS}, p AS (SELECT conv_id, turn, h, r, row_number() OVER () AS pair FROM tw),
+d AS (SELECT pair, 0 AS i, unnest(range(len(r) + 1)) AS j, 0::BIGINT AS x FROM p
+ UNION ALL SELECT pair, i + 1, j, max(own) OVER (PARTITION BY pair ORDER BY j)
+ FROM (SELECT d.pair, d.i, d.j, CASE WHEN d.j > 0 AND h[d.i + 1] = r[d.j] THEN 1 + lag(x, 1, 0) OVER (PARTITION BY d.pair ORDER BY d.j) ELSE x END AS own FROM d JOIN p USING (pair) WHERE d.i < len(h))),
+c AS (SELECT pair, max(x) AS common FROM d GROUP BY pair)
+SELECT conv_id, turn, round(CASE WHEN len(h) + len(r) > 0 THEN 2.0::DOUBLE * common / (len(h) + len(r)) ELSE 0.0 END, 6) AS rouge_l FROM p JOIN c USING (pair)"""
+)
 def rouge_l(spark, sf_dir):
     t = turns(spark, sf_dir)
     return t.select("conv_id", "turn", r6(text.rouge_l(F.col("hypothesis"), F.col("reference"))).alias("rouge_l"))
@@ -556,6 +626,28 @@ def counter_over_events(spark, sf_dir):
     return evaluation.grain_counts(e, "event_type", "user_id", "epsilon", "success")
 
 
+@query(ORACLE_SQL["counter_over_events"].replace("user_id AS item", "user_id::VARCHAR AS item"))
+def counter_stream(spark, sf_dir):
+    """The same counts kept by a stream over the table's files, which is started twice: the second time it finds nothing new."""
+    path, place = f"{sf_dir}/events.parquet", f"{shared_folder(spark)}/counters-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(f"{path[:-1]}[t]")  # a pattern, as a stream takes no single file
+    seen = events.select("event_type", "user_id", F.lit("5.3").alias("epsilon"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("success"))
+    for _ in range(2):
+        counters.keep_counts(seen, "event_type", "user_id", "epsilon", "success", f"{place}/totals", f"{place}/state").awaitTermination()
+    return counters.counts(spark, f"{place}/totals")
+
+
+@query("SELECT count(*) AS rows, count(*) AS vectors, count(*) * 64 AS components, true AS timed FROM documents")
+def embedding_throughput(spark, sf_dir):
+    """All documents embedded and written; what is counted comes from the job that writes them."""
+    vectors = table(spark, sf_dir, "documents").select("doc_id", embedded(F.col("text")).alias("embedding"))
+    meter = throughput.Meter({"vectors": F.count("embedding"), "components": F.sum(F.size("embedding"))})
+    meter.of(vectors).write.parquet(f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    told = meter.report()
+    row = (told["rows"], told["vectors"], told["components"] or 0, told["rows_per_second"] > 0)
+    return spark.createDataFrame([row], "rows long, vectors long, components long, timed boolean")
+
+
 @query("SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def disease_counts(spark, sf_dir):
     return observed(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))

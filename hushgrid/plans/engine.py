@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.accounting import IDENTITY, PrivacyLoss, pure, token_epsilon
@@ -20,7 +20,7 @@ from ..operators.products import retrieve
 from ..operators.retrieval import RetrievalConfig, lacking
 from .chain import START, BlockChain, argmax, public_argmax
 from .prompts import fan_out, joined_documents, public, summary_fan_out
-from .providers import embedded, provider
+from .providers import Scorer, embedded, provider
 
 
 @dataclass(frozen=True)
@@ -46,13 +46,21 @@ def _said(prompt: list[dict]) -> str:
     return "\n".join(f"{m['role']}: {m['content']}" for m in prompt)
 
 
+def shipped(spark: SparkSession, model: str | Scorer) -> Callable[[], Scorer]:
+    """What gives a task its model: the worker's own one of a name, or one that was trained, sent to each executor once."""
+    if isinstance(model, str):
+        return lambda: provider(model)
+    told = spark.sparkContext.broadcast(model)
+    return lambda: told.value
+
+
 def aggregation_chain(g: GenerationConfig) -> BlockChain:
     """The aggregate alone, with the best tokens before it (of the public stream) and after it on record."""
     c = g.aggregation()
     return BlockChain({"aggregate": lambda block: aggregate_block(block, c)}, {"before": (START, public_argmax), "after": ("aggregate", argmax)})
 
 
-def generate(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0, chain: BlockChain | None = None) -> DataFrame:
+def generate(prompts: DataFrame, g: GenerationConfig, model: str | Scorer = "hashed-scores", seed: int = 0, chain: BlockChain | None = None) -> DataFrame:
     """query_id, tokens, text, and ``recorded`` if a chain is given: a loop for each query over its streams (query_id,
     stream_id, prompt), at most max_retrieve + 1 of them; the token drawn from what the chain gives, by default the aggregate,
     continues all streams. Seed and query fix every draw.
@@ -63,8 +71,10 @@ def generate(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-score
     used = chain or BlockChain({"aggregate": aggregation_chain(g).steps["aggregate"]}, {})
     schema = "query_id long, tokens array<int>, text string" + (", recorded map<string, array<int>>" if chain else "")
 
+    model_of_task = shipped(prompts.sparkSession, model)
+
     def run(key: tuple, streams: pa.Table) -> pa.Table:
-        own = provider(model)
+        own = model_of_task()
         rows = sorted(zip(streams["stream_id"].to_pylist(), streams["prompt"].to_pylist(), strict=True), key=lambda r: r[0])
         asked = [_said(p) for _, p in rows]
         query = key[0].as_py()
@@ -89,11 +99,12 @@ def generate(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-score
     return prompts.select(F.col("query_id").cast("long").alias("query_id"), "stream_id", "prompt").groupBy("query_id").applyInArrow(run, schema)
 
 
-def completed(rows: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
+def completed(rows: DataFrame, g: GenerationConfig, model: str | Scorer = "hashed-scores", seed: int = 0) -> DataFrame:
     """query_id, tokens, text for rows (query_id, asked): each prompt by itself, without privacy and without others."""
+    model_of_task = shipped(rows.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = provider(model)
+        own = model_of_task()
         for batch in batches:
             out: list[tuple] = []
             for query, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -112,19 +123,19 @@ def completed(rows: DataFrame, g: GenerationConfig, model: str = "hashed-scores"
     return rows.select(F.col("query_id").cast("long").alias("query_id"), "asked").mapInArrow(run, "query_id long, tokens array<int>, text string")
 
 
-def chat_completion(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
+def chat_completion(prompts: DataFrame, g: GenerationConfig, model: str | Scorer = "hashed-scores", seed: int = 0) -> DataFrame:
     """query_id, tokens, text: an answer to each of prompts (query_id, prompt), without what was asked."""
     said = F.array_join(F.transform("prompt", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
     return completed(prompts.select("query_id", said.alias("asked")), g, model, seed)
 
 
-def text_completion(prompts: DataFrame, g: GenerationConfig, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
+def text_completion(prompts: DataFrame, g: GenerationConfig, model: str | Scorer = "hashed-scores", seed: int = 0) -> DataFrame:
     """query_id, tokens, text: each of prompts (query_id, text) and how it goes on."""
     made = completed(prompts.select("query_id", F.col("text").alias("asked")), g, model, seed).withColumnRenamed("text", "more")
     return made.join(prompts.select(F.col("query_id").cast("long").alias("query_id"), "text"), "query_id").select("query_id", "tokens", F.concat_ws(" ", "text", F.expr("nullif(more, '')")).alias("text"))
 
 
-def generated_until_complete(rows: DataFrame, folder: str, key: str, g: GenerationConfig, batch: int | None = None, model: str = "hashed-scores", seed: int = 0) -> DataFrame:
+def generated_until_complete(rows: DataFrame, folder: str, key: str, g: GenerationConfig, batch: int | None = None, model: str | Scorer = "hashed-scores", seed: int = 0) -> DataFrame:
     """rows (key: long, prompt) with the text that was generated for each, kept as Parquet in a folder that all machines
     share. Each round takes the rows that the folder lacks, at most batch of them, and adds their texts, so an
     interrupted run goes on where it was."""
@@ -141,7 +152,7 @@ def generated_until_complete(rows: DataFrame, folder: str, key: str, g: Generati
         made.select(F.col("query_id").alias(key), "text").write.mode("append").parquet(folder)
 
 
-def dual_logits(queries: DataFrame, retrieved: DataFrame, steps: int, model: str = "hashed-scores", driver: str = "norag") -> DataFrame:
+def dual_logits(queries: DataFrame, retrieved: DataFrame, steps: int, model: str | Scorer = "hashed-scores", driver: str = "norag") -> DataFrame:
     """query_id, step, logit_rag, logit_norag: scores of a query (query_id, query) with all its retrieved texts and
     without, along the greedy answer of the driver, norag or rag."""
     if driver not in ("norag", "rag"):
@@ -149,9 +160,10 @@ def dual_logits(queries: DataFrame, retrieved: DataFrame, steps: int, model: str
     found = retrieved.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]).alias("documents"))
     asked = queries.join(found, "query_id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
     asked = asked.select(F.col("query_id").cast("long").alias("query_id"), joined_documents(F.col("query"), F.col("documents")).alias("rag"), public(F.col("query")).alias("norag"))
+    model_of_task = shipped(queries.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = provider(model)
+        own = model_of_task()
         for batch in batches:
             out: list[tuple] = []
             for query, rag, norag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -174,7 +186,7 @@ def dual_logits(queries: DataFrame, retrieved: DataFrame, steps: int, model: str
 class Engine:
     """Documents are added to a store; questions are answered from what is retrieved, at a known loss of privacy each."""
 
-    def __init__(self, store: DataFrame, retrieval: RetrievalConfig, generation: GenerationConfig, embedding: str | Projection = "hashed-words", model: str = "hashed-scores", seed: int = 0):
+    def __init__(self, store: DataFrame, retrieval: RetrievalConfig, generation: GenerationConfig, embedding: str | Projection = "hashed-words", model: str | Scorer = "hashed-scores", seed: int = 0):
         if retrieval.max_retrieve is None:
             retrieval = replace(retrieval, max_retrieve=100)
         self.store, self.retrieval, self.generation = store, retrieval, generation

@@ -18,7 +18,7 @@ from .functions.vectors import argmax, doubles, l2_norm
 from .operators import aggregation, embedding, evaluation, measurement, prefilter, preparation, products, retrieval, throughput, utility
 from .operators.ordering import shared_folder
 from .operators.retrieval import RetrievalConfig
-from .plans import prompts
+from .plans import learned, prompts
 from .plans.chain import START, FrameChain, one_table
 from .plans.providers import embedded
 from .streaming import counters
@@ -473,6 +473,56 @@ def stub_completion(spark, sf_dir):
     return said.unionByName(chat_completion(dialogs, g).select("query_id", F.lit("chat").alias("kind"), "text"))
 
 
+_WORDS_IN = f"[x for x in string_split_regex(lower(text), '{text.SPACE}+') if x <> '']"
+_FOLLOWERS = f"""dw AS (SELECT {_WORDS_IN} AS w FROM documents WHERE text IS NOT NULL),
+vo AS (SELECT *, row_number() OVER (ORDER BY n DESC, word)::INT AS id FROM (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM dw) GROUP BY word ORDER BY n DESC, word LIMIT 255)),
+ids AS (SELECT id, word FROM vo UNION ALL SELECT 0, '<end>'),
+ex AS (SELECT list_concat(['<end>'], w, ['<end>']) AS w FROM dw),
+pa AS (SELECT a, b, count(*) AS n FROM (SELECT unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM ex) GROUP BY a, b),
+fo AS (SELECT i.id AS last, j.id AS next, n FROM pa JOIN ids i ON a = i.word JOIN ids j ON b = j.word)"""
+
+
+@query(f"WITH {_FOLLOWERS} SELECT last, next, n FROM fo")
+def word_followers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return learned.followers(docs, "text", learned.vocabulary(docs, "text", 256))
+
+
+@query(
+    f"""WITH RECURSIVE {_FOLLOWERS}, co AS (SELECT id, n FROM vo UNION ALL SELECT 0, (SELECT sum(n) FROM fo WHERE last = 0)),
+sh AS (SELECT id, (n + 1)::DOUBLE / (SELECT sum(n) + 256 FROM co) AS share FROM co), tt AS (SELECT last, sum(n) AS total FROM fo GROUP BY last),
+pr AS (SELECT l.id AS last, s.id AS next, (coalesce(n, 0) + 2.0::DOUBLE * share) / (coalesce(total, 0) + 2.0::DOUBLE) AS p FROM ids l CROSS JOIN sh s LEFT JOIN fo ON fo.last = l.id AND fo.next = s.id LEFT JOIN tt ON tt.last = l.id),
+bw AS (SELECT item_id, unnest({_WORDS_IN}) AS word FROM benchmark),
+bc AS (SELECT item_id, id, count(*) AS n FROM bw JOIN vo USING (word) GROUP BY ALL), bt AS (SELECT item_id, sum(n) AS total FROM bc GROUP BY item_id),
+ca AS (SELECT b.item_id, i.id, (coalesce(n, 0) + 1.0::DOUBLE / 256) / (coalesce(total, 0) + 1) AS c FROM benchmark b CROSS JOIN ids i LEFT JOIN bc ON bc.item_id = b.item_id AND bc.id = i.id LEFT JOIN bt ON bt.item_id = b.item_id),
+st AS (SELECT item_id, 0 AS step, 0 AS last FROM benchmark
+ UNION ALL SELECT item_id, step + 1, next FROM (SELECT st.item_id, st.step, pr.next, row_number() OVER (PARTITION BY st.item_id ORDER BY 0.7::DOUBLE * p + 0.3::DOUBLE * c DESC, pr.next) AS r FROM st JOIN pr ON pr.last = st.last JOIN ca ON ca.item_id = st.item_id AND ca.id = pr.next WHERE step < 6 AND (step = 0 OR st.last <> 0)) WHERE r = 1)
+SELECT b.item_id AS query_id, coalesce(s.said, '') AS text FROM benchmark b LEFT JOIN (SELECT item_id, string_agg(word, ' ' ORDER BY step) AS said FROM st JOIN ids ON id = last WHERE step > 0 AND last <> 0 GROUP BY item_id) s USING (item_id)"""
+)
+def word_completion(spark, sf_dir):
+    """Each benchmark text continued by the best six words of a model that is trained on all documents."""
+    from .plans.engine import GenerationConfig, completed
+
+    model = learned.train(table(spark, sf_dir, "documents"), "text", 256)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
+    return completed(asked, GenerationConfig(max_new_tokens=6, greedy=True), model).select("query_id", "text")
+
+
+@query()
+def word_dp_chat(spark, sf_dir):
+    """Private answers to all benchmark texts, from documents retrieved by learned vectors, by a trained model, and how often
+    the public prompt alone would have gone on in the same way."""
+    from .operators.measurement import consistency
+    from .plans.engine import Engine, GenerationConfig, aggregation_chain
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).filter("text is not null").select("doc_id", "text")
+    engine = Engine(store, RetrievalConfig(top_k=8, max_retrieve=4, epsilon=1.0), GenerationConfig(max_new_tokens=12), embedding.fit(docs), learned.train(docs, "text", 256))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    said = engine.chat(asked, aggregation_chain(engine.generation))
+    return said.select("query_id", "text", consistency(F.col("recorded")["before"], F.col("tokens")).alias("consistency"))
+
+
 # --- pre-filters and measurement -------------------------------------------------------------------------------------
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")

@@ -79,10 +79,11 @@ def followers(texts: DataFrame, text: str, known: DataFrame) -> DataFrame:
     w = F.concat(F.array(F.lit(END)), F.filter(words(F.col(text)), lambda x: x != END), F.array(F.lit(END)))
     rows = texts.filter(F.col(text).isNotNull()).select(w.alias("w"))
     pairs = rows.select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    counted = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
     ids = known.select("id", "word").unionByName(known.sparkSession.createDataFrame([(0, END)], "id int, word string"))
-    left, right = (ids.select(F.col("id").alias(name), F.col("word").alias(key)) for name, key in (("last", "a"), ("next", "b")))
-    return counted.join(left, "a").join(right, "b").select("last", "next", "n")
+    # fewer rows than the vocabulary's size are sent, so that pairs of other words go before the shuffle
+    left, right = (F.broadcast(ids.select(F.col("id").alias(name), F.col("word").alias(key))) for name, key in (("last", "a"), ("next", "b")))
+    met = pairs.select("p.a", "p.b").join(left, "a").join(right, "b")
+    return met.groupBy("last", "next").agg(F.count("*").alias("n"))
 
 
 def train(texts: DataFrame, text: str = "text", size: int = 1024, cache: float = 0.3, weight: float = 2.0) -> WordModel:

@@ -3,9 +3,10 @@
 Candidates are dealt into blocks and a cover tree is built over each; queries are dealt into smaller blocks, each with a
 tree of its own. A block of queries meets each block of candidates, and both trees are descended together: a pair of
 nodes is dropped if no point within the covering radii can reach the worst kth score of the node's queries. A node's
-children are bounded together, and leaves are multiplied best bound first, for as long as one may still count. A task
-carries a block of queries, with its tree and its kth scores, over all blocks of candidates that it gets. What the tasks
-find, k of each query at most, is merged by rank.
+children are bounded together with the other's, and leaves are multiplied best bound first, for as long as one may still
+count. A task carries a block of queries, with its tree and its kth scores, over all blocks of candidates that it gets.
+Blocks meet by Spark's Cartesian product of partitions: none is repeated in a shuffle, and none goes to the driver. What
+the tasks find, k of each query at most, is merged by rank.
 
 Components are integers, so products are exact in doubles, and ties are by id. Of equal vectors only the least k + 1 ids
 are candidates: more of them can't be among the best k.
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, partitions
+from .common import block_of, frugal, partitions
 
 CANDIDATES, QUERIES = 1024, 256  # vectors of a block
 LEAF = 8  # candidates of a leaf, unless they are equal; a query is a leaf by itself
-TOGETHER = 32  # leaves that are multiplied at a time
+TOGETHER = 8  # points of leaves that a query is multiplied with at first
+ONCE = 2048  # points whose distances are computed together
 CARRIED = 200  # blocks of queries that a task keeps
 
 
@@ -44,6 +46,16 @@ class Node:
     norms: np.ndarray | None = None
 
 
+def squared_distances(own: np.ndarray) -> np.ndarray | None:
+    """Of all pairs of few points by one product, if that is exact for whole numbers and safe from loss for others."""
+    if len(own) > ONCE:
+        return None
+    norms = (own * own).sum(axis=1)
+    if not norms.max() < 2.0**50 or not (own == np.floor(own)).all():
+        return None
+    return norms[:, None] + norms - 2 * (own @ own.T)
+
+
 def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, scale: float | None = None, leaf: int = LEAF) -> Node:
     """A cover tree: the children's centers are further apart than their scale, half of their parent's, and each point
     is within the scale of its center. Nodes of few, or of equal, points are leaves."""
@@ -56,9 +68,10 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, scale: float
     if len(rows) <= leaf or radius == 0:
         return node
     scale = radius / 2 if scale is None else min(scale, radius) / 2
-    left = np.arange(len(rows))
+    left, apart = np.arange(len(rows)), squared_distances(own)
     while len(left):
-        near = np.sqrt(((own[left] - own[left[0]]) ** 2).sum(axis=1)) <= scale
+        squares = ((own[left] - own[left[0]]) ** 2).sum(axis=1) if apart is None else apart[left[0]][left]
+        near = np.sqrt(squares) <= scale
         node.children.append(cover_tree(points, rows[left[near]], scale, leaf))
         left = left[~near]
     node.centers = np.array([c.center for c in node.children])
@@ -86,41 +99,65 @@ class TopK:
         self.scores[rows], self.ids[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(names, best, axis=1)
 
 
+def opened(node: Node) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray]:
+    """A node's children, or the node itself, with their centers, radii and norms."""
+    if node.children:
+        return node.children, node.centers, node.radii, node.norms
+    return [node], node.center[None, :], np.array([node.radius]), np.array([node.norm])
+
+
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, q: Node, points: np.ndarray, ids: np.ndarray, c: Node, best: TopK) -> tuple[int, int]:
     """Improves best by the points; tells how many pairs of a query and a point were multiplied, and how many dropped."""
     multiplied = dropped = 0
 
-    def multiply(q: Node, rows: np.ndarray) -> None:
-        nonlocal multiplied
-        scores = queries[q.rows] @ points[rows].T
-        scores[query_ids[q.rows][:, None] == ids[rows][None, :]] = -np.inf
-        best.add(q.rows, scores, ids[rows])
-        multiplied += scores.size
+    def worst(node: Node) -> float:
+        return best.scores[node.rows, -1].min()
+
+    def leaves(qs: list[Node], cs: list[Node], bounds: np.ndarray) -> None:
+        """All points of leaves qs with those of leaves cs: each query's best bounds first, for as long as one may still count."""
+        nonlocal multiplied, dropped
+        own, of = np.concatenate([x.rows for x in qs]), np.repeat(np.arange(len(qs)), [len(x.rows) for x in qs])
+        theirs, to = np.concatenate([x.rows for x in cs]), np.repeat(np.arange(len(cs)), [len(x.rows) for x in cs])
+        left, width = bounds[of][:, to], TOGETHER
+        dropped += left.size
+        going = np.arange(len(own))
+        while True:
+            going = going[left[going].max(axis=1) >= best.scores[own[going], -1]]
+            going = going[left[going].max(axis=1) > -np.inf]
+            if not len(going):
+                return
+            n = min(width, len(theirs))
+            some = np.argpartition(-left[going], n - 1, axis=1)[:, :n]
+            known = np.take_along_axis(left[going], some, axis=1)
+            counts = (known > -np.inf) & (known >= best.scores[own[going], -1][:, None])
+            left[going[:, None], some] = -np.inf
+            places, asked = theirs[some], own[going]
+            scores = np.einsum("qd,qnd->qn", queries[asked], points[places])
+            scores[~counts | (query_ids[asked][:, None] == ids[places])] = -np.inf
+            best.add(asked, scores, np.where(counts, ids[places], np.iinfo(np.int64).max))
+            multiplied, dropped = multiplied + int(counts.sum()), dropped - int(counts.sum())
+            width *= 2
 
     stack = [(bound(q, c), q, c)]
     while stack:
         most, q, c = stack.pop()
-        if most < best.scores[q.rows, -1].min():
+        if most < worst(q):
             dropped += len(q.rows) * len(c.rows)
-        elif q.children and (not c.children or 2 * q.radius >= c.radius):
-            stack += sorted(((bound(x, c), x, c) for x in q.children), key=lambda x: x[0])  # the most promising is taken next
-        elif not c.children:
-            multiply(q, c.rows)
-        else:
-            bounds = c.centers @ q.center + q.radius * c.norms + c.radii * (q.norm + q.radius) + 1e-6
-            order = np.argsort(-bounds, kind="stable").tolist()
-            leaves, inner = [i for i in order if not c.children[i].children], [i for i in order if c.children[i].children]
-            at = 0
-            while at < len(leaves):
-                worst = best.scores[q.rows, -1].min()
-                some = [i for i in leaves[at : at + TOGETHER] if bounds[i] >= worst]
-                if not some:
-                    break
-                multiply(q, np.concatenate([c.children[i].rows for i in some]))
-                dropped += len(q.rows) * sum(len(c.children[i].rows) for i in leaves[at : at + TOGETHER] if bounds[i] < worst)
-                at += TOGETHER
-            dropped += len(q.rows) * sum(len(c.children[i].rows) for i in leaves[at:])
-            stack += [(float(bounds[i]), q, c.children[i]) for i in reversed(inner)]
+            continue
+        (qs, q_centers, q_radii, q_norms), (cs, c_centers, c_radii, c_norms) = opened(q), opened(c)
+        bounds = q_centers @ c_centers.T + np.outer(q_radii, c_norms) + np.outer(q_norms + q_radii, c_radii) + 1e-6
+        q_leaf, c_leaf = np.array([not x.children for x in qs]), np.array([not x.children for x in cs])
+        if q_leaf.any() and c_leaf.any():
+            a, b = np.flatnonzero(q_leaf), np.flatnonzero(c_leaf)
+            leaves([qs[i] for i in a], [cs[j] for j in b], bounds[np.ix_(a, b)])
+        # others are descended, the most promising next; a pair that can't count any more isn't put aside
+        kth, i, j = np.array([worst(x) for x in qs]), *np.nonzero(~(q_leaf[:, None] & c_leaf))
+        fine = bounds[i, j] >= kth[i]
+        q_sizes, c_sizes = np.array([len(x.rows) for x in qs]), np.array([len(x.rows) for x in cs])
+        dropped += int((q_sizes[i] * c_sizes[j])[~fine].sum())
+        i, j = i[fine], j[fine]
+        order = np.argsort(bounds[i, j], kind="stable")
+        stack += [(float(bounds[x, y]), qs[x], cs[y]) for x, y in zip(i[order], j[order], strict=True)]
     return multiplied, dropped
 
 
@@ -160,7 +197,8 @@ def _packed(df: DataFrame, blocks: int, name: str) -> DataFrame:
             yield done(pa.Table.from_batches(rest))
 
     rows = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("size", F.size("vector"))
-    rows = rows.repartition(partitions(df.sparkSession), "block").sortWithinPartitions("block", "size")
+    tasks = min(blocks, partitions(df.sparkSession))
+    rows = rows.repartition(tasks, block_of(F.col("block"), tasks)).sortWithinPartitions("block", "size")
     return rows.select("block", "size", "id", "vector").mapInArrow(run, f"{name}_block int, size int, {name}_ids binary, {name}_vectors binary")
 
 
@@ -180,9 +218,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     vectors = vectors.withColumn("nth", F.row_number().over(equal)).filter(F.col("nth") <= k + 1).drop("nth")
     (n_vectors,), (n_queries,) = vectors.agg(F.count("*")).first(), queries.agg(F.count("*")).first()
     lanes = max(1, -(-n_vectors // CANDIDATES))
-    there = _packed(vectors, lanes, "c")
+    there = _packed(vectors, lanes, "c").withColumnRenamed("size", "c_size")
     asked = _packed(queries, max(1, -(-n_queries // QUERIES)), "q")
-    asked = asked.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    # a broadcast of the pairs would take them all to the driver: the planner only knows how small the queries are
+    met = there.hint("shuffle_replicate_nl").crossJoin(asked.repartition(max(1, -(-n_queries // (QUERIES * CARRIED))), "q_block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, of = None, None
@@ -194,7 +233,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(best.ids[row, column]), pa.array(best.scores[row, column].astype(np.int64))], ["query_id", "vec_id", "score"])
 
         for batch in batches:
-            for block, q_block, size, qi, qv, ci, cv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
+                block, size, other, q_block = (batch[name][row].as_py() for name in ("c_block", "c_size", "size", "q_block"))
+                if size != other:
+                    continue
+                qi, qv, ci, cv = (batch[name][row].as_buffer() for name in ("q_ids", "q_vectors", "c_ids", "c_vectors"))
                 if (block, size) != of:
                     ids, points = np.frombuffer(ci, np.int64), np.frombuffer(cv, np.float64).reshape(-1, size)
                     tree, of = cover_tree(points), (block, size)
@@ -208,7 +251,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         for own in carried.values():
             yield told(own)
 
-    met = asked.join(there, ["c_block", "size"]).select("c_block", "q_block", "size", "q_ids", "q_vectors", "c_ids", "c_vectors")
     found = met.mapInArrow(frugal(run), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -91,3 +91,14 @@ def test_pipeline(spark):
     per_doc = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
     assert per_doc == {r.doc_id for r in docs.select("doc_id").collect()}
     assert pq.read_table(f"{SF}/documents.parquet").num_rows == kept[0]
+
+
+def test_no_pair_of_blocks_is_broadcast_or_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(search, "CANDIDATES", 100)
+    rng = np.random.default_rng(5)
+    whole = frame(spark, range(2000), rng.integers(-300, 301, (2000, 16)).tolist())
+    found = search.top_k(whole, whole.filter("id % 50 = 0"), 5)
+    assert found.count() == 200
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan

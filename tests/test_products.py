@@ -112,3 +112,24 @@ def test_draws_from_many_categories(spark):
     want = np.searchsorted(ends, (np.arange(2000) + 0.5) / 2000, side="right")
     assert len(got) == 2000 and all(abs(got[i] - want[i]) <= 1 for i in range(2000)) and sum(got[i] == want[i] for i in range(2000)) > 1990
     assert {r["item"] for r in preparation.categorical(rows, weights.limit(0), F.col("u")).collect()} == {None}
+
+
+def by_passes(spark, monkeypatch, queries, corpus, c, u, parts, blocks):
+    """Rows and thresholds of the one pass, with those of the passes that count."""
+    monkeypatch.setattr(products, "BLOCK", parts)
+    monkeypatch.setattr(products, "QUERIES", blocks)
+    own = products.Products(queries, corpus, c)
+    told = own.once(u, True), own.once(u, False)
+    assert all(x is not None for x in told) and "windows" not in own.__dict__
+    passed = own.passes(0, u)
+    want = retrieval.above(own.scores(), passed), passed
+    for got, other in zip(told, want, strict=True):
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, other.select(got.columns).collect()), key=str)
+    return told
+
+
+@pytest.mark.parametrize("parts", [100, 4096])
+def test_one_pass_finds_the_greatest(many, spark, monkeypatch, parts):
+    queries, corpus, _ = many
+    for k in (20, 760):
+        by_passes(spark, monkeypatch, queries, corpus, RetrievalConfig(top_k=k, differential_privacy=False), None, parts, 7)

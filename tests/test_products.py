@@ -133,3 +133,17 @@ def test_one_pass_finds_the_greatest(many, spark, monkeypatch, parts):
     queries, corpus, _ = many
     for k in (20, 760):
         by_passes(spark, monkeypatch, queries, corpus, RetrievalConfig(top_k=k, differential_privacy=False), None, parts, 7)
+
+
+def test_one_pass_draws(many, spark, monkeypatch):
+    queries, corpus, _ = many
+    u = (F.col("query_id") + 0.5) / 20
+    by_passes(spark, monkeypatch, queries, corpus, RetrievalConfig(top_k=20), u, 4096, 7)  # as in products_dp_topk_draw_u, by lists
+
+
+def test_a_draw_that_a_list_does_not_decide(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(600)] + [(600 + i, [i / 300, 0.0]) for i in range(100)]
+    corpus, queries = vectors(spark, rows, "doc_id", "embedding"), vectors(spark, [(1, [1, 0]), (2, [0.3, 0])], "query_id", "query_vector")
+    own = products.Products(queries, corpus, RetrievalConfig(top_k=20, epsilon=1.0))  # the list holds equal scores only
+    got = {r.query_id: r.threshold for r in own.thresholds(u=F.lit(0.4)).collect()}
+    assert got == {r.query_id: r.threshold for r in own.passes(0, F.lit(0.4)).collect()} and len(got) == 2

@@ -1,24 +1,29 @@
 """A model of words that is trained here and continues prompts: followers of words, and a cache of the prompt's own words.
 
 Counts cover all texts; the vocabulary is the size - 1 most frequent words (ties: the lesser word) and the end. What a
-worker gets is a matrix of size by size numbers, which bounds the broadcast (4 bytes each, 4 MB by default).
+worker gets is a matrix of size by size numbers, which bounds the broadcast (4 bytes each, 4 MB by default). Tasks count
+words and pairs of their own texts before anything is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, words
+from ..functions.text import SPACES
 from ..sources import versions
 
 END = "<end>"
 BREAKS = re.compile(f"[{re.escape(SPACES)}]+")
 LARGEST = 1 << 13  # 256 MB of followers
+HELD = 1 << 18  # different words that a task counts before it sends them; four times as many places of words
 
 
 @dataclass(frozen=True)
@@ -66,24 +71,66 @@ def load(spark: SparkSession, folder: str) -> WordModel:
     return WordModel([r.word for r in rows], np.array([r.n for r in rows], np.float64), np.array([r.followers for r in rows], np.int32), rows[0].cache, rows[0].weight)
 
 
+def _lowered(texts: DataFrame, text: str) -> DataFrame:
+    return texts.select(F.lower(F.col(text)).alias("t")).filter("t is not null")
+
+
+def _words(batch: pa.RecordBatch) -> Iterator[list[str]]:
+    """The words of each text; str.split() knows the same white space as SPACES. Words that look like the end are left out."""
+    for t in batch.column(0):
+        said = t.as_py()
+        own = said.split()
+        yield [w for w in own if w != END] if END in said else own
+
+
 def vocabulary(texts: DataFrame, text: str, size: int) -> DataFrame:
     """id, word, n: the size - 1 most frequent words, from 1 on."""
-    counted = texts.select(F.explode(words(F.col(text))).alias("word")).filter(F.col("word") != END).groupBy("word").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
+
+        n: Counter[str] = Counter()
+        for batch in batches:
+            for own in _words(batch):
+                n.update(own)
+                if len(n) >= HELD:
+                    yield sent()
+                    n.clear()
+        yield sent()
+
+    counted = _lowered(texts, text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     first = counted.orderBy(F.desc("n"), "word").limit(size - 1)
     return first.select(F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("id"), "word", "n")
 
 
 def followers(texts: DataFrame, text: str, known: DataFrame) -> DataFrame:
     """last, next, n: how often known words follow each other, by id. The end (0) stands before a text's first word and after
-    its last; other words interrupt, so that nothing follows them."""
-    w = F.concat(F.array(F.lit(END)), F.filter(words(F.col(text)), lambda x: x != END), F.array(F.lit(END)))
-    rows = texts.filter(F.col(text).isNotNull()).select(w.alias("w"))
-    pairs = rows.select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    ids = known.select("id", "word").unionByName(known.sparkSession.createDataFrame([(0, END)], "id int, word string"))
-    # fewer rows than the vocabulary's size are sent, so that pairs of other words go before the shuffle
-    left, right = (F.broadcast(ids.select(F.col("id").alias(name), F.col("word").alias(key))) for name, key in (("last", "a"), ("next", "b")))
-    met = pairs.select("p.a", "p.b").join(left, "a").join(right, "b")
-    return met.groupBy("last", "next").agg(F.count("*").alias("n"))
+    its last; other words interrupt, so that nothing follows them. known has fewer rows than a vocabulary's size; each task gets them."""
+    told = texts.sparkSession.sparkContext.broadcast({r.word: r.id for r in known.select("id", "word").collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = told.value
+        size = len(ids) + 1
+        places: list[int] = []
+
+        def sent() -> pa.RecordBatch:
+            at = np.array([-1, *places], np.int64)
+            met = (at[:-1] >= 0) & (at[1:] >= 0)
+            pairs, n = np.unique(at[:-1][met] * size + at[1:][met], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((pairs // size, pa.int32()), (pairs % size, pa.int32()), (n, pa.int64()))], ["last", "next", "n"])
+
+        for batch in batches:
+            for own in _words(batch):
+                places.append(0)
+                places.extend([ids.get(w, -1) for w in own])
+                places += (0, -1)
+                if len(places) >= 4 * HELD:
+                    yield sent()
+                    places.clear()
+        yield sent()
+
+    return _lowered(texts, text).mapInArrow(run, "last int, next int, n long").groupBy("last", "next").agg(F.sum("n").alias("n"))
 
 
 def train(texts: DataFrame, text: str = "text", size: int = 1024, cache: float = 0.3, weight: float = 2.0) -> WordModel:

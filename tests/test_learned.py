@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushgrid import queries
+from hushgrid.functions.text import SPACES, words
 from hushgrid.operators.retrieval import RetrievalConfig
 from hushgrid.plans import learned
 from hushgrid.plans.engine import Engine, GenerationConfig, aggregation_chain, chat_completion, completed, generate
@@ -35,6 +36,23 @@ def test_training_counts_everything(spark, size):
     assert {(known[a], known[b]): n for (a, b), n in np.ndenumerate(model.followers) if n} == dict(pairs)
 
 
+def test_tasks_count_before_rows_are_made(spark, monkeypatch):
+    monkeypatch.setattr(learned, "HELD", 2)  # what a task holds is sent several times
+    spaces = [f"a{c}{c}b {c}İx" for c in SPACES]
+    docs = frame(spark, [*TEXTS, *spaces, *[" ".join(["the", "cat"] * 500)] * 20]).repartition(2)
+    known = learned.vocabulary(docs, "text", 4)
+    counted, met = known.select("word", "n"), learned.followers(docs, "text", known)
+    said = docs.select(words(F.col("text")).alias("w"))
+    want = Counter(w for r in said.filter("w is not null").collect() for w in r.w if w != "<end>")
+    assert [tuple(r) for r in counted.collect()] == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:3]
+    pairs = {(r["last"], r["next"]): r.n for r in met.collect()}
+    ids = {r.word: r.id for r in known.collect()}
+    rows = [[0, *(ids.get(w, -1) for w in r.w if w != "<end>"), 0] for r in said.filter("w is not null").collect()]
+    assert pairs == dict(Counter((a, b) for r in rows for a, b in zip(r, r[1:]) if a >= 0 and b >= 0))
+    for made in (known, met):  # a row for each word, or pair, is what an explode makes
+        assert "Generate" not in made._jdf.queryExecution().toString()
+
+
 def test_scores_are_logs_of_a_distribution(spark):
     model = learned.train(frame(spark, TEXTS))
     cat = model.vocabulary.index("cat")

@@ -57,6 +57,23 @@ def test_vectors_depend_on_the_text_alone(spark, docs, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_texts_are_cut_into_words_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    own = embedding.fit(docs.select("doc_id", F.udf(told, "string").asNondeterministic()("text").alias("text")), dims=4, terms=1024, passes=3)
+    assert seen.value == len(corpus())
+    kept = embedding.bags(docs, "text", 1024)
+    again = embedding.fit_bags(kept, dims=4, terms=1024, passes=3)
+    assert again.values == pytest.approx(own.values) and again.weights == pytest.approx(own.weights)
+    want = sorted((r.doc_id, r.embedding) for r in own.embedded(docs, "text").collect())
+    assert sorted((r.doc_id, r.embedding) for r in own.embedded_bags(kept).collect()) == want
+
+
 def test_near_copies_are_nearer_than_others(spark):
     given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("length(text) > 200")
     cut = given.select((-F.col("doc_id") - 1).alias("doc_id"), F.expr("substr(text, length(text) div 10)").alias("text"))  # a tenth is gone

@@ -135,6 +135,16 @@ def test_one_pass_finds_the_greatest(many, spark, monkeypatch, parts):
         by_passes(spark, monkeypatch, queries, corpus, RetrievalConfig(top_k=k, differential_privacy=False), None, parts, 7)
 
 
+def test_one_pass_has_blocks_for_all_tasks(many, spark, monkeypatch):
+    queries, corpus, _ = many
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")  # more than blocks of QUERIES: what is found isn't written
+        by_passes(spark, monkeypatch, queries, corpus, RetrievalConfig(top_p=0.3, differential_privacy=False), None, 100, 256)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+
+
 def test_one_pass_draws(many, spark, monkeypatch):
     queries, corpus, _ = many
     u = (F.col("query_id") + 0.5) / 20

@@ -157,3 +157,45 @@ def test_a_draw_that_a_list_does_not_decide(spark):
     own = products.Products(queries, corpus, RetrievalConfig(top_k=20, epsilon=1.0))  # the list holds equal scores only
     got = {r.query_id: r.threshold for r in own.thresholds(u=F.lit(0.4)).collect()}
     assert got == {r.query_id: r.threshold for r in own.passes(0, F.lit(0.4)).collect()} and len(got) == 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e20])
+@pytest.mark.parametrize("total", [None, 3000])
+def test_lists_hold_the_greatest(scale, total):
+    rng = np.random.default_rng(4)
+    queries, vectors = rng.normal(size=(40, 16)) * scale, np.round(rng.normal(size=(3000, 16)), 1)
+    vectors[::7] = vectors[3]  # ties
+    own = products.Greatest(np.arange(40), np.zeros(40), 50, total)
+    for at in range(0, 3000, 700):
+        own.add(queries, vectors[at : at + 700], np.arange(at, min(at + 700, 3000)))
+    every = products.product(queries, vectors)
+    for query, _, n, scores, documents in own.told():
+        assert n == 3000 and (len(scores) == 50 if total is None else 40 <= len(scores) < 450)
+        assert np.array_equal(np.sort(scores), np.sort(every[query])[-len(scores) :]) and np.array_equal(every[query][documents], scores)
+
+
+def test_some_products_are_summed_in_order():
+    rng = np.random.default_rng(8)
+    queries, vectors = rng.normal(size=(50, 64)), rng.normal(size=(60, 64))
+    every = products.product(queries, vectors)
+    for n in (1, 2, 9, 400):
+        q, d = rng.integers(0, 50, n), rng.integers(0, 60, n)
+        assert np.array_equal(products.some_products(queries, vectors, q, d), every[q, d])
+
+
+def test_short_lists_decide_draws():
+    """Lists are as short as a draw allows: what is left out can't change it, or the list doesn't decide."""
+    rng = np.random.default_rng(6)
+    c = RetrievalConfig(top_k=20)
+    decided = 0
+    for u in (rng.integers(0, 10007, 300) + 0.5) / 10007:
+        scores = np.sort(rng.normal(size=5000) / 8)
+        whole = products.threshold_of(scores, 5000, u, c)
+        for most in (100, 502):
+            sure, *told = products.threshold_of(scores[-most:], 5000, u, c)
+            assert not sure or (True, *told) == whole
+            decided += sure and most == 502
+    assert decided == 300
+    own = products.Greatest(np.array([1]), np.array([0.5]), 502, 5000)
+    assert own.scores.shape[1] < 1222  # 1222 were held before, for each of them
+    assert not products.threshold_of(np.sort(rng.normal(size=502)) + 9, 5000, 0.5, c)[0]  # all are clipped
